@@ -10,8 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name to module and function.
 NAMES = {
     "op1_token_files": ("token_files", "op1_token_files"),
+    "op2_perplexity": ("perplexity", "op2_perplexity"),
+    "op3_jaccard_join": ("jaccard", "op3_jaccard_join"),
+    "op4_decontaminate": ("decontam", "op4_decontaminate"),
     "op5_token_counts": ("token_counts", "op5_token_counts"),
+    "op7_surrogates": ("pii", "op7_surrogates"),
     "op8_pack": ("packing", "op8_pack"),
+    "op9_toxicity": ("toxicity", "op9_toxicity"),
     "op10_shards": ("shards", "op10_shards"),
 }
 
