@@ -36,7 +36,7 @@ from proofmill.llm.vec import slices
 
 TRAIN = 20_000
 TERMS = 2_000
-EVIDENCE = 2.0  # natural log of the likelihood ratio that a term needs, besides that of the number of terms tried
+EVIDENCE = 2.0  # natural log of the likelihood ratio that a term needs, beyond the log of the number of terms tried
 THRESHOLD = 0.3
 AROUND = 6
 STEMS = (4, 5, 6)
@@ -259,7 +259,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN) -> ToxicModel:
     """Fit on at most ``rows`` labelled documents that aren't held out."""
     usable = labels.select("doc_id", "toxic").filter(F.col("toxic").isin(0, 1)).filter(~held_out()).dropDuplicates(["doc_id"])
     drawn = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    sample = written(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id"), "tox-train")
+    # copies would count one accident many times: one document of each label and family stays
+    family = F.min_by("word", F.xxhash64("word"))
+    drawn = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").withColumn("row", F.monotonically_increasing_id())
+    drawn = written(drawn, "tox-drawn")
+    words = drawn.select("row", F.explode(F.array_distinct(F.split(F.lower("text"), r"[\s.,;:!?]+"))).alias("word")).filter(F.length("word") >= 7)
+    families = words.groupBy("row").agg(family.alias("family"))
+    sample = written(drawn.join(families, "row", "left").withColumn("family", F.coalesce("family", F.sha2("text", 256))).dropDuplicates(["toxic", "family"]).select("text", "toxic"), "tox-train")
     n = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if not n.get(0) or not n.get(1):
         return ToxicModel(LexiconAutomaton([]), None)
