@@ -1,9 +1,10 @@
-"""Exact tokenizer ids by chunks: texts are cut at single inner spaces, chunks are encoded once.
+"""Exact tokenizer ids by chunks: texts are cut where the tokenizer cuts anyway, and each chunk is encoded once.
 
 A tokenizer whose pre-tokenizer starts a new piece at a space between two
 non-space characters gives the same ids for a text and for its chunks. Both
-tokenizers used here do. Chunks repeat, so a worker keeps a bounded table of
-their ids; every id comes from the tokenizers library.
+tokenizers used here do; they also part a run of letters from what follows. Chunks
+and runs recur, so a worker keeps bounded tables of their ids. Every id comes from
+the tokenizers library.
 """
 
 from __future__ import annotations
@@ -15,12 +16,18 @@ import numpy as np
 
 #: A space at an end of the text or beside other white space: such texts are cut more carefully.
 _ODD = re.compile(r"(?:^|\s) | (?:\s|$)")
+_RARE_SPACE = re.compile(r"[^\S \n]")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: Chunks that are cut at their runs of letters: no apostrophe (contractions), no white space but single line ends.
+_PLAIN = re.compile(rf"[{_LETTER}!-&(-@\[-`{{-~\n]+")
+_RUNS = re.compile(rf"[{_LETTER}]+|[^{_LETTER}]+")
 _LONGEST = 64
+_BATCH = 512
 
 
 class ChunkEncoder:
-    """Encodes texts to little-endian id bytes; at most ``keep`` chunks stay in memory."""
+    """Encodes texts to little-endian id bytes; at most ``keep`` chunks and as many runs stay in memory."""
 
     def __init__(self, path: str, dtype: str, keep: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -30,41 +37,102 @@ class ChunkEncoder:
         # a special string splits a text before anything else looks at it: joined by one, chunks are encoded many at a time
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
         self.joint, self.joint_id = next(iter(self.special.items()), ("", -1))
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab()
+        # runs of letters are told apart by the suffix of their last id, or by the id of a line end between them
+        self.ends = np.array(sorted(i for t, i in vocabulary.items() if suffix and t.endswith(suffix)))
+        self.line_end = vocabulary.get("Ċ")
+        self.folds = suffix is not None and self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("Éa") == "éa"
         self.inner: dict[str, bytes] = {}  # chunks without the space before them
+        self.runs: dict[str, bytes] = {}
+
+    def _joined(self, parts: list[str], joint: str) -> np.ndarray:
+        [e] = self.tokenizer.encode_batch_fast([joint.join(parts)], add_special_tokens=False)
+        return np.array(e.ids, dtype=self.dtype)
+
+    def _split(self, ids: np.ndarray, at: np.ndarray, skip: int) -> list[bytes]:
+        """Id bytes up to each index of ``at``, which itself is left out if ``skip``."""
+        raw, width = ids.tobytes(), self.dtype.itemsize
+        stops = ((at + 1 - skip) * width).tolist()
+        starts = [0, *((at + 1) * width).tolist()]
+        if skip:
+            stops.append(len(raw))
+        return [raw[a:b] for a, b in zip(starts, stops)]  # noqa: B905  the last start may have no stop
 
     def _ids(self, chunks: list[str]) -> list[bytes]:
         out = []
-        for at in range(0, len(chunks), 512):
-            some = chunks[at : at + 512]
-            text = self.joint.join(some)
-            if len(some) > 1 and self.joint and sum(map(text.count, self.special)) == len(some) - 1:
-                [e] = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
-                ids = np.array(e.ids, dtype=self.dtype)
-                ends = np.flatnonzero(ids == self.joint_id)
-                raw, width = ids.tobytes(), self.dtype.itemsize
-                starts = [0, *((ends + 1) * width).tolist()]
-                out += [raw[a:b] for a, b in zip(starts, [*(ends * width).tolist(), len(raw)], strict=True)]
+        for k in range(0, len(chunks), _BATCH):
+            some = chunks[k : k + _BATCH]
+            if len(some) > 1 and self.joint and not any(x in c for x in self.special for c in some):
+                ids = self._joined(some, self.joint)
+                out += self._split(ids, np.flatnonzero(ids == self.joint_id), 1)
             else:
                 out += [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
         return out
 
+    def _letters(self, runs: list[str]) -> list[bytes]:
+        """Ids of runs of letters, with or without a space before them."""
+        out = []
+        for k in range(0, len(runs), _BATCH):
+            some = runs[k : k + _BATCH]
+            if len(self.ends):
+                ids = self._joined(some, " ")
+                got = self._split(ids, np.flatnonzero(np.isin(ids, self.ends)), 0)
+            else:
+                ids = self._joined(some, "\n")
+                got = self._split(ids, np.flatnonzero(ids == self.line_end), 1)
+            if len(got) != len(some):
+                raise ValueError("this tokenizer doesn't keep runs of letters apart")
+            out += got
+        return out
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Add unknown chunks (without their space) to the table."""
+        rest, plans, letters, others = [], [], {}, {}
+        runs, plain, cut, marked = self.runs, _PLAIN.fullmatch, _RUNS.findall, bool(len(self.ends))
+        for c in chunks:
+            if self.line_end is None or not plain(c) or "\n\n" in c or "<|" in c:
+                rest.append(c)
+                continue
+            parts = cut(c.lower() if self.folds else c)
+            if not (marked and parts[0][0].isalpha()):
+                parts[0] = " " + parts[0]
+            plans.append((c, parts))
+            for p in parts:
+                if p not in runs:
+                    (letters if p[-1].isalpha() else others)[p] = None
+        runs.update(zip(letters, self._letters(list(letters)), strict=True))
+        runs.update(zip(others, self._ids(list(others)), strict=True))
+        for c, parts in plans:
+            self.inner[c] = runs[parts[0]] if len(parts) == 1 else b"".join([runs[p] for p in parts])
+        self.inner.update(zip(rest, self._ids([" " + c for c in rest]), strict=True))
+        if len(self.runs) > self.keep:
+            self.runs.clear()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as bytes of ``dtype``."""
-        inner, heads, plans, unknown = self.inner, {}, [], set()
+        inner, heads, plans, unknown = self.inner, {}, [], {}
         for text in texts:
-            if _ODD.search(text):
-                parts = _CUT.split(text)
-                plans.append((parts[0], [p[1:] for p in parts[1:]]))
+            if _is_odd(text):
+                first, *rest = _CUT.split(text)
+                rest = [p[1:] for p in rest]
             else:
                 first, *rest = text.split(" ")
-                plans.append((first, rest))
-            heads[plans[-1][0]] = b""
-            unknown.update(c for c in set(plans[-1][1]) if c not in inner)
+            ids = list(map(inner.get, rest))
+            missing = [i for i, x in enumerate(ids) if x is None] if None in ids else []
+            for i in missing:
+                unknown[rest[i]] = None
+            heads[first] = b""
+            plans.append((first, ids, [(i, rest[i]) for i in missing]))
         new = list(unknown)
-        inner.update(zip(new, self._ids([" " + c for c in new]), strict=True))
+        self._learn(new)
         names = list(heads)
         heads.update(zip(names, self._ids(names), strict=True))
-        out = [b"".join([heads[head], *map(inner.__getitem__, rest)]) for head, rest in plans]
+        out = []
+        for first, ids, missing in plans:
+            for i, c in missing:
+                ids[i] = inner[c]
+            out.append(b"".join([heads[first], *ids]))
         for c in new:
             if len(c) > _LONGEST:
                 del inner[c]
@@ -73,6 +141,12 @@ class ChunkEncoder:
         return out
 
 
+def _is_odd(text: str) -> bool:
+    if _RARE_SPACE.search(text):
+        return _ODD.search(text) is not None
+    return "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " "
+
+
 _encoders: dict[tuple, ChunkEncoder] = {}
 
 
