@@ -14,6 +14,7 @@ NAMES = {
     "op3_jaccard_join": ("jaccard", "op3_jaccard_join"),
     "op4_decontaminate": ("decontam", "op4_decontaminate"),
     "op5_token_counts": ("token_counts", "op5_token_counts"),
+    "op6_repeats": ("repeats", "op6_repeats"),
     "op7_surrogates": ("pii", "op7_surrogates"),
     "op8_pack": ("packing", "op8_pack"),
     "op9_toxicity": ("toxicity", "op9_toxicity"),
@@ -23,6 +24,7 @@ NAMES = {
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {name: getattr(importlib.import_module(f"proofmill.llm.{module}"), f) for name, (module, f) in NAMES.items()}
+    out["pipeline"] = importlib.import_module("corpus_pipeline").run
     return out
 
 
