@@ -8,7 +8,8 @@ least hash (the first, in ties). Neighbouring strings share an anchor and form a
 stretch; equal strings have equal anchors, so only stretches with one anchor hash
 can hold equal strings. They meet by a shuffle on that hash and are read as a stream:
 
-* Stretches with equal bytes: all but the first are repeats in whole.
+* Stretches with equal bytes: all but the first are repeats in whole. Runs of one
+  stretch in periodic text are settled before the shuffle.
 * The firsts of an anchor's different stretches, where the 34 bytes on one side may
   agree (nine-bit marks tell), go on with their bytes to suffix arrays. An array
   takes many anchors' stretches at once, sorts their suffixes by rank doubling, and
@@ -31,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -113,11 +115,37 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     s["lo"] = s["lo"] + at
                 else:
                     s = stretches(data, offs)
-                if len(s["lo"]):
-                    yield pa.record_batch({"h": pa.array(s["h"].view(np.int64)), "bytes": pa.array(s["bytes"].view(np.int64)), "doc_id": pa.array(ids[s["doc"]]), "th": pa.array(th[s["doc"]]), "packed": pa.array(_pack(s))})
-
-
-_OUT = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("packed", pa.int64())])
+                if not len(s["lo"]):
+                    continue
+                s, doc, lo, end = _periodic(s)
+                # a run inside a document is settled here; its row is dealt out by its place
+                h = np.concatenate([s["h"].view(np.int64), mix((lo + 7919 * end).astype(U64) ^ mix(ids[doc].astype(np.int64).view(U64))).view(np.int64)])
+                owner = np.concatenate([s["doc"], doc])
+                none = pa.nulls(len(s["lo"]), pa.int64())
+                yield pa.record_batch(
+                    {
+                        "h": pa.array(h),
+                        "bytes": pa.array(np.concatenate([s["bytes"].view(np.int64), np.zeros(len(doc), np.int64)])),
+                        "doc_id": pa.array(ids[owner]),
+                        "th": pa.array(th[owner]),
+                        "packed": pa.array(np.concatenate([_pack(s), lo << 32])),
+                        "end": pa.concat_arrays([none, pa.array(end)]),
+                    }
+                )
+
+
+_OUT = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("packed", pa.int64()), ("end", pa.int64())])
+
+
+def _periodic(s: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches without those equal to the one right before them, and the runs of the latter: document, from, to."""
+    n = len(s["lo"])
+    same = np.zeros(n, bool)
+    hi = s["lo"] + s["span"]
+    same[1:] = (s["h"][1:] == s["h"][:-1]) & (s["bytes"][1:] == s["bytes"][:-1]) & (s["doc"][1:] == s["doc"][:-1]) & (s["lo"][1:] == hi[:-1] + 1)
+    first = np.flatnonzero(same & ~np.concatenate([[False], same[:-1]]))
+    last = np.flatnonzero(same & ~np.concatenate([same[1:], [False]]))
+    return {c: v[~same] for c, v in s.items()}, s["doc"][first], s["lo"][first], hi[last] + LENGTH
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +165,12 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     full = False
     for batch in batches:
-        h, b, doc, th, packed = (batch.column(c).to_numpy() for c in ("h", "bytes", "doc_id", "th", "packed"))
+        settled = pc.is_valid(batch.column("end"))
+        if pc.any(settled).as_py():
+            done = batch.filter(settled)
+            yield pa.RecordBatch.from_arrays([pa.nulls(done.num_rows, pa.int64()), *(done.column(c) for c in ("doc_id", "th", "packed", "end"))], schema=_OUT)
+            batch = batch.filter(pc.invert(settled))
+        h, b, doc, th, packed = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "bytes", "doc_id", "th", "packed"))
         n = len(h)
         if not n:
             continue
@@ -164,11 +197,11 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held, full = [], True
         open_h, open_bytes = h[-1], b[-1]
         if again.any():
-            yield pa.RecordBatch.from_arrays([pa.nulls(int(again.sum()), pa.int64()), pa.array(doc[again]), pa.array(th[again]), pa.array(packed[again])], schema=_OUT)
+            yield pa.RecordBatch.from_arrays([pa.nulls(int(again.sum()), pa.int64()), pa.array(doc[again]), pa.array(th[again]), pa.array(packed[again]), pa.nulls(int(again.sum()), pa.int64())], schema=_OUT)
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], schema=_OUT)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in zip(*out, strict=True)), pa.nulls(len(out), pa.int64())], schema=_OUT)
     if held and not full and (out := fits(held)):
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], schema=_OUT)
+        yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in zip(*out, strict=True)), pa.nulls(len(out), pa.int64())], schema=_OUT)
 
 
 def _ranks(keys: np.ndarray) -> np.ndarray:
@@ -259,13 +292,28 @@ def _repeat_rows(rows: list[tuple]) -> tuple[list, list, list, list]:
     array = SuffixIntervals([r[6] for r in rows], np.array([r[4] for r in rows]))
     place = [(r[1], r[2], r[3]) for r in rows]
     owner, at = array.owner.tolist(), array.at.tolist()
+    ranges: dict[tuple, list] = {}
     for length, first, last in array.maximal_repeats():
         found = [(*place[owner[k]][:2], place[owner[k]][2] + at[k]) for k in range(first, last + 1)]
         earliest = min(found)
         for f in found:
             if f != earliest:
-                for column, x in zip(out, (*f, f[2] + length), strict=True):
-                    column.append(x)
+                ranges.setdefault(f[:2], []).append((f[2], f[2] + length))
+    for doc, spans in ranges.items():
+        for lo, end in _merged(spans):
+            for column, x in zip(out, (*doc, lo, end), strict=True):
+                column.append(x)
+    return out
+
+
+def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges that touch or overlap made one."""
+    out: list[tuple[int, int]] = []
+    for lo, end in sorted(ranges):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((lo, end))
     return out
 
 
@@ -328,10 +376,10 @@ def _with_texts(docs: DataFrame, info: DataFrame) -> DataFrame:
 
 def removed_ranges(docs: DataFrame) -> DataFrame:
     """doc_id, th, lo, end: byte ranges that the rule removes (they may overlap). ``docs`` as from ``keyed``."""
-    sorted_ = docs.select("doc_id", "th", "text").mapInArrow(_anchors, "h long, bytes long, doc_id long, th long, packed long").repartition("h").sortWithinPartitions("h", "bytes", "doc_id", "th", "packed")
-    found = written(sorted_.mapInArrow(_classes, "h long, doc_id long, th long, packed long"), "stretches")
+    sorted_ = docs.select("doc_id", "th", "text").mapInArrow(_anchors, "h long, bytes long, doc_id long, th long, packed long, end long").repartition("h").sortWithinPartitions("h", "bytes", "doc_id", "th", "packed")
+    found = written(sorted_.mapInArrow(_classes, "h long, doc_id long, th long, packed long, end long"), "stretches")
     lo = F.shiftright("packed", 32)
-    whole = found.filter("h is null").select("doc_id", "th", lo.alias("lo"), (lo + F.shiftright("packed", 25).bitwiseAND(F.lit(127)) + LENGTH).alias("end"))
+    whole = found.filter("h is null").select("doc_id", "th", lo.alias("lo"), F.coalesce("end", lo + F.shiftright("packed", 25).bitwiseAND(F.lit(127)) + LENGTH).alias("end"))
     firsts = found.filter("h is not null")
     giant = written(firsts.groupBy("h").count().filter(F.col("count") > GROUP).select("h"), "giant")
     lists = firsts.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "packed")).alias("firsts"))
