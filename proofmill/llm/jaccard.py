@@ -13,7 +13,7 @@ end), then by hash; the order decides cost only, never the result.
   these lists too.
 
 The boundary is the size with the least cost over the counted sizes: subsets on one
-side, list entries and the mean list's length on the other.
+side, list entries and the mean length of prefix tokens' lists on the other.
 
 Within a list, pairs must agree in length and in position (enough tokens left after
 the common one), then a parity bitmap as long as the set bounds the difference from
@@ -39,13 +39,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from proofmill.llm import memo
 from proofmill.llm.components import Union, components, popcount
 from proofmill.llm.shared import maybe_broadcast, table, written
 from proofmill.llm.vec import SPACED, U64, mix, slices, window_hash, words
 
 WIDTH = 5
 SMALL = 16
-HOT_TOKENS = 1_000_000
+HOT_TOKENS = 1 << 18
 LIST_ROWS = 50_000
 BUCKET_TOKENS = 8_000_000
 IDS = 4_000_000
@@ -112,6 +113,22 @@ def may_link(a: int, b: int, difference: int) -> bool:
     return 9 * (a + b - difference) >= 8 * (a + b)
 
 
+def prefix_list_length(total: int, lengths: dict[int, int]) -> float:
+    """The mean list length over the rarest fifth of all token occurrences, from which prefixes are made.
+
+    ``lengths`` counts the frequent tokens by frequency; other tokens count as met once.
+    """
+    room = max(1.0, 0.2 * total)
+    rare = min(room, max(0, total - sum(n * k for n, k in lengths.items())))
+    used, weighed = float(rare), float(rare)
+    for n in sorted(lengths):
+        take = min(room - used, n * lengths[n])
+        if take <= 0:
+            break
+        used, weighed = used + take, weighed + take * n
+    return weighed / max(1.0, used)
+
+
 def boundary(sizes: dict[int, int], mean_list: float) -> int:
     """The largest light size, by the least total cost."""
     order = sorted(s for s in sizes if s >= 4)
@@ -134,6 +151,7 @@ def survey(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     """Frequent tokens (sorted), their ranks, and the boundary of light sets, from all documents."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo.only("")
         seen, sizes, held, total = set(), {}, [], 0
 
         def tokens(parts: list) -> pa.RecordBatch:
@@ -151,7 +169,7 @@ def survey(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
                     sizes[len(s)] = sizes.get(len(s), 0) + 1
                     held.append(s)
                     total += len(s)
-            if total > 12_000_000:
+            if total > 4_000_000:
                 yield tokens(held)
                 held, total, seen = [], 0, set()
         if held:
@@ -161,11 +179,11 @@ def survey(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     found = written(docs.select("text").mapInArrow(look, "size long, token long, n long").groupBy("size", "token").agg(F.sum("n").alias("n")), "survey")
     sizes = {r["size"]: r.n for r in found.filter("size is not null").collect()}  # a row per size
     frequent = found.filter("token is not null")
-    squares = frequent.agg(F.sum(F.col("n") * F.col("n").cast("double"))).first()[0] or 0.0
-    top = frequent.orderBy(F.desc("n"), "token").limit(HOT_TOKENS).select("token", "n").toPandas()
-    keys, n = top["token"].to_numpy(np.int64).view(U64), top["n"].to_numpy(np.int64)
+    lengths = {r.n: r["count"] for r in frequent.groupBy("n").count().collect()}  # a row per frequency
+    top = frequent.orderBy(F.desc("n"), "token").limit(HOT_TOKENS).select("token", "n").toArrow()
+    keys, n = top.column("token").to_numpy().astype(np.int64).view(U64), top.column("n").to_numpy().astype(np.int64)
     order = np.argsort(keys)
-    return keys[order], n[order], boundary(sizes, 1 + squares / max(1, sum(s * n for s, n in sizes.items())))
+    return keys[order], n[order], boundary(sizes, prefix_list_length(sum(s * n for s, n in sizes.items()), lengths))
 
 
 def signatures(tokens: np.ndarray, keys: np.ndarray, ranks: np.ndarray, light: int) -> tuple[np.ndarray, np.ndarray]:
@@ -192,6 +210,7 @@ def described(docs: DataFrame, keys: np.ndarray, ranks: np.ndarray, light: int)
     shared = docs.sparkSession.sparkContext.broadcast((keys, ranks))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo.only("")
         keys, ranks = shared.value
         for batch in batches:
             for part in slices(batch):
