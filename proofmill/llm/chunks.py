@@ -14,6 +14,8 @@ import re
 
 import numpy as np
 
+from proofmill.llm import memo
+
 #: A space at an end of the text or beside other white space: such texts are cut more carefully.
 _ODD = re.compile(r"(?:^|\s) | (?:\s|$)")
 _RARE_SPACE = re.compile(r"[^\S \n]")
@@ -29,7 +31,7 @@ _BATCH = 512
 class ChunkEncoder:
     """Encodes texts to little-endian id bytes; at most ``keep`` chunks and as many runs stay in memory."""
 
-    def __init__(self, path: str, dtype: str, keep: int = 1_000_000):
+    def __init__(self, path: str, dtype: str, keep: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -152,6 +154,8 @@ _encoders: dict[tuple, ChunkEncoder] = {}
 
 def encoder(path: str, dtype: str) -> ChunkEncoder:
     """The worker's encoder of this file, kept from task to task."""
+    memo.keeps("chunks", _encoders.clear)
+    memo.only("chunks")
     key = (path, dtype)
     if key not in _encoders:
         _encoders[key] = ChunkEncoder(path, dtype)

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from proofmill.llm import memo
 from proofmill.llm.shared import table
 from proofmill.llm.vec import slices
 
@@ -132,6 +133,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """Per document: doc_id, n_bytes, n_tokens, over_limit."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo.keeps("counts", _counters.clear)
+        memo.only("counts")
         if path not in _counters:
             _counters[path] = MergeCounter(path)
         counter = _counters[path]
