@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from proofmill.llm.shared import maybe_broadcast, table, written
+from proofmill.llm import memo
+from proofmill.llm.shared import table, written
 from proofmill.llm.vec import slices
 
 TRAIN = 20_000
@@ -260,12 +261,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN) -> ToxicModel:
     usable = labels.select("doc_id", "toxic").filter(F.col("toxic").isin(0, 1)).filter(~held_out()).dropDuplicates(["doc_id"])
     drawn = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # copies would count one accident many times: one document of each label and family stays
-    family = F.min_by("word", F.xxhash64("word"))
-    drawn = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").withColumn("row", F.monotonically_increasing_id())
-    drawn = written(drawn, "tox-drawn")
-    words = drawn.select("row", F.explode(F.array_distinct(F.split(F.lower("text"), r"[\s.,;:!?]+"))).alias("word")).filter(F.length("word") >= 7)
-    families = words.groupBy("row").agg(family.alias("family"))
-    sample = written(drawn.join(families, "row", "left").withColumn("family", F.coalesce("family", F.sha2("text", 256))).dropDuplicates(["toxic", "family"]).select("text", "toxic"), "tox-train")
+    drawn = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").withColumn("words", F.split(F.lower("text"), r"[\s.,;:!?]+"))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.xxhash64(F.element_at("words", i), F.element_at("words", i + 1)))
+    family = F.when(F.size("words") > 1, F.array_min(pairs)).otherwise(F.xxhash64("text"))
+    sample = written(drawn.select("text", "toxic", family.alias("family")).dropDuplicates(["toxic", "family"]).select("text", "toxic"), "tox-train")
     n = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if not n.get(0) or not n.get(1):
         return ToxicModel(LexiconAutomaton([]), None)
@@ -307,6 +306,7 @@ def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo.only("")
         model = shared.value
         for batch in batches:
             for part in slices(batch):
@@ -316,6 +316,7 @@ def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
                     kinds = Counter(kind for _, kind, *_ in found)
                     out.append({"score": model.score(found, n_words), "n_exact": kinds["exact"], "n_near": kinds["near"], "n_quoted": sum(q for _, _, q, _ in found)})
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(out, _ARROW_TOX)], names=[*names, "tox"])
+        model.automaton.memo.clear()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("tox", TOX)]))
 
