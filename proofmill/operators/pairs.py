@@ -103,34 +103,51 @@ def _both(field: str, prefix: str) -> tuple[Column, Column]:
     return F.col(f"a.{prefix}_{field}"), F.col(f"b.{prefix}_{field}")
 
 
-def _sets(field: str) -> tuple[Column, Column]:
-    a, b = _both(field, "t")
-    return S.jaccard(a, b), S.containment(a, b)
+def measured(pairs: DataFrame) -> DataFrame:
+    """Pairs with every measure that needs no sequence ratio, each worked out once.
+
+    For each of FIELDS: m_ the larger set measure, gone_ whether a side is missing, even_ whether both are
+    equal and so alike in full; for subject and predicate close_, whether the sets alone make them the same.
+    """
+    out = pairs
+    for f in FIELDS:
+        (ta, tb), (na, nb) = _both(f, "t"), _both(f, "n")
+        out = out.withColumns({f"j_{f}": S.jaccard(ta, tb), f"c_{f}": S.containment(ta, tb)})
+        if f in ("subject", "predicate"):
+            gone, even = (na == "") | (nb == ""), na == nb
+        else:
+            gone = X.filled(F.col(f"a.{f}")).isNull() | X.filled(F.col(f"b.{f}")).isNull()
+            even = (F.col(f"a.{f}") == F.col(f"b.{f}")) if f == "period" else F.lit(False)
+        out = out.withColumns({f"m_{f}": F.greatest(f"j_{f}", f"c_{f}"), f"gone_{f}": gone, f"even_{f}": even})
+        if f in ("subject", "predicate"):
+            out = out.withColumn(f"close_{f}", ~F.col(f"gone_{f}") & (F.col(f"even_{f}") | (F.col(f"j_{f}") >= 0.40) | (F.col(f"c_{f}") >= 0.60)))
+    return out.withColumns(
+        {
+            "m_shared": F.size(F.array_intersect("a.t_claim", "b.t_claim")),
+            "m_cues": F.size(F.array_intersect("a.t_cues", "b.t_cues")),
+            "m_unit": U.same_unit(F.col("a.unit"), F.col("b.unit")).cast("double"),
+            "m_kind": U.same_value_type(F.col("a.value_type"), F.col("b.value_type")).cast("double"),
+        }
+    )
+
+
+def _unmeasured(df: DataFrame) -> DataFrame:
+    names = [f"{p}_{f}" for f in FIELDS for p in ("j", "c", "m", "gone", "even", "close")]
+    return df.drop(*names, "m_shared", "m_cues", "m_unit", "m_kind")
 
 
 def _same(field: str, ratio: Column) -> Column:
-    (a, b), (j, c) = _both(field, "n"), _sets(field)
-    return (a != "") & (b != "") & ((a == b) | (ratio >= 0.75) | (j >= 0.40) | (c >= 0.60))
+    return F.col(f"close_{field}") | (~F.col(f"gone_{field}") & (ratio >= 0.75))
 
 
 def _likeness(field: str, ratio: Column) -> Column:
-    (a, b), best = _both(field, "n"), F.greatest(ratio, *_sets(field))
-    if field in ("subject", "predicate"):
-        return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(best)
-    a, b = F.col(f"a.{field}"), F.col(f"b.{field}")
-    missing = X.filled(a).isNull() | X.filled(b).isNull()
-    if field == "period":
-        return F.when(missing, 0.0).when(a == b, 1.0).otherwise(best)
-    return F.when(missing, 0.0).otherwise(best)
+    return F.when(F.col(f"gone_{field}"), 0.0).when(F.col(f"even_{field}"), 1.0).otherwise(F.greatest(ratio, f"m_{field}"))
 
 
 def score(ratio: dict[str, Column], same_subject: Column | None = None) -> Column:
-    """Score and reason of a pair, given the sequence ratio of each field (or a bound of it)."""
+    """Score and reason of a measured pair, given the sequence ratio of each field (or a bound of it)."""
     like = {f: _likeness(f, ratio[f]) for f in FIELDS}
-    shared = F.size(F.array_intersect("a.t_claim", "b.t_claim"))
-    cue = F.size(F.array_intersect("a.t_cues", "b.t_cues"))
-    unit = U.same_unit(F.col("a.unit"), F.col("b.unit")).cast("double")
-    kind = U.same_value_type(F.col("a.value_type"), F.col("b.value_type")).cast("double")
+    shared, cue, unit, kind = (F.col(f"m_{x}") for x in ("shared", "cues", "unit", "kind"))
     d, b, s, p = (like[f] for f in ("definition", "basis", "scope", "period"))
     subject = _same("subject", ratio["subject"]) if same_subject is None else same_subject
     close = 70 + 12 * d + 5 * b + 5 * s + 8 * p + 1.5 * F.least(shared, F.lit(5)) + 3 * unit + 2 * kind
@@ -150,24 +167,27 @@ def _guarded(scored: Column) -> Column:
     return F.when(F.col("a.id").eqNullSafe(F.col("b.id")), zero("same_claim")).when((a == b).eqNullSafe(True), zero("same_document")).when(scored["score"] < THRESHOLD, zero("below_threshold")).otherwise(scored)
 
 
-def pair_scores(pairs: DataFrame) -> DataFrame:
-    """Pairs of prepared claims with ``score`` and ``reason``."""
+def _scored(pairs: DataFrame) -> DataFrame:
+    """Measured pairs with ``score`` and ``reason``."""
     ratios = {f"r_{f}": S.sequence_ratio(*_both(f, "s")) for f in FIELDS}
-    out = pairs.withColumns(ratios).withColumn("scored", _guarded(score({f: F.col(f"r_{f}") for f in FIELDS})))
+    out = pairs.withColumns(ratios).withColumn("scored", score({f: F.col(f"r_{f}") for f in FIELDS})).withColumn("scored", _guarded(F.col("scored")))
     return out.select("*", "scored.score", "scored.reason").drop("scored", *ratios)
 
 
+def pair_scores(pairs: DataFrame) -> DataFrame:
+    """Pairs of prepared claims with ``score`` and ``reason``."""
+    return _unmeasured(_scored(measured(pairs)))
+
+
 def candidate_pairs(pairs: DataFrame) -> DataFrame:
     """Pairs whose score is above 0; only those that bounds leave open are scored with sequence ratios."""
     low = {f: F.lit(0.0) for f in FIELDS}
     high = {f: S.ratio_bound(*_both(f, "s")) for f in FIELDS}
-    surely_subject = _same("subject", low["subject"])
-    least = score(low, F.lit(False))["score"]
-    most = score(high, F.lit(False))["score"]
-    state = F.when(surely_subject | (least >= THRESHOLD + 1e-9), "in").when((high["subject"] < 0.75 - 1e-9) & (most < THRESHOLD - 1e-9), "out").otherwise("open")
-    staged = pairs.filter(~F.col("a.id").eqNullSafe(F.col("b.id"))).withColumn("state", state)
-    decided = staged.filter("state = 'in'").drop("state")
-    scored = pair_scores(staged.filter("state = 'open'").drop("state")).filter("score > 0").drop("score", "reason")
+    bounded = measured(pairs.filter(~F.col("a.id").eqNullSafe(F.col("b.id")))).withColumn("least", score(low, F.lit(False))["score"]).withColumn("most", score(high, F.lit(False))["score"])
+    state = F.when(F.col("close_subject") | (F.col("least") >= THRESHOLD + 1e-9), "in").when((high["subject"] < 0.75 - 1e-9) & (F.col("most") < THRESHOLD - 1e-9), "out").otherwise("open")
+    staged = bounded.withColumn("state", state).drop("least", "most")
+    decided = _unmeasured(staged.filter("state = 'in'").drop("state"))
+    scored = _unmeasured(_scored(staged.filter("state = 'open'").drop("state")).filter("score > 0").drop("score", "reason"))
     return decided.unionByName(scored)
 
 
