@@ -131,6 +131,11 @@ def measured(pairs: DataFrame) -> DataFrame:
     )
 
 
+def _kept(df: DataFrame, condition: str) -> DataFrame:
+    """Filter on computed columns without the optimizer copying their whole expressions into the condition."""
+    return df.withColumn("_row", F.monotonically_increasing_id()).filter(f"{condition} and _row >= 0").drop("_row")
+
+
 def _unmeasured(df: DataFrame) -> DataFrame:
     names = [f"{p}_{f}" for f in FIELDS for p in ("j", "c", "m", "gone", "even", "close")]
     return df.drop(*names, "m_shared", "m_cues", "m_unit", "m_kind")
@@ -186,12 +191,12 @@ def candidate_pairs(pairs: DataFrame) -> DataFrame:
     bounded = measured(pairs.filter(~F.col("a.id").eqNullSafe(F.col("b.id")))).withColumn("least", score(low, F.lit(False))["score"]).withColumn("most", score(high, F.lit(False))["score"])
     state = F.when(F.col("close_subject") | (F.col("least") >= THRESHOLD + 1e-9), "in").when((high["subject"] < 0.75 - 1e-9) & (F.col("most") < THRESHOLD - 1e-9), "out").otherwise("open")
     staged = bounded.withColumn("state", state).drop("least", "most")
-    decided = _unmeasured(staged.filter("state = 'in'").drop("state"))
-    scored = _unmeasured(_scored(staged.filter("state = 'open'").drop("state")).filter("score > 0").drop("score", "reason"))
+    decided = _unmeasured(_kept(staged, "state = 'in'").drop("state"))
+    scored = _unmeasured(_kept(_scored(_kept(staged, "state = 'open'").drop("state")), "score > 0").drop("score", "reason"))
     return decided.unionByName(scored)
 
 
 def rank_candidates(pairs: DataFrame, top: int = TOP) -> DataFrame:
     """The best-scored pairs of each session, ties in pair order."""
     best = Window.partitionBy("session_id").orderBy(F.desc("score"), F.col("a.ord"), F.col("b.ord"))
-    return pair_scores(pairs).filter("score > 0").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
+    return _kept(pair_scores(pairs), "score > 0").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)

@@ -59,4 +59,8 @@ def partition(decided: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def offline(undecided: DataFrame) -> DataFrame:
     """The deterministic default adjudicator."""
-    return undecided.withColumn("verdict", F.struct(*(F.lit(v).alias(k) for k, v in OFFLINE.items())))
+    return undecided.withColumn("verdict", uncertain())
+
+
+def uncertain() -> Column:
+    return F.struct(*(F.lit(v).alias(k) for k, v in OFFLINE.items()))

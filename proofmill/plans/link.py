@@ -21,8 +21,13 @@ def link_sessions(claims: DataFrame, relationships: DataFrame, adjudicate: Adjud
     """
     verified = P.ordered(claims.filter("verified"))
     pairs = P.new_pairs(P.enumerate_pairs(V.prepared(P.prepared(verified))), relationships)
-    ruled, open_ = V.partition(V.decide(P.candidate_pairs(pairs)))
-    results = ruled.unionByName(adjudicate(open_)).select(
+    decided = V.decide(P.candidate_pairs(pairs))
+    if adjudicate is V.offline:  # no second pass over the pairs for a constant answer
+        answered = decided.withColumn("verdict", F.coalesce("verdict", V.uncertain()))
+    else:
+        ruled, open_ = V.partition(decided)
+        answered = ruled.unionByName(adjudicate(open_))
+    results = answered.select(
         "session_id",
         F.col("a.id").alias("source_claim_id"),
         F.col("b.id").alias("target_claim_id"),

@@ -96,9 +96,10 @@ def test_link_is_idempotent_and_offline(spark):
     table = claims(spark, {}, {}, {"subject": "Apple", "predicate": "turnover"}, {"verified": False})
     none = spark.createDataFrame([], "source_claim_id string, target_claim_id string")
     new = link_sessions(table, none)
-    rows = {(r.source_claim_id, r.target_claim_id): r for r in new.collect()}
+    found = new.collect()
+    rows = {(r.source_claim_id, r.target_claim_id): r for r in found}
     assert rows["0", "1"].decided_by == "rules" and rows["0", "2"].relationship_type == "UNCERTAIN" and len(rows) == 3
-    turned = new.select(F.col("target_claim_id").alias("source_claim_id"), F.col("source_claim_id").alias("target_claim_id"))
+    turned = spark.createDataFrame([(r.target_claim_id, r.source_claim_id) for r in found], "source_claim_id string, target_claim_id string")
     assert link_sessions(table, turned).count() == 0
     assert link_sessions(table.limit(1), none).count() == 0
 
