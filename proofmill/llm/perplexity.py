@@ -1,12 +1,13 @@
 """Quality rules with a modified Kneser-Ney character model per language.
 
 Spark counts the 4-grams of characters of the reference documents (those labelled
-good; without such labels, all) and derives, by grouping alone, the continuation
-counts of the lower orders, the three discounts per order and language, and the
-interpolated probabilities and backoff weights. They are stored as arrays sorted
-by 64-bit hash; a look-up starts at the bucket of the hash's top bits. 4-grams
-rarer than the least count that keeps the arrays within ``MOST`` entries are left
-to the lower orders, so what is broadcast is bounded.
+good; of a language without such documents, all) and derives, by grouping alone,
+the continuation counts of the lower orders, the three discounts per order and
+language, and the interpolated probabilities and backoff weights. The model stays a
+table and whole: joins give each distinct 4-gram of the documents its probability.
+Up to ``HELD`` of these go out as arrays sorted by 64-bit hash, in which a look-up
+starts at the bucket of the hash's top bits; more are joined to the counted 4-grams
+of each document. Both ways use the same values.
 
 A document's perplexity is taken over all its 4-grams. Each language has a lower
 and an upper band, from the quantiles of all its documents; documents outside are
@@ -26,11 +27,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofmill.llm.shared import maybe_broadcast, table, written
+from proofmill.llm.shared import at_most, maybe_broadcast, table, written
 from proofmill.llm.vec import SPACED, U64, mix, runs, slices, span_hash, text_buffers, window_hash
 
 ORDER = 4
-MOST = 1_500_000
+HELD = 2_000_000  # 4-grams with their probabilities in a broadcast; more are joined
+LOW = 200_000  # entries of a lower order in a broadcast
 BAND = 10.0  # times the distance between the quartiles, on either side of the median
 NARROWEST = 0.02  # that the distance counts as, at least
 NO_LANG = ""
@@ -156,14 +158,14 @@ class HashArrays:
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         order = np.argsort(keys)
-        self.keys, self.values = keys[order], values[order].astype(np.float32)
+        self.keys, self.values = keys[order], values[order]
         self.bits = max(1, int(len(keys)).bit_length())
         self.shift = U64(64 - self.bits)
         self.first = np.searchsorted(self.keys >> self.shift, np.arange((1 << self.bits) + 1, dtype=U64)).astype(np.int32)
 
     def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Values, and which keys are there."""
-        out, there = np.zeros(len(keys), np.float32), np.zeros(len(keys), bool)
+        out, there = np.zeros(len(keys), self.values.dtype), np.zeros(len(keys), bool)
         bucket = (keys >> self.shift).astype(np.int64)
         at, end = self.first[bucket], self.first[bucket + 1]
         todo = np.flatnonzero(at < end)
@@ -178,58 +180,38 @@ class HashArrays:
         return out, there
 
 
-def _key(lang: int, size: int, gram: np.ndarray) -> np.ndarray:
-    return mix(mix(gram + U64(size)) ^ U64(lang * 8 + size + 1))
+def _key(lang: np.ndarray | int, gram: np.ndarray) -> np.ndarray:
+    return mix(mix(gram) ^ (np.asarray(lang).astype(U64) + U64(1)))
 
 
 class NgramModel:
-    """Backoff look-ups over hash arrays."""
+    """The whole model as tables: logp and logb (lang, size, gram, value)."""
 
-    def __init__(self, langs: list[str], logp: HashArrays, logb: HashArrays):
+    def __init__(self, langs: list[str], logp: DataFrame, logb: DataFrame):
         self.langs, self.logp, self.logb = {x: i for i, x in enumerate(langs)}, logp, logb
 
-    def score(self, lang: str, keys: np.ndarray) -> np.ndarray:
-        """Natural log probability of the last character of each 4-gram after the first three."""
-        code = self.langs[lang]
-        out, todo = np.zeros(len(keys)), np.arange(len(keys))
+    def scored(self, grams: DataFrame) -> DataFrame:
+        """lang, gram, logp: the natural log probability of the last character of each distinct 4-gram after the first three."""
+        out = grams.select("lang", "gram", F.lit(0.0).alias("logp"), F.lit(True).alias("open"))
         for size in range(ORDER, 0, -1):
-            part = keys[todo] if size == ORDER else keys[todo] & U64(MASKS[size])
-            value, there = self.logp.get(_key(code, size, part))
-            out[todo] += np.where(there, value, 0)
-            todo, part = todo[~there], part[~there]
-            weight, _ = self.logb.get(_key(code, size - 1, part >> U64(16) if size > 1 else np.zeros(len(part), U64)))
-            out[todo] += weight
-            if not len(todo):
-                break
-        return out
-
-
-def fit(reference: DataFrame, most: int = MOST) -> NgramModel:
+            own = self.logp.filter(F.col("size") == size).select("lang", F.col("gram").alias("part"), F.col("logp").alias("own"))
+            weight = self.logb.filter(F.col("size") == size - 1).select("lang", F.col("gram").alias("context"), F.col("logb").alias("weight"))
+            part = F.col("gram") if size == ORDER else F.col("gram").bitwiseAND(F.lit(MASKS[size]))
+            out = out.withColumn("part", part).withColumn("context", F.shiftrightunsigned("part", 16))
+            out = out.join(maybe_broadcast(own, LOW), ["lang", "part"], "left")
+            # a language without a model has no weight for an unseen character
+            out = out.join(maybe_broadcast(weight, LOW), ["lang", "context"], "left" if size > 1 else "inner")
+            step = F.when(F.col("open"), F.coalesce("own", "weight", F.lit(0.0))).otherwise(0.0)
+            out = out.select("lang", "gram", (F.col("logp") + step).alias("logp"), (F.col("open") & F.col("own").isNull()).alias("open"))
+        return written(out.select("lang", "gram", "logp"), "scores")
+
+
+def fit(reference: DataFrame) -> NgramModel:
     """Count, estimate and store the model of ``reference`` (lang, text)."""
     counts = written(count_grams(reference), "grams")
     logp, logb = kneser_ney(counts)
-    logp = written(logp, "logp")
-    sizes = logp.groupBy(F.when(F.col("size") < ORDER, 0).otherwise(F.least("n", F.lit(1000))).alias("n")).count().collect()
-    # contexts and lower orders come in with their 4-grams: twice the 4-grams at most
-    least, kept = 1, sum(r["count"] for r in sizes)
-    for k in range(1, 1000):
-        if kept <= most:
-            break
-        least, kept = k + 1, kept - sum(r["count"] for r in sizes if r.n == k)
-    if least > 1:
-        logp = logp.filter((F.col("size") < ORDER) | (F.col("n") >= least))
-        logb = logb.join(logp.filter(f"size = {ORDER}").select("lang", F.lit(ORDER - 1).alias("size"), F.shiftrightunsigned("gram", 16).alias("gram")).distinct().withColumn("used", F.lit(True)), ["lang", "size", "gram"], "left").filter(f"used or size < {ORDER - 1}").drop("used")
-    langs = sorted(r.lang for r in logp.select("lang").distinct().collect())
-
-    names = F.array(*map(F.lit, langs)) if langs else F.array(F.lit(""))
-
-    def arrays(df: DataFrame, value: str) -> HashArrays:
-        rows = df.select((F.array_position(names, F.col("lang")) - 1).cast("int").alias("code"), "size", "gram", F.col(value).cast("float").alias("value")).toArrow()
-        code, size, gram, values = (rows.column(c).to_numpy() for c in ("code", "size", "gram", "value"))
-        keys = mix(mix(gram.astype(np.int64).view(U64) + size.astype(U64)) ^ (code.astype(U64) * U64(8) + size.astype(U64) + U64(1)))
-        return HashArrays(keys, values)
-
-    return NgramModel(langs, arrays(logp, "logp"), arrays(logb, "logb"))
+    logp, logb = written(logp, "logp"), written(logb, "logb")
+    return NgramModel(sorted(r.lang for r in logb.filter("size = 0").select("lang").collect()), logp, logb)
 
 
 def base_measures(column: pa.Array) -> dict[str, np.ndarray]:
@@ -272,26 +254,63 @@ def base_measures(column: pa.Array) -> dict[str, np.ndarray]:
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def measure(docs: DataFrame, model: NgramModel) -> DataFrame:
+def _held(scores: DataFrame, langs: dict[str, int]) -> HashArrays:
+    """The probabilities in arrays; ``langs`` names each language's code."""
+    names = F.array(*map(F.lit, langs)) if langs else F.array(F.lit(""))
+    rows = scores.select((F.array_position(names, F.col("lang")) - 1).cast("int").alias("code"), "gram", "logp").toArrow()
+    code, gram, values = (rows.column(c).to_numpy() for c in ("code", "gram", "logp"))
+    return HashArrays(_key(code, gram.astype(np.int64).view(U64)), values)
+
+
+def _joined(docs: DataFrame, scores: DataFrame) -> DataFrame:
+    """k1, k2, log_perplexity of the distinct rows of ``docs`` (k1, k2, lang, text)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                k1, k2 = (part.column(c).to_numpy() for c in ("k1", "k2"))
+                for lang, at in by_language(part):
+                    keys, doc = grams(*characters(part.column("text").take(pa.array(at))))
+                    order = np.lexsort((keys, doc))
+                    keys, doc = keys[order], doc[order]
+                    first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])])[: len(keys)])
+                    n, row = np.diff(np.append(first, len(keys))), at[doc[first]]
+                    yield pa.record_batch({"k1": pa.array(k1[row]), "k2": pa.array(k2[row]), "lang": pa.array([lang] * len(row), pa.string()), "gram": pa.array(keys[first].view(np.int64)), "n": pa.array(n, pa.int64())})
+
+    counted = docs.select("k1", "k2", "lang", "text").mapInArrow(count, "k1 long, k2 long, lang string, gram long, n long")
+    # equal rows add to both sums alike
+    return counted.join(scores, ["lang", "gram"]).groupBy("k1", "k2").agg((-F.sum(F.col("n") * F.col("logp")) / F.sum("n")).alias("log_perplexity"))
+
+
+def measure(docs: DataFrame, model: NgramModel, held: int = HELD) -> DataFrame:
     """doc_id, lang, the base measures, and log_perplexity (null without a model or 4-grams)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    scores = model.scored(count_grams(docs).select("lang", "gram"))
+    join = not at_most(scores, held)
+    shared = docs.sparkSession.sparkContext.broadcast(None if join else (model.langs, _held(scores, model.langs)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        langs, values = shared.value or ({}, None)
         for batch in batches:
             for part in slices(batch):
                 base = base_measures(part.column("text"))
                 log_ppl = np.full(part.num_rows, np.nan)
                 for lang, at in by_language(part):
-                    if lang not in model.langs:
+                    if lang not in langs:
                         continue
                     keys, doc = grams(*characters(part.column("text").take(pa.array(at))))
                     n = np.bincount(doc, minlength=len(at))
-                    s = np.bincount(doc, weights=model.score(lang, keys), minlength=len(at))
+                    s = np.bincount(doc, weights=values.get(_key(langs[lang], keys))[0], minlength=len(at))
                     log_ppl[at] = np.where(n > 0, -s / np.maximum(n, 1), np.nan)
-                yield pa.record_batch({"doc_id": part.column("doc_id"), "lang": pc.fill_null(part.column("lang"), NO_LANG)} | {k: pa.array(base[k].astype(np.int64)) for k in MEASURES} | {"log_perplexity": pa.array(log_ppl, mask=np.isnan(log_ppl))})
+                ids = {c: part.column(c) for c in ("k1", "k2", "doc_id") if c in part.schema.names}
+                yield pa.record_batch(ids | {"lang": pc.fill_null(part.column("lang"), NO_LANG)} | {k: pa.array(base[k].astype(np.int64)) for k in MEASURES} | {"log_perplexity": pa.array(log_ppl, mask=np.isnan(log_ppl))})
 
-    return docs.select("doc_id", "lang", "text").mapInArrow(score, "doc_id long, lang string, " + ", ".join(f"{k} long" for k in MEASURES) + ", log_perplexity double")
+    columns = "doc_id long, lang string, " + ", ".join(f"{k} long" for k in MEASURES) + ", log_perplexity double"
+    docs = docs.select("doc_id", "lang", "text")
+    if not join:
+        return docs.mapInArrow(score, columns)
+    named = docs.withColumn("k1", F.xxhash64("doc_id", "lang", "text")).withColumn("k2", F.xxhash64(F.lit(1), "doc_id", F.lit(2), "lang", F.lit(3), "text"))
+    plain = named.mapInArrow(score, "k1 long, k2 long, " + columns).drop("log_perplexity")
+    return plain.join(_joined(named, scores), ["k1", "k2"], "left").drop("k1", "k2")
 
 
 def judge(scored: DataFrame, band: float = BAND) -> DataFrame:
@@ -309,11 +328,16 @@ def judge(scored: DataFrame, band: float = BAND) -> DataFrame:
     return scored.join(maybe_broadcast(bands, 10_000), "lang", "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True)))
 
 
+def reference_of(docs: DataFrame, good: DataFrame) -> DataFrame:
+    """The documents named in ``good`` (doc_id); of a language in which none of these has a 4-gram, all."""
+    docs = docs.withColumn("lang", F.coalesce("lang", F.lit(NO_LANG)))
+    best = docs.join(maybe_broadcast(good, 4_000_000), "doc_id", "left_semi")
+    served = best.filter(F.length("text") >= ORDER).select("lang").distinct()
+    return best.unionByName(docs.join(maybe_broadcast(served, 10_000), "lang", "left_anti").select(*best.columns))
+
+
 def op2_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id").distinct()
-    reference = docs.join(maybe_broadcast(good, 4_000_000), "doc_id", "left_semi")
-    model = fit(reference)
-    if not model.langs:
-        model = fit(docs)
+    model = fit(reference_of(docs, good))
     return judge(written(measure(docs, model), "scored")).select("doc_id", *MEASURES, "base_failed", "kept", "log_perplexity", "lower_band", "upper_band")
