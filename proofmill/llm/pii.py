@@ -4,15 +4,20 @@ Detected entities (mail and IP addresses, phone and card numbers, account and so
 numbers, keys and passwords, titled names) are replaced by surrogates of the same
 kind. Formatted ones go through a keyed permutation of all strings of their format:
 a Feistel network in the mixed radix of their letters and digits. It keeps
-separators, case, script, a card's check digit and a number's leading signs, and no
-two entities of one format can meet. Names are drawn by key from syllables of their
-script with the ending of the title's gender; given and family names are replaced
-one by one, and later mentions in the document without the title follow.
+separators, case, script (letters outside of the fixed alphabets stay in their
+block of 128 characters), a card's check digit and a number's leading signs, and no
+two entities of one format can meet. Mail addresses and secrets without a letter or
+digit are drawn by key; a secret of one sign repeated is a mask already and stays.
+Names are drawn by key from syllables of their script with the ending of the title's
+gender, or permuted in other scripts; given and family names are replaced one by
+one, and later mentions in the document without the title follow.
 
 One key gives one surrogate to an entity in every document. Before the texts are
 rewritten, Spark compares all distinct entities: where two share a surrogate, or a
 surrogate is itself an entity of the corpus, the later ones are drawn again until
-none do; these few go out as an override table.
+none do. Each draw gives names a syllable more, and later draws lengthen secrets, mail
+addresses and phone numbers. The draws are a table, broadcast where it is small and
+joined to the texts' entities where not.
 
 Null texts stay null, empty ones empty. Repeated rows get equal results. Columns of
 documents pass by; ``pii`` (the replaced kinds) is added or replaced. Overlapping
@@ -24,21 +29,27 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from proofmill.llm.shared import table, written
+from proofmill.llm.shared import at_most, maybe_broadcast, table, written
 from proofmill.llm.vec import slices
 
 KEY = b"proofmill surrogate key"
 ROUNDS = 6
-OVERRIDES = 2_000_000
+HELD = 200_000  # overrides in a broadcast; more are joined
+DRAWS = 50
+SAME_LENGTH = 3  # draws before surrogates grow
 #: Alphabets that a letter or digit stays in.
-ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")
+#: Fixed value: signs that a secret without letters or digits is drawn from.
+SIGNS = "!#$%&*+-./:=?@^_~"
 HEX = ("0123456789", "abcdef", "ABCDEF")
 #: Titles by gender.
 TITLES = {"m": "Mr Herr Monsieur Señor Sr господин".split(), "f": "Mrs Ms Miss Frau Madame Mme Señora Sra госпожа".split(), "n": "Dr Prof".split()}
@@ -69,10 +80,27 @@ def _number(key: bytes, *parts: str) -> int:
     return int.from_bytes(hmac.new(key, "\x1f".join(parts).encode(), hashlib.sha256).digest(), "big")
 
 
+def _kept_case(c: str) -> bool:
+    """Whether changing the case there and back gives ``c`` again, in one character."""
+    return len(c.upper()) == len(c.lower()) == 1 and c in (c.upper().lower(), c.lower().upper())
+
+
+@lru_cache(maxsize=4096)
+def alphabet(c: str) -> str:
+    """What a letter or digit may turn into; empty for other characters."""
+    fixed = next((a for a in ALPHABETS if c in a), "")
+    kind = unicodedata.category(c)
+    if fixed or kind[0] != "L" and kind != "Nd":
+        return fixed
+    block = map(chr, range(ord(c) & ~127, (ord(c) | 127) + 1))
+    return "".join(x for x in block if unicodedata.category(x) == kind and _kept_case(x) == _kept_case(c) and not any(x in a for a in ALPHABETS))
+
+
 def permute(text: str, key: bytes, tweak: str, alphabets: tuple[str, ...] = ALPHABETS) -> str:
     """The image of ``text`` under a keyed permutation of the strings of its format."""
-    where = [(i, a) for i, c in enumerate(text) for a in alphabets if c in a]
-    shape = "".join(next((a[0] for a in alphabets if c in a), c) for c in text)
+    own = [next((a for a in alphabets if c in a), None) or alphabet(c) for c in text]
+    where = [(i, a) for i, a in enumerate(own) if a]
+    shape = "".join(a[0] if a else c for a, c in zip(own, text, strict=True))
     digits, radix = [a.index(text[i]) for i, a in where], [len(a) for _, a in where]
     n = len(digits)
     halves = (range(0, n // 2), range(n // 2, n))
@@ -88,20 +116,43 @@ def permute(text: str, key: bytes, tweak: str, alphabets: tuple[str, ...] = ALPH
     return "".join(out)
 
 
+def _drawn(n: int, signs: str, key: bytes, *parts: str) -> str:
+    """``n`` of ``signs`` by key."""
+    return "".join(signs[_number(key, str(i), *parts) % len(signs)] for i in range(n))
+
+
+def _fixed(text: str) -> bool:
+    """Whether the permutation can't change ``text``."""
+    return all(len(alphabet(c)) < 2 for c in text)
+
+
+def _grown(text: str, attempt: int, key: bytes, tweak: str) -> str:
+    """What later draws add: characters like the first that can change."""
+    more = max(0, attempt - SAME_LENGTH)
+    signs = next((a for a in map(alphabet, text) if len(a) > 1), ALPHABETS[1])
+    return _drawn(more, signs, key, tweak, "more", text) if more else ""
+
+
 def _luhn(digits: list[int]) -> int:
     """The check digit that belongs after ``digits``."""
     return -sum(d if i % 2 else sum(divmod(2 * d, 10)) for i, d in enumerate(reversed(digits))) % 10
 
 
 def _script(text: str) -> str:
-    return "cyrillic" if re.search("[Ѐ-ӿ]", text) else "greek" if re.search("[Ͱ-Ͽ]", text) else "latin"
+    if re.search("[Ѐ-ӿ]", text):
+        return "cyrillic"
+    if re.search("[Ͱ-Ͽ]", text):
+        return "greek"
+    return "latin" if all(unicodedata.name(c, "").startswith("LATIN") for c in text if c.isalpha()) else "other"
 
 
-def _person(name: str, gender: str, tweak: str, key: bytes) -> str:
+def _person(name: str, gender: str, attempt: int, tweak: str, key: bytes) -> str:
     script = _script(name)
+    if script == "other":
+        return permute(name, key, tweak) + _grown(name, attempt, key, tweak)
     x = _number(key, tweak, "name", gender, name.lower())
     out = ""
-    for _ in range(3):
+    for _ in range(3 + attempt):
         x, r = divmod(x, len(SYLLABLES[script]))
         out += SYLLABLES[script][r]
     out += ENDINGS[script, gender]
@@ -112,10 +163,14 @@ def surrogate(kind: str, text: str, attempt: int, key: bytes = KEY) -> str:
     """The replacement of an entity in its own format; ``attempt`` draws again."""
     tweak = f"{kind}{attempt}"
     if kind in ("male", "female", "family"):
-        return _person(text, {"male": "m", "female": "f"}.get(kind, "n"), tweak, key)
+        return _person(text, {"male": "m", "female": "f"}.get(kind, "n"), attempt, tweak, key)
     if kind == "email":
         head, _, end = text.rpartition(".")
-        return permute(head, key, tweak + end.lower()) + "." + end
+        if _fixed(head):
+            name = "".join(_drawn(1, ALPHABETS[1], key, tweak, text, str(i)) if c not in "@." else c for i, c in enumerate(head))
+        else:
+            name = permute(head, key, tweak + end.lower())
+        return _grown(head, attempt, key, tweak) + name + "." + end
     if kind == "ip":
         octets = [int(x) for x in text.split(".")]
         for k in range(ROUNDS):
@@ -138,12 +193,15 @@ def surrogate(kind: str, text: str, attempt: int, key: bytes = KEY) -> str:
     if kind == "phone":
         country = re.match(r"\+\d{1,3}(?=\D)", text)
         fixed = country[0] if country else ""
-        return fixed + permute(text[len(fixed) :], key, tweak + fixed)
+        return fixed + permute(text[len(fixed) :], key, tweak + fixed) + _grown(text[len(fixed) :], attempt, key, tweak)
     if kind == "key":
         return text[:4] + permute(text[4:], key, tweak)
     if kind == "iban":
         return text[:2] + permute(text[2:], key, tweak + text[:2])
-    return permute(text, key, tweak, HEX if re.fullmatch(r"[0-9a-fA-F]+", text) else ALPHABETS)
+    more = _grown(text, attempt, key, tweak) if kind == "secret" else ""
+    if _fixed(text):
+        return _drawn(len(text), SIGNS, key, tweak, text) + more
+    return permute(text, key, tweak, HEX if re.fullmatch(r"[0-9a-fA-F]+", text) else ALPHABETS) + more
 
 
 def entities(text: str) -> list[tuple[int, int, str, str]]:
@@ -169,6 +227,8 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
         else:
             kind = next(k for k in KINDS if m[k] is not None)
         found = text[a:b]
+        if kind == "secret" and len(set(found)) == 1 and not found[0].isalnum():
+            continue
         if kind == "phone" and not 7 <= sum(c.isdigit() for c in found) <= 15:
             continue
         out.append((a, b, kind, found.lower() if kind == "email" else found))
@@ -216,44 +276,71 @@ def distinct_entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     return docs.select("text").mapInArrow(find, "kind string, form string, new string").distinct()
 
 
-def collision_overrides(found: DataFrame, key: bytes = KEY) -> dict[tuple[str, str], int]:
-    """Draws of the entities whose first surrogate another one has or that is itself an entity."""
-    attempts: dict[tuple[str, str], int] = {}
-    spark = found.sparkSession
+def drawn_again(found: DataFrame, key: bytes = KEY) -> DataFrame:
+    """kind, form, attempt of the entities whose first surrogate another one has or that is itself an entity."""
     state = found.withColumn("attempt", F.lit(0))
-    for attempt in range(1, 50):
+    entity = found.select("kind", F.lower("form").alias("mark")).distinct()
+    for attempt in range(1, DRAWS):
         # a name's surrogate is compared without case
         keyed = state.withColumn("mark", F.lower("new"))
         shared = keyed.groupBy("kind", "mark").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "form")).alias("keeps")).filter("n > 1")
         twice = keyed.join(shared, ["kind", "mark"]).filter("form <> keeps.form").select("kind", "form")
-        own = keyed.join(found.select("kind", F.lower("form").alias("mark")).distinct(), ["kind", "mark"], "left_semi").select("kind", "form")
-        again = twice.union(own).distinct().limit(OVERRIDES + 1).collect()
-        if not again:
-            return attempts
-        if len(again) > OVERRIDES:
-            raise ValueError("more colliding entities than an override table may hold: lengthen the names' syllables")
-        rows = [(r.kind, r.form, surrogate(r.kind, r.form, attempt, key), attempt) for r in again]
-        attempts.update({(k, f): attempt for k, f, *_ in rows})
-        drawn = spark.createDataFrame(rows, "kind string, form string, new string, attempt int")
-        state = written(state.join(F.broadcast(drawn.select("kind", "form")), ["kind", "form"], "left_anti").unionByName(drawn), "entities")
-    raise ValueError("no distinct surrogates after 50 draws")
-
-
-def replace_pii(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+        own = keyed.join(entity, ["kind", "mark"], "left_semi").select("kind", "form")
+        again = written(twice.union(own).distinct(), "again")
+        if not again.limit(1).count():
+            return state.filter("attempt > 0").select("kind", "form", "attempt")
+
+        def draw(batches: Iterator[pa.RecordBatch], attempt: int = attempt) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                kinds, forms = (batch.column(c).to_pylist() for c in ("kind", "form"))
+                new = [surrogate(kind, form, attempt, key) for kind, form in zip(kinds, forms, strict=True)]
+                yield pa.record_batch({"kind": batch.column("kind"), "form": batch.column("form"), "new": pa.array(new, pa.string()), "attempt": pa.array([attempt] * len(new), pa.int32())})
+
+        drawn = again.mapInArrow(draw, "kind string, form string, new string, attempt int")
+        state = written(state.join(maybe_broadcast(again, HELD), ["kind", "form"], "left_anti").unionByName(drawn), "entities")
+    raise ValueError(f"no distinct surrogates after {DRAWS} draws")
+
+
+def collision_overrides(found: DataFrame, key: bytes = KEY) -> dict[tuple[str, str], int]:
+    """The table of ``drawn_again``, collected."""
+    return {(r.kind, r.form): r.attempt for r in drawn_again(found, key).collect()}
+
+
+def _again(docs: DataFrame, overrides: DataFrame) -> DataFrame:
+    """k1, k2, again: the overrides of each distinct text of ``docs`` (k1, k2, text)."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                k1, k2, texts = (part.column(c).to_pylist() for c in ("k1", "k2", "text"))
+                rows = [(a, b, *e) for a, b, t in zip(k1, k2, texts, strict=True) if t for e in {(kind, form) for _, _, kind, form in entities(t)}]
+                yield pa.record_batch({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate({"k1": pa.int64(), "k2": pa.int64(), "kind": pa.string(), "form": pa.string()}.items())})
+
+    found = docs.select("k1", "k2", "text").mapInArrow(find, "k1 long, k2 long, kind string, form string").distinct()
+    return found.join(overrides, ["kind", "form"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("kind", "form", "attempt")).alias("again"))
+
+
+def replace_pii(docs: DataFrame, key: bytes = KEY, held: int = HELD) -> DataFrame:
     """Documents with surrogates in ``text``, and ``pii``: the kinds replaced, in order."""
     docs = docs.drop("pii")
-    overrides = collision_overrides(written(distinct_entities(docs, key), "entities"), key)
-    shared = docs.sparkSession.sparkContext.broadcast(overrides)
-    names = docs.columns
+    overrides = drawn_again(written(distinct_entities(docs, key), "entities"), key)
+    names, fields = docs.columns, docs.schema.fields
+    join = not at_most(overrides, held)
+    shared = docs.sparkSession.sparkContext.broadcast({} if join else {(r.kind, r.form): r.attempt for r in overrides.collect()})
+    if join:
+        keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
+        docs = keyed.join(_again(keyed.select("k1", "k2", "row.text"), overrides), ["k1", "k2"], "left").select(*[F.col("row")[c].alias(c) for c in names], F.col("again").alias("_again"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                done = [(None, []) if t is None else rewrite(t, shared.value, key) for t in part.column("text").to_pylist()]
+                texts = part.column("text").to_pylist()
+                again = [{(x["kind"], x["form"]): x["attempt"] for x in xs or []} for xs in part.column("_again").to_pylist()] if join else [shared.value] * len(texts)
+                done = [(None, []) if t is None else rewrite(t, o, key) for t, o in zip(texts, again, strict=True)]
                 columns = [pa.array([t for t, _ in done], part.column(c).type) if c == "text" else part.column(c) for c in names]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([k for _, k in done], pa.list_(pa.string()))], names=[*names, "pii"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("pii", T.ArrayType(T.StringType()))]))
+    return docs.mapInArrow(run, T.StructType([*fields, T.StructField("pii", T.ArrayType(T.StringType()))]))
 
 
 def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
