@@ -23,15 +23,13 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def jaccard_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each component; documents without words link with nothing and stay."""
-    found = written(jaccard.near_duplicates(docs), "near")
-    dropped = found.filter("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(maybe_broadcast(dropped, jaccard.IDS), "doc_id", "left_anti")
-    recurring = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("n_shingles").alias("n_shingles")).filter("n > 1 and n_shingles > 0").select("doc_id")
-    if recurring.limit(1).count():
-        again = kept.join(maybe_broadcast(recurring, jaccard.IDS), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.xxhash64("text")).alias("one")).select("one.*")
-        kept = kept.join(maybe_broadcast(recurring, jaccard.IDS), "doc_id", "left_anti").unionByName(again)
-    return kept.select(*docs.columns)
+    """Keep one row of each component; documents without words link with nothing and stay."""
+    # rows are told apart by a number that is written down with them: a doc_id may recur
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_hash", F.xxhash64("text")), "rows")
+    found = written(jaccard.near_rows(rows, ("_row", "_hash")).filter("root is not null").select("root", "doc_id", "_hash", "_row"), "near")
+    kept = found.groupBy("root").agg(F.min(F.struct("doc_id", "_hash", "_row")).alias("one")).select("one._row")
+    dropped = written(found.select("_row").join(kept, "_row", "left_anti"), "dropped")
+    return rows.join(maybe_broadcast(dropped, jaccard.IDS), "_row", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

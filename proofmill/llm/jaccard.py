@@ -205,8 +205,8 @@ def signatures(tokens: np.ndarray, keys: np.ndarray, ranks: np.ndarray, light: i
     return lists, mix(mix(np.minimum(p[i], p[j]) + U64(77)) ^ np.maximum(p[i], p[j]))
 
 
-def described(docs: DataFrame, keys: np.ndarray, ranks: np.ndarray, light: int) -> DataFrame:
-    """Per document: doc_id, n, d1, d2, bits, lists, subsets."""
+def described(docs: DataFrame, keys: np.ndarray, ranks: np.ndarray, light: int, passing: tuple[str, ...] = ()) -> DataFrame:
+    """Per document: doc_id, the long columns ``passing``, n, d1, d2, bits, lists, subsets."""
     shared = docs.sparkSession.sparkContext.broadcast((keys, ranks))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,9 +219,9 @@ def described(docs: DataFrame, keys: np.ndarray, ranks: np.ndarray, light: int)
                     lists, subsets = signatures(s, keys, ranks, light)
                     rows.append((len(s), *digest(s), bitmap(s).tobytes(), lists.view(np.int64), subsets.view(np.int64)))
                 n, d1, d2, bits, lists, subsets = zip(*rows, strict=True)
-                yield pa.record_batch({"doc_id": part.column("doc_id"), "n": pa.array(n, pa.int64()), "d1": pa.array(d1, pa.int64()), "d2": pa.array(d2, pa.int64()), "bits": pa.array(bits, pa.binary()), "lists": pa.array(lists, pa.list_(pa.int64())), "subsets": pa.array(subsets, pa.list_(pa.int64()))})
+                yield pa.record_batch({c: part.column(c) for c in ("doc_id", *passing)} | {"n": pa.array(n, pa.int64()), "d1": pa.array(d1, pa.int64()), "d2": pa.array(d2, pa.int64()), "bits": pa.array(bits, pa.binary()), "lists": pa.array(lists, pa.list_(pa.int64())), "subsets": pa.array(subsets, pa.list_(pa.int64()))})
 
-    out = docs.select("doc_id", "text").mapInArrow(describe, "doc_id long, n long, d1 long, d2 long, bits binary, lists array<long>, subsets array<long>")
+    out = docs.select("doc_id", *passing, "text").mapInArrow(describe, "".join(f"{c} long, " for c in ("doc_id", *passing)) + "n long, d1 long, d2 long, bits binary, lists array<long>, subsets array<long>")
     return written(out.withColumn("rid", F.monotonically_increasing_id()), "described")
 
 
@@ -484,11 +484,14 @@ def _verify_pairs(sets: DataFrame) -> DataFrame:
     return both.filter(100 * shared >= 80 * (F.size("ta") + F.size("tb") - shared)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per document of ``docs`` (doc_id, text): doc_id, n_shingles, component_id."""
+def near_rows(docs: DataFrame, passing: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, the long columns ``passing``, n_shingles, component_id, root.
+
+    ``root`` names the component, also where a doc_id recurs in several; it is null for an empty set.
+    """
     keys, ranks, light = survey(docs)
-    info = described(docs, keys, ranks, light)
-    narrow = info.select("rid", "doc_id", "n", "d1", "d2")
+    info = described(docs, keys, ranks, light, passing)
+    narrow = info.select("rid", "doc_id", *passing, "n", "d1", "d2")
     classes = written(narrow.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("rid").alias("cls"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "classes")
     copies = narrow.join(maybe_broadcast(classes.filter("copies > 1").select("n", "d1", "d2", "cls"), IDS), ["n", "d1", "d2"]).filter("rid <> cls").select("rid")
     sets = info.filter("n >= 4").join(maybe_broadcast(copies, IDS), "rid", "left_anti").withColumnRenamed("rid", "cls")
@@ -496,9 +499,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = components(edges).withColumnRenamed("node", "cls")
     joined = classes.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = written(joined.join(least, "root").select("n", "d1", "d2", "component_id"), "named")
+    named = written(joined.join(least, "root").select("n", "d1", "d2", "component_id", "root"), "named")
     whole = narrow.join(named, ["n", "d1", "d2"], "left")
-    return whole.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return whole.select("doc_id", *passing, F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "root")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Per document of ``docs`` (doc_id, text): doc_id, n_shingles, component_id."""
+    return near_rows(docs).drop("root")
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
