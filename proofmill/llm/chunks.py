@@ -3,8 +3,8 @@
 A tokenizer whose pre-tokenizer starts a new piece at a space between two
 non-space characters gives the same ids for a text and for its chunks. Both
 tokenizers used here do; they also part a run of letters from what follows. Chunks
-and runs recur, so a worker keeps bounded tables of their ids. Every id comes from
-the tokenizers library.
+and runs recur, so a worker keeps bounded tables of their ids (``memo.Recent``), in
+which common ones stay. Every id comes from the tokenizers library.
 """
 
 from __future__ import annotations
@@ -26,16 +26,17 @@ _PLAIN = re.compile(rf"[{_LETTER}!-&(-@\[-`{{-~\n]+")
 _RUNS = re.compile(rf"[{_LETTER}]+|[^{_LETTER}]+")
 _LONGEST = 64
 _BATCH = 512
+KEEP = 250_000
 
 
 class ChunkEncoder:
-    """Encodes texts to little-endian id bytes; at most ``keep`` chunks and as many runs stay in memory."""
+    """Encodes texts to little-endian id bytes; at most twice ``keep`` chunks and as many runs stay in memory."""
 
-    def __init__(self, path: str, dtype: str, keep: int = 800_000):
+    def __init__(self, path: str, dtype: str, keep: int = KEEP):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype, self.keep = Tokenizer.from_file(path), np.dtype(dtype), keep
+        self.tokenizer, self.dtype = Tokenizer.from_file(path), np.dtype(dtype)
         # a special string splits a text before anything else looks at it: joined by one, chunks are encoded many at a time
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
         self.joint, self.joint_id = next(iter(self.special.items()), ("", -1))
@@ -45,8 +46,8 @@ class ChunkEncoder:
         self.ends = np.array(sorted(i for t, i in vocabulary.items() if suffix and t.endswith(suffix)))
         self.line_end = vocabulary.get("Ċ")
         self.folds = suffix is not None and self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("Éa") == "éa"
-        self.inner: dict[str, bytes] = {}  # chunks without the space before them
-        self.runs: dict[str, bytes] = {}
+        self.inner = memo.Recent(keep)  # chunks without the space before them
+        self.runs = memo.Recent(keep)
 
     def _joined(self, parts: list[str], joint: str) -> np.ndarray:
         [e] = self.tokenizer.encode_batch_fast([joint.join(parts)], add_special_tokens=False)
@@ -91,7 +92,8 @@ class ChunkEncoder:
     def _learn(self, chunks: list[str]) -> None:
         """Add unknown chunks (without their space) to the table."""
         rest, plans, letters, others = [], [], {}, {}
-        runs, plain, cut, marked = self.runs, _PLAIN.fullmatch, _RUNS.findall, bool(len(self.ends))
+        inner, known, runs = self.inner.new, self.runs.get, self.runs.new
+        plain, cut, marked = _PLAIN.fullmatch, _RUNS.findall, bool(len(self.ends))
         for c in chunks:
             if self.line_end is None or not plain(c) or "\n\n" in c or "<|" in c:
                 rest.append(c)
@@ -101,19 +103,18 @@ class ChunkEncoder:
                 parts[0] = " " + parts[0]
             plans.append((c, parts))
             for p in parts:
-                if p not in runs:
+                if p not in runs and known(p) is None:
                     (letters if p[-1].isalpha() else others)[p] = None
         runs.update(zip(letters, self._letters(list(letters)), strict=True))
         runs.update(zip(others, self._ids(list(others)), strict=True))
         for c, parts in plans:
-            self.inner[c] = runs[parts[0]] if len(parts) == 1 else b"".join([runs[p] for p in parts])
-        self.inner.update(zip(rest, self._ids([" " + c for c in rest]), strict=True))
-        if len(self.runs) > self.keep:
-            self.runs.clear()
+            inner[c] = runs[parts[0]] if len(parts) == 1 else b"".join([runs[p] for p in parts])
+        inner.update(zip(rest, self._ids([" " + c for c in rest]), strict=True))
+        self.runs.turn()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as bytes of ``dtype``."""
-        inner, heads, plans, unknown = self.inner, {}, [], {}
+        inner, aged, heads, plans, unknown = self.inner.new, self.inner.get, {}, [], {}
         for text in texts:
             if _is_odd(text):
                 first, *rest = _CUT.split(text)
@@ -121,9 +122,14 @@ class ChunkEncoder:
             else:
                 first, *rest = text.split(" ")
             ids = list(map(inner.get, rest))
-            missing = [i for i, x in enumerate(ids) if x is None] if None in ids else []
-            for i in missing:
-                unknown[rest[i]] = None
+            missing = []
+            if None in ids:
+                for i, x in enumerate(ids):
+                    if x is None:
+                        ids[i] = x = aged(rest[i])
+                        if x is None:
+                            missing.append(i)
+                            unknown[rest[i]] = None
             heads[first] = b""
             plans.append((first, ids, [(i, rest[i]) for i in missing]))
         new = list(unknown)
@@ -138,8 +144,7 @@ class ChunkEncoder:
         for c in new:
             if len(c) > _LONGEST:
                 del inner[c]
-        if len(inner) > self.keep:
-            inner.clear()
+        self.inner.turn()
         return out
 
 
@@ -153,9 +158,8 @@ _encoders: dict[tuple, ChunkEncoder] = {}
 
 
 def encoder(path: str, dtype: str) -> ChunkEncoder:
-    """The worker's encoder of this file, kept from task to task."""
+    """The worker's encoder of this file, kept from task to task; the task is marked by ``memo.task("chunks")``."""
     memo.keeps("chunks", _encoders.clear)
-    memo.only("chunks")
     key = (path, dtype)
     if key not in _encoders:
         _encoders[key] = ChunkEncoder(path, dtype)

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from proofmill.llm import memo
 from proofmill.llm.shared import table, written
 from proofmill.llm.vec import ALNUM, U64, slices, words
 
@@ -37,6 +38,7 @@ _ARROW_LEAK = pa.struct([("n_words", pa.int64()), ("hit", pa.list_(pa.int64())),
 def windows_of(benchmark: DataFrame, width: int) -> DataFrame:
     """A row per window: item, its words joined by spaces, and its words' hashes."""
 
+    @memo.task()
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
@@ -63,6 +65,7 @@ def word_counts(docs: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
     """How often each hash of the (sorted, bounded) vocabulary occurs in all documents."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
+    @memo.task()
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = shared.value
         n = np.zeros(len(vocab), np.int64)
@@ -164,6 +167,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block
 def _with_block(docs: DataFrame, shared) -> DataFrame:
     names = [c for c in docs.columns if c != "leak"]
 
+    @memo.task()
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):

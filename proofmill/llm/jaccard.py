@@ -18,10 +18,12 @@ side, list entries and the mean length of prefix tokens' lists on the other.
 Within a list, pairs must agree in length and in position (enough tokens left after
 the common one), then a parity bitmap as long as the set bounds the difference from
 below; no pair that links is lost. Lists of up to ``SMALL`` sets give their pairs,
-longer ones a spanning forest of the pairs that pass, so copies never give all pairs.
-The candidates' components are verified with the exact sets, each sent once to its
-component's task; components or lists beyond a bound are joined pair by pair in
-SQL instead.
+longer ones spanning forests of the pairs that pass. The candidates' components hold
+every link: their exact sets meet there, and each pair of different sets is counted
+once, as a link of both or not. Long lists and large components are dealt into
+blocks by a hash, and each pair of blocks is a task's group of bounded size, so
+neither is gathered in one place. Links are counted where they are found and never
+put out pair by pair; the links themselves leave a task as a spanning forest.
 
 Null texts are empty; a text without words has an empty set and links with nothing.
 With fewer than five words the whole sequence is the one shingle. Repeated rows link
@@ -40,15 +42,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofmill.llm import memo
-from proofmill.llm.components import Union, components, popcount
-from proofmill.llm.shared import maybe_broadcast, table, written
+from proofmill.llm.components import components, popcount
+from proofmill.llm.shared import drop_written, maybe_broadcast, table, written
 from proofmill.llm.vec import SPACED, U64, mix, slices, window_hash, words
 
 WIDTH = 5
 SMALL = 16
 HOT_TOKENS = 1 << 18
-LIST_ROWS = 50_000
-BUCKET_TOKENS = 8_000_000
+LIST_BLOCK = 256  # sets of a long list in a block
+SET_BLOCK, TOKEN_BLOCK = 512, 1 << 20  # sets and tokens of a component in a block
+COLUMNS = 4096  # tokens that are compared at once
 IDS = 4_000_000
 
 
@@ -150,8 +153,8 @@ def boundary(sizes: dict[int, int], mean_list: float) -> int:
 def survey(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     """Frequent tokens (sorted), their ranks, and the boundary of light sets, from all documents."""
 
+    @memo.task()
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo.only("")
         seen, sizes, held, total = set(), {}, [], 0
 
         def tokens(parts: list) -> pa.RecordBatch:
@@ -182,6 +185,7 @@ def survey(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     lengths = {r.n: r["count"] for r in frequent.groupBy("n").count().collect()}  # a row per frequency
     top = frequent.orderBy(F.desc("n"), "token").limit(HOT_TOKENS).select("token", "n").toArrow()
     keys, n = top.column("token").to_numpy().astype(np.int64).view(U64), top.column("n").to_numpy().astype(np.int64)
+    drop_written(docs.sparkSession, found)
     order = np.argsort(keys)
     return keys[order], n[order], boundary(sizes, prefix_list_length(sum(s * n for s, n in sizes.items()), lengths))
 
@@ -209,8 +213,8 @@ def described(docs: DataFrame, keys: np.ndarray, ranks: np.ndarray, light: int,
     """Per document: doc_id, the long columns ``passing``, n, d1, d2, bits, lists, subsets."""
     shared = docs.sparkSession.sparkContext.broadcast((keys, ranks))
 
+    @memo.task()
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo.only("")
         keys, ranks = shared.value
         for batch in batches:
             for part in slices(batch):
@@ -234,6 +238,7 @@ def _pairs_of(cls: np.ndarray, n: np.ndarray, pos: np.ndarray) -> tuple[np.ndarr
     return i[ok], j[ok]
 
 
+@memo.task()
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by sig: pairs (a, b) of lists of up to SMALL sets, members (sig set) of longer ones."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sig", pa.int64()), ("n", pa.int64()), ("pos", pa.int64())])
@@ -299,61 +304,79 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
+def block_pairs(rows: DataFrame, key: str, blocks: DataFrame, member: str) -> DataFrame:
+    """Rows dealt to the pairs (x, y) of blocks of their key, each in ``own``; ``blocks`` (key, blocks) lists the keys with several."""
+    held = rows.join(maybe_broadcast(blocks, IDS), key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = held.withColumn("own", F.pmod(F.xxhash64(member, F.lit("block")), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
+    return dealt.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("blocks", "other")
+
+
+def _spanning(linked: np.ndarray, names: np.ndarray) -> tuple[list, list]:
+    """Edges that connect what a symmetric truth table links."""
+    group = np.arange(len(names))
+    a, b = [], []
+    for i in range(len(names)):
+        js = np.flatnonzero(linked[i])
+        while len(js := js[group[js] != group[i]]):
+            group[group == group[js[0]]] = group[i]
+            a.append(int(names[i]))
+            b.append(int(names[js[0]]))
+    return a, b
+
+
+def _groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], more: tuple[str, ...]) -> Iterator[list[tuple]]:
+    """Runs of rows with equal ``names``, which the rows are sorted by; each row has the columns ``more``."""
+    held, last = [], None
+    for batch in batches:
+        keys = zip(*(batch.column(c).to_pylist() for c in names), strict=True)
+        for key, *row in zip(keys, *(batch.column(c).to_pylist() if not pa.types.is_list(batch.schema.field(c).type) else _arrays(batch.column(c)) for c in more), strict=True):
+            if key != last and held:
+                yield held
+                held = []
+            last = key
+            held.append(tuple(row))
+    if held:
+        yield held
+
+
+def _arrays(column: pa.ListArray) -> list[np.ndarray]:
+    flat, offsets = column.flatten().to_numpy(), np.asarray(column.offsets)
+    offsets = (offsets - offsets[0]).tolist()
+    return [flat[a:b].copy() for a, b in zip(offsets, offsets[1:])]  # noqa: B905
+
+
+@memo.task()
 def _long_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (sig, cls, n, pos, bits) sorted by sig: a spanning forest of the pairs of each list that pass all bounds."""
-    held: list = []
-
-    def edges() -> tuple[list, list]:
-        cls, n, pos, bits = (list(x) for x in zip(*held, strict=True))
-        order = sorted(range(len(cls)), key=lambda k: (n[k], cls[k]))
-        cls, n, pos = (np.array([x[k] for k in order], np.int64) for x in (cls, n, pos))
-        maps = [np.frombuffer(bits[k], U64) for k in order]
-        group = np.arange(len(cls))
-        a, b = [], []
-        for i in range(len(cls)):
+    """Rows (sig, x, y, own, cls, n, pos, bits) sorted by sig, x, y: spanning forests of the pairs of a list that pass all bounds."""
+    for rows in _groups(batches, ("sig", "x", "y"), ("n", "cls", "pos", "own", "bits")):
+        rows.sort(key=lambda r: r[:2])
+        n, cls, pos, own = (np.array([r[k] for r in rows], np.int64) for k in range(4))
+        maps = [np.frombuffer(r[4], U64) for r in rows]
+        width = np.array([len(x) for x in maps])
+        across = own.min() != own.max()
+        ok = np.zeros((len(rows), len(rows)), bool)
+        for i in range(len(rows)):
             j = np.arange(i + 1, np.searchsorted(n, n[i] * 5 // 4, "right"))
-            j = j[group[j] != group[i]]
-            if not len(j):
-                continue
+            if across:
+                j = j[own[j] != own[i]]
             need = -(-4 * (n[i] + n[j]) // 9)
-            ok = need <= n[i]
+            fits = need <= n[i]
             if pos[i] >= 0:
-                ok &= np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need
-            j = j[ok]
-            by_length: dict[int, list[int]] = {}
-            for x in j.tolist():
-                by_length.setdefault(len(maps[x]), []).append(x)
-            for length, xs in by_length.items():
-                mine = fold(maps[i], length)
-                other = np.stack([maps[x] for x in xs])
+                fits &= np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need
+            j = j[fits]
+            for w in np.unique(width[j]).tolist():
+                xs = j[width[j] == w]
+                mine, other = fold(maps[i], w), np.stack([maps[x] for x in xs.tolist()])
                 while other.shape[1] > len(mine):
                     half = other.shape[1] // 2
                     other = other[:, :half] ^ other[:, half:]
-                xs = np.array(xs)
-                pass_ = 9 * (n[i] + n[xs] - popcount(other ^ mine)) >= 8 * (n[i] + n[xs])
-                for x in xs[pass_].tolist():
-                    if group[x] != group[i]:
-                        group[group == group[x]] = group[i]
-                        a.append(int(cls[i]))
-                        b.append(int(cls[x]))
-        return a, b
-
-    def record(a: list, b: list) -> pa.RecordBatch:
-        return pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    sig = None
-    for batch in batches:
-        cols = [batch.column(c).to_pylist() for c in ("sig", "cls", "n", "pos", "bits")]
-        for s, *row in zip(*cols, strict=True):
-            if s != sig and held:
-                yield record(*edges())
-                held = []
-            sig = s
-            held.append(row)
-    if held:
-        yield record(*edges())
+                xs = xs[9 * (n[i] + n[xs] - popcount(other ^ mine)) >= 8 * (n[i] + n[xs])]
+                ok[i, xs] = ok[xs, i] = True
+        a, b = _spanning(ok, cls)
+        yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+@memo.task()
 def _bits_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b, na, nb, x, y = (batch.column(c).to_pylist() for c in ("a", "b", "na", "nb", "xa", "xb"))
@@ -372,84 +395,96 @@ def candidates(sets: DataFrame) -> DataFrame:
     with_bits = pairs.join(bits.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa")), "a").join(bits.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb")), "b")
     short = with_bits.mapInArrow(_bits_pass, "a long, b long")
     members = found.filter("sig is not null").select("sig", F.col("a").alias("cls"), "n", "pos")
-    giant = written(members.groupBy("sig").count().filter(F.col("count") > LIST_ROWS).select("sig"), "giant")
-    rest = members.join(maybe_broadcast(giant, 1_000_000), "sig", "left_anti").join(bits.select("cls", "bits"), "cls")
-    long = rest.repartition("sig").sortWithinPartitions("sig").mapInArrow(_long_lists, "a long, b long")
-    out = short.unionByName(long)
-    if giant.limit(1).count():
-        out = out.unionByName(_list_join(members.join(maybe_broadcast(giant, 1_000_000), "sig", "left_semi")))
-    return written(out.distinct(), "candidates")
-
-
-def _list_join(members: DataFrame) -> DataFrame:
-    """All pairs of the lists that agree in length and position, as an equi-join that Spark may split."""
-    x, y = members.alias("x"), members.alias("y")
-    need = "ceil(4 * (x.n + y.n) / 9)"
-    return x.join(y, F.expr(f"x.sig = y.sig and x.cls < y.cls and least(x.n, y.n) >= {need} and (x.pos < 0 or least(x.n - x.pos, y.n - y.pos) >= {need})")).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
-
-
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, cls, tokens) sorted by bucket: edges of the classes that truly link, enough to connect them."""
-    held: list = []
-
-    def edges() -> tuple[list, list]:
-        rows = sorted(held, key=lambda r: (len(r[1]), r[0]))
-        sets = [np.asarray(t, np.int64) for _, t in rows]
-        n = np.array([len(s) for s in sets])
-        bits = 64
-        while bits < n[-1] and bits < 1 << 14:
-            bits *= 2
-        maps = np.zeros((len(sets), bits // 64), U64)
-        for k, s in enumerate(sets):
-            odd = np.bincount((mix(s.view(U64)) & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
-            maps[k] = np.packbits(odd.astype(np.uint8), bitorder="little").view(U64)
-        group = np.arange(len(sets))
-        a, b = [], []
-        for i in range(len(sets)):
-            j = np.arange(i + 1, np.searchsorted(n, n[i] * 5 // 4, "right"))
-            j = j[group[j] != group[i]]
-            for some in np.array_split(j, max(1, len(j) // 1000)):
-                if not len(some):
-                    continue
-                some = some[9 * (n[i] + n[some] - popcount(maps[some] ^ maps[i])) >= 8 * (n[i] + n[some])]
-                for x in some.tolist():
-                    if group[x] == group[i]:
-                        continue
-                    if links(int(n[i]), int(n[x]), len(np.intersect1d(sets[i], sets[x], assume_unique=True))):
-                        group[group == group[x]] = group[i]
-                        a.append(rows[i][0])
-                        b.append(rows[x][0])
-        return a, b
-
-    def record(a: list, b: list) -> pa.RecordBatch:
-        return pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    bucket, a, b = None, [], []
-    for batch in batches:
-        tokens = batch.column("tokens")
-        flat, offsets = tokens.flatten().to_numpy(), np.asarray(tokens.offsets)
-        offsets = offsets - offsets[0]
-        for k, (name, cls) in enumerate(zip(batch.column("bucket").to_pylist(), batch.column("cls").to_pylist(), strict=True)):
-            if name != bucket and held:
-                more = edges()
-                a, b, held = a + more[0], b + more[1], []
-            bucket = name
-            held.append((cls, flat[offsets[k] : offsets[k + 1]].copy()))
-        if len(a) > 100_000:
-            yield record(a, b)
-            a, b = [], []
-    if held:
-        more = edges()
-        a, b = a + more[0], b + more[1]
-    yield record(a, b)
-
-
-def linked(docs: DataFrame, info: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges (a, b) of classes whose exact sets link, connecting all that do."""
-    bucket = written(components(edges).join(classes.select(F.col("cls").alias("node"), "n", "d1", "d2", "doc_id"), "node"), "buckets")
-    giant = bucket.groupBy("root").agg(F.sum("n").alias("tokens")).filter(F.col("tokens") > BUCKET_TOKENS).select("root")
-    giant = written(giant, "giant")
-
+    blocks = members.groupBy("sig").agg(F.ceil(F.count("*") / LIST_BLOCK).alias("blocks")).filter("blocks > 1")
+    dealt = block_pairs(members.join(bits.select("cls", "bits"), "cls"), "sig", written(blocks, "long"), "cls")
+    long = dealt.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y").mapInArrow(_long_lists, "a long, b long")
+    return written(short.unionByName(long).filter("a <> b").distinct(), "candidates", found)
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
+    """How many tokens each of the sets ``left`` shares with each of ``right`` (None: the same sets)."""
+    sets = left + (right or [])
+    split, k = len(left), len(sets)
+    if k <= 6:
+        out = np.zeros((split, len(right) if right else split), np.int64)
+        for i in range(split):
+            for j in range(i + 1, split) if right is None else range(len(right)):
+                out[i, j] = len(np.intersect1d(left[i], (right or left)[j], assume_unique=True))
+        return out if right is not None else out + out.T
+    owner = np.repeat(np.arange(k), [len(s) for s in sets])
+    _, token, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    again = often[token] > 1
+    owner, token, often = owner[again], token[again], often[often > 1]
+    _, token = np.unique(token, return_inverse=True)
+    order = np.argsort(token, kind="stable")
+    owner, token = owner[order], token[order]
+    first = np.concatenate([[0], np.cumsum(often)])
+    out = np.zeros((split, k - split if right is not None else split), np.float32)
+    if float((often.astype(float) ** 2).sum()) * 200 < float(len(often)) * k * k:
+        # few sets per token: its pairs one by one
+        for n in np.unique(often).tolist():
+            some = first[:-1][often == n]
+            if n > 1:
+                i, j = np.triu_indices(n, 1)
+                for part in np.array_split(some, max(1, len(some) * len(i) // 1_000_000)):
+                    p, q = owner[part[:, None] + i].ravel(), owner[part[:, None] + j].ravel()
+                    if right is None:
+                        out += np.bincount(p * k + q, minlength=k * k).reshape(k, k)
+                    else:
+                        mixed = (p < split) & (q >= split)
+                        out += np.bincount(p[mixed] * (k - split) + q[mixed] - split, minlength=out.size).reshape(out.shape)
+        return (out if right is not None else out + out.T).astype(np.int64)
+    for at in range(0, len(often), COLUMNS):
+        end = min(len(often), at + COLUMNS)
+        table_ = np.zeros((k, end - at), np.float32)
+        table_[owner[first[at] : first[end]], token[first[at] : first[end]] - at] = 1
+        out += table_[:split] @ (table_[split:] if right is not None else table_).T
+    return np.rint(out).astype(np.int64)
+
+
+@memo.task()
+def _count_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, x, y, own, cls, copies, tokens) sorted by bucket, x, y, cls: (cls, null, documents linked with) and edges (a, b, 0) that connect all links."""
+    out: tuple[list, list, list] = ([], [], [])
+    for rows in _groups(batches, ("bucket", "x", "y"), ("own", "cls", "copies", "tokens")):
+        rows = [r for k, r in enumerate(rows) if k == 0 or r[1] != rows[k - 1][1]]  # a class of repeated rows comes once
+        low = min(r[0] for r in rows)
+        here, there = [r for r in rows if r[0] == low], [r for r in rows if r[0] != low]
+        if len(rows) < 2:
+            continue
+        size = lambda rs: np.array([len(r[3]) for r in rs])
+        copies = lambda rs: np.array([r[2] for r in rs], np.int64)
+        other = there or here
+        shared = shared_counts([r[3] for r in here], [r[3] for r in there] if there else None)
+        linked = 100 * shared >= 80 * (size(here)[:, None] + size(other)[None, :] - shared)
+        if not there:
+            np.fill_diagonal(linked, False)
+        counts = list(zip(here, (linked @ copies(other)).tolist(), strict=True))
+        if there:
+            counts += zip(there, (linked.T @ copies(here)).tolist(), strict=True)
+            whole = np.zeros((len(rows), len(rows)), bool)
+            whole[: len(here), len(here) :] = linked
+            linked = whole | whole.T
+        a, b = _spanning(linked, np.array([r[1] for r in here + there]))
+        counts = [(r[1], n) for r, n in counts if n]
+        for column, new in zip(out, (a + [c for c, _ in counts], b + [None] * len(counts), [0] * len(a) + [n for _, n in counts]), strict=True):
+            column += new
+        if len(out[0]) > 100_000:
+            yield _link_rows(out)
+            out = ([], [], [])
+    yield _link_rows(out)
+
+
+def _link_rows(rows: tuple[list, list, list]) -> pa.RecordBatch:
+    return pa.record_batch({c: pa.array(v, pa.int64()) for c, v in zip(("a", "b", "links"), rows, strict=True)})
+
+
+def linked(docs: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """a, b, links: edges (a, b) of classes whose exact sets link, connecting all that do; where b is null, how many documents of other classes ``a`` links with."""
+    bucket = written(components(edges).join(classes.select(F.col("cls").alias("node"), "n", "d1", "d2", "doc_id", "copies"), "node"), "buckets")
+    blocks = bucket.groupBy(F.col("root").alias("bucket")).agg(F.ceil(F.greatest(F.count("*") / SET_BLOCK, F.sum("n") / TOKEN_BLOCK)).alias("blocks")).filter("blocks > 1")
+
+    @memo.task()
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
@@ -459,35 +494,17 @@ def linked(docs: DataFrame, info: DataFrame, classes: DataFrame, edges: DataFram
 
     ids = bucket.select("doc_id").distinct()
     texts = docs.select("doc_id", "text").join(maybe_broadcast(ids, IDS), "doc_id", "left_semi")
-    named = bucket.select("d1", "d2", F.col("node").alias("cls"), F.col("root").alias("bucket"))
+    named = bucket.select("d1", "d2", F.col("node").alias("cls"), F.col("root").alias("bucket"), "copies")
     sets = texts.mapInArrow(sets_of, "d1 long, d2 long, tokens array<long>").join(maybe_broadcast(named, IDS), ["d1", "d2"])
-    some_giant = giant.limit(1).count() > 0
-    if some_giant:
-        sets = written(sets.dropDuplicates(["cls"]), "sets")
-    inside = sets.join(F.broadcast(giant.withColumnRenamed("root", "bucket")), "bucket", "left_anti") if some_giant else sets
-    # sets of one class from repeated rows link with nothing new
-    out = inside.repartition("bucket").sortWithinPartitions("bucket", "cls").mapInArrow(_verify, "a long, b long").filter("a <> b")
-    if some_giant:
-        out = out.unionByName(_verify_pairs(sets.join(F.broadcast(giant.withColumnRenamed("root", "bucket")), "bucket", "left_semi")))
-    return written(out, "links")
-
-
-def _verify_pairs(sets: DataFrame) -> DataFrame:
-    """The links inside components too large for a task, by a join over their prefix tokens."""
-    sized = sets.select("cls", "tokens", F.size("tokens").cast("long").alias("n"))
-    prefix = F.slice(F.array_sort("tokens"), 1, (F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1).cast("int"))
-    postings = sized.select("cls", "n", F.posexplode(prefix).alias("pos", "sig"))
-    pairs = _list_join(postings).distinct()
-    side = lambda c: sized.select(F.col("cls").alias(c), F.col("tokens").alias(f"t{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    shared = F.size(F.array_intersect("ta", "tb"))
-    return both.filter(100 * shared >= 80 * (F.size("ta") + F.size("tb") - shared)).select("a", "b")
+    dealt = block_pairs(sets.select("bucket", "cls", "copies", "tokens"), "bucket", written(blocks, "large"), "cls")
+    return written(dealt.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "cls").mapInArrow(_count_links, "a long, b long, links long"), "links")
 
 
 def near_rows(docs: DataFrame, passing: tuple[str, ...] = ()) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, the long columns ``passing``, n_shingles, component_id, root.
+    """Per row of ``docs`` (doc_id, text): doc_id, the long columns ``passing``, n_shingles, component_id, n_links, root.
 
-    ``root`` names the component, also where a doc_id recurs in several; it is null for an empty set.
+    ``n_links`` counts the other rows that a row links with. ``root`` names the component,
+    also where a doc_id recurs in several; it is null for an empty set.
     """
     keys, ranks, light = survey(docs)
     info = described(docs, keys, ranks, light, passing)
@@ -495,17 +512,18 @@ def near_rows(docs: DataFrame, passing: tuple[str, ...] = ()) -> DataFrame:
     classes = written(narrow.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("rid").alias("cls"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "classes")
     copies = narrow.join(maybe_broadcast(classes.filter("copies > 1").select("n", "d1", "d2", "cls"), IDS), ["n", "d1", "d2"]).filter("rid <> cls").select("rid")
     sets = info.filter("n >= 4").join(maybe_broadcast(copies, IDS), "rid", "left_anti").withColumnRenamed("rid", "cls")
-    edges = linked(docs, info, classes, candidates(sets))
-    roots = components(edges).withColumnRenamed("node", "cls")
-    joined = classes.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    found = linked(docs, classes, candidates(sets))
+    roots = components(found.filter("b is not null")).withColumnRenamed("node", "cls")
+    counts = found.filter("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
+    joined = classes.join(roots, "cls", "left").join(counts, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = written(joined.join(least, "root").select("n", "d1", "d2", "component_id", "root"), "named")
+    named = written(joined.join(least, "root").select("n", "d1", "d2", "component_id", "root", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "named")
     whole = narrow.join(named, ["n", "d1", "d2"], "left")
-    return whole.select("doc_id", *passing, F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "root")
+    return whole.select("doc_id", *passing, F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "root")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per document of ``docs`` (doc_id, text): doc_id, n_shingles, component_id."""
+    """Per document of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, n_links."""
     return near_rows(docs).drop("root")
 
 

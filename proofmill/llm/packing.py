@@ -1,16 +1,20 @@
 """Vector bin packing of token pieces into fixed-size sequences.
 
 A text of more than ``max_tokens`` ids is cut into full pieces and one rest.
-Full pieces fill a sequence each. Rests are spread evenly over blocks of a
-bounded number of pieces; in a block, a sequence is filled by the rest with the
-largest dot product of its demand (tokens, one segment, loss-bearing tokens)
-and the sequence's free room, among those that fit in all three, until none
+Full pieces fill a sequence each and are named at once. Rests are spread evenly
+over blocks of a bounded number of pieces; in a block, a sequence is filled by the
+rest with the largest dot product of its demand (tokens, one segment, loss-bearing
+tokens) and the sequence's free room, among those that fit in all three, until none
 fits. Blocks are independent tasks, so nothing is gathered in one place.
 
+``cut_pieces`` makes pieces of plain documents, all of whose ids bear loss, so the
+limit on tokens is the one that binds; ``cut_conversations`` makes one example of
+each conversation, in which only the ids of given roles bear loss, so that any of
+the three limits can bind.
+
 Null and empty texts are one piece of the end id. Repeated rows are packed each.
-A piece that fits no empty sequence (too many loss-bearing tokens) can't occur:
-the limit on loss-bearing tokens is at least that on tokens, or ``pack`` says so.
-An empty table gives no rows. Other columns are ignored.
+A piece with more loss-bearing tokens than a sequence may hold fits nowhere and is
+an error. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from proofmill.llm import memo
 from proofmill.llm.chunks import encoder
 from proofmill.llm.shared import table, written
 from proofmill.llm.vec import slices
@@ -62,6 +67,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, max_tokens: int) ->
     """Pieces of each document's ids with their checksums; of plain documents every id bears loss."""
     end = np.array([end_id], "<u4").tobytes()
 
+    @memo.task("chunks")
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, "<u4")
         for batch in batches:
@@ -74,12 +80,42 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, max_tokens: int) ->
                     for at in range(0, n, max_tokens):
                         piece = ids[4 * at : 4 * (at + max_tokens)]
                         out.append((doc_id, at, len(piece) // 4, zlib.crc32(piece), n, len(piece) // 4))
-                cols = zip(*out, strict=True)
-                yield pa.record_batch({c.split()[0]: pa.array(v, pa.int64()) for c, v in zip(PIECES.split(", "), cols, strict=True)})
+                yield _pieces(out)
 
     return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
 
 
+def cut_conversations(turns: DataFrame, tokenizer: str, end_id: int, max_tokens: int, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
+    """Pieces of conversations (conv_id, turn, role, text), the turns in order, each with the end id after it.
+
+    A conversation is one example, cut only where it is longer than a sequence. Ids of
+    ``loss_roles`` bear loss. Null texts are empty, null roles bear no loss.
+    """
+    end = np.array([end_id], "<u4").tobytes()
+    whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns")).select(F.col("conv_id").alias("doc_id"), F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts"))
+
+    @memo.task("chunks")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(tokenizer, "<u4")
+        for batch in batches:
+            out = []
+            for doc_id, roles, texts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "roles", "texts")), strict=True):
+                ids = [x + end for x in enc.encode([t or "" for t in texts])]
+                bears = np.concatenate([np.full(len(x) // 4, role in loss_roles) for x, role in zip(ids, roles, strict=True)])
+                ids = b"".join(ids)
+                n = len(ids) // 4
+                for at in range(0, n, max_tokens):
+                    piece = ids[4 * at : 4 * (at + max_tokens)]
+                    out.append((doc_id, at, len(piece) // 4, zlib.crc32(piece), n, int(bears[at : at + max_tokens].sum())))
+            yield _pieces(out)
+
+    return whole.mapInArrow(cut, PIECES)
+
+
+def _pieces(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch({c.split()[0]: pa.array([r[i] for r in rows], pa.int64()) for i, c in enumerate(PIECES.split(", "))})
+
+
 def pack(pieces: DataFrame, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_TOKENS, block: int = BLOCK) -> DataFrame:
     """Give each piece (columns of PIECES) a sequence and an offset there."""
     if max_loss < max_tokens:
@@ -87,17 +123,21 @@ def pack(pieces: DataFrame, max_tokens: int = MAX_TOKENS, max_segments: int = MA
         if over:
             raise ValueError("a piece has more loss-bearing tokens than a sequence may hold")
     pieces = written(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
-    blocks = max(1, -(-pieces.filter(F.col("length") < max_tokens).count() // block))
+    names = [c.split()[0] for c in PACKED.split(", ")]
+    # sequences of full pieces have odd names, those of blocks even ones
+    full = pieces.filter(F.col("length") >= max_tokens).withColumns({"sequence_id": 2 * F.col("row") + 1, "offset": F.lit(0).cast("long")}).select(names)
+    rests = pieces.filter(F.col("length") < max_tokens)
+    blocks = max(1, -(-rests.count() // block))
     limits = (max_tokens, max_segments, max_loss)
 
     def place(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("row", ignore_index=True)
         bins, offsets = fill(frame["length"].to_numpy(), frame["loss"].to_numpy(), limits)
-        frame["sequence_id"], frame["offset"] = (int(key[0]) << 32) + bins, offsets
-        return frame[[c.split()[0] for c in PACKED.split(", ")]]
+        frame["sequence_id"], frame["offset"] = 2 * ((int(key[0]) << 32) + bins), offsets
+        return frame[names]
 
-    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
-    return dealt.groupBy("block").applyInPandas(place, PACKED)
+    dealt = rests.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
+    return full.unionByName(dealt.groupBy("block").applyInPandas(place, PACKED))
 
 
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

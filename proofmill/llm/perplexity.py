@@ -27,6 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from proofmill.llm import memo
 from proofmill.llm.shared import at_most, maybe_broadcast, table, written
 from proofmill.llm.vec import SPACED, U64, mix, runs, slices, span_hash, text_buffers, window_hash
 
@@ -82,6 +83,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
         keys, n = merged(parts)
         return pa.record_batch({"lang": pa.array([lang] * len(keys), pa.string()), "gram": pa.array(keys.view(np.int64)), "n": pa.array(n)})
 
+    @memo.task()
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
         size: dict[str, int] = {}
@@ -265,6 +267,7 @@ def _held(scores: DataFrame, langs: dict[str, int]) -> HashArrays:
 def _joined(docs: DataFrame, scores: DataFrame) -> DataFrame:
     """k1, k2, log_perplexity of the distinct rows of ``docs`` (k1, k2, lang, text)."""
 
+    @memo.task()
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
@@ -288,6 +291,7 @@ def measure(docs: DataFrame, model: NgramModel, held: int = HELD) -> DataFrame:
     join = not at_most(scores, held)
     shared = docs.sparkSession.sparkContext.broadcast(None if join else (model.langs, _held(scores, model.langs)))
 
+    @memo.task()
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, values = shared.value or ({}, None)
         for batch in batches:

@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from proofmill.llm import memo
 from proofmill.llm.shared import at_most, maybe_broadcast, table, written
 from proofmill.llm.vec import slices
 
@@ -266,6 +267,7 @@ def rewrite(text: str, overrides: dict, key: bytes = KEY) -> tuple[str, list[str
 def distinct_entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """kind, form, new: the distinct entities of all documents and their first surrogates."""
 
+    @memo.task()
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
@@ -309,6 +311,7 @@ def collision_overrides(found: DataFrame, key: bytes = KEY) -> dict[tuple[str, s
 def _again(docs: DataFrame, overrides: DataFrame) -> DataFrame:
     """k1, k2, again: the overrides of each distinct text of ``docs`` (k1, k2, text)."""
 
+    @memo.task()
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
@@ -331,6 +334,7 @@ def replace_pii(docs: DataFrame, key: bytes = KEY, held: int = HELD) -> DataFram
         keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
         docs = keyed.join(_again(keyed.select("k1", "k2", "row.text"), overrides), ["k1", "k2"], "left").select(*[F.col("row")[c].alias(c) for c in names], F.col("again").alias("_again"))
 
+    @memo.task()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):

@@ -8,8 +8,10 @@ least hash (the first, in ties). Neighbouring strings share an anchor and form a
 stretch; equal strings have equal anchors, so only stretches with one anchor hash
 can hold equal strings. They meet by a shuffle on that hash and are read as a stream:
 
-* Stretches with equal bytes: all but the first are repeats in whole. Runs of one
-  stretch in periodic text are settled before the shuffle.
+* Stretches with equal bytes (128 bits of hashes tell): all but the first are repeats
+  in whole. Runs of one stretch in periodic text, and stretches that an earlier
+  document of the same task has, are settled before the shuffle, so a line that
+  millions of documents hold sends a few rows from each task, not one from each copy.
 * The firsts of an anchor's different stretches, where the 34 bytes on one side may
   agree (nine-bit marks tell), go on with their bytes to suffix arrays. An array
   takes many anchors' stretches at once, sorts their suffixes by rank doubling, and
@@ -37,7 +39,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from proofmill.llm.shared import at_most, table, written
+from proofmill.llm import memo
+from proofmill.llm.shared import at_most, maybe_broadcast, table, written
 from proofmill.llm.vec import _BASE, _BYTE, U64, mix, powers, slices, text_buffers
 
 LENGTH, GRAM = 100, 32
@@ -102,7 +105,9 @@ def _pack(s: dict[str, np.ndarray]) -> np.ndarray:
     return (s["lo"] << 32) | (s["span"] << 25) | (s["anchor"] << 18) | (s["left"] << 9) | s["right"]
 
 
+@memo.task()
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    common = _Common()
     for batch in batches:
         for part in slices(batch):
             ids, th = part.column("doc_id").to_numpy(zero_copy_only=False), part.column("th").to_numpy(zero_copy_only=False)
@@ -117,8 +122,10 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     s = stretches(data, offs)
                 if not len(s["lo"]):
                     continue
-                s, doc, lo, end = _periodic(s)
-                # a run inside a document is settled here; its row is dealt out by its place
+                s, *periodic = _periodic(s)
+                s, *earlier = _held_before(s, ids, th, common)
+                # what is settled here is dealt out by its place
+                doc, lo, end = (np.concatenate(x) for x in zip(periodic, earlier, strict=True))
                 h = np.concatenate([s["h"].view(np.int64), mix((lo + 7919 * end).astype(U64) ^ mix(ids[doc].astype(np.int64).view(U64))).view(np.int64)])
                 owner = np.concatenate([s["doc"], doc])
                 none = pa.nulls(len(s["lo"]), pa.int64())
@@ -148,6 +155,58 @@ def _periodic(s: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarr
     return {c: v[~same] for c, v in s.items()}, s["doc"][first], s["lo"][first], hi[last] + LENGTH
 
 
+class _Common:
+    """Stretches that a task has met twice or more: hashes, and the first place so far. Only how much is shuffled depends on it."""
+
+    def __init__(self, most: int = 200_000):
+        self.most = most
+        self.rows = {c: np.zeros(0, U64 if c in ("key", "h", "bytes") else np.int64) for c in ("key", "h", "bytes", "id", "th", "lo")}
+
+    def earlier(self, rows: dict[str, np.ndarray]) -> np.ndarray:
+        """Which rows come after a known place of the same stretch."""
+        held = self.rows
+        if not len(held["key"]):
+            return np.zeros(len(rows["key"]), bool)
+        at = np.minimum(np.searchsorted(held["key"], rows["key"]), len(held["key"]) - 1)
+        same = (held["h"][at] == rows["h"]) & (held["bytes"][at] == rows["bytes"])
+        later, open_ = np.zeros(len(at), bool), same
+        for c in ("id", "th", "lo"):
+            later |= open_ & (held[c][at] < rows[c])
+            open_ = open_ & (held[c][at] == rows[c])
+        return later
+
+    def add(self, rows: dict[str, np.ndarray]) -> None:
+        if len(self.rows["key"]) > self.most:
+            self.rows = {c: v[:0] for c, v in self.rows.items()}
+        both = {c: np.concatenate([self.rows[c], v]) for c, v in rows.items()}
+        order = np.lexsort(tuple(both[c] for c in ("lo", "th", "id", "key")))
+        key = both["key"][order]
+        order = order[np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]]
+        self.rows = {c: v[order] for c, v in both.items()}
+
+
+def _held_before(s: dict[str, np.ndarray], ids: np.ndarray, th: np.ndarray, common: _Common) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches without those that came before in this task, and the latter's merged ranges: document, from, to."""
+    rank = np.empty(len(ids), np.int64)
+    rank[np.lexsort((th, ids))] = np.arange(len(ids))
+    key = s["h"] ^ mix(s["bytes"])
+    order = np.lexsort(((rank[s["doc"]] << 32) | s["lo"], key))
+    same = np.zeros(len(key), bool)
+    same[1:] = (key[order][1:] == key[order][:-1]) & (s["h"][order][1:] == s["h"][order][:-1]) & (s["bytes"][order][1:] == s["bytes"][order][:-1])
+    gone = np.zeros(len(key), bool)
+    gone[order[same]] = True
+    rows = {"key": key, "h": s["h"], "bytes": s["bytes"], "id": ids[s["doc"]], "th": th[s["doc"]], "lo": s["lo"]}
+    firsts = order[:-1][same[1:] & ~same[:-1]]
+    gone |= common.earlier(rows)
+    common.add({c: v[firsts[~gone[firsts]]] for c, v in rows.items()})
+    doc, lo = s["doc"][gone], s["lo"][gone]
+    end = lo + s["span"][gone] + LENGTH
+    run = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (lo[1:] > end[:-1])])[: len(doc)])
+    last = np.append(run[1:], len(doc)) - 1 if len(run) else run
+    return {c: v[~gone] for c, v in s.items()}, doc[run], lo[run], end[last]
+
+
+@memo.task()
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by h, bytes, doc_id, th, packed: repeats in whole (h null), and firsts that may share strings."""
     open_h = open_bytes = None
@@ -317,6 +376,7 @@ def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+@memo.task()
 def _by_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     size = 0
@@ -335,6 +395,7 @@ def _by_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
+@memo.task()
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every string of the stretches by its 128-bit hash, for anchors too common for one task."""
     for batch in batches:
@@ -346,6 +407,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"name": pa.array(rows[0], pa.binary())} | {c: pa.array(v, pa.int64()) for c, v in zip(("doc_id", "th", "lo"), rows[1:], strict=True)})
 
 
+@memo.task()
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
@@ -360,9 +422,12 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch({c: pa.array([r[i] for r in out], k) for i, (c, k) in enumerate(zip(("h", "doc_id", "th", "lo", "span", "anchor", "bytes"), kinds, strict=True))})
 
 
-def keyed(docs: DataFrame) -> DataFrame:
+def _recurs(docs: DataFrame, *columns: str) -> bool:
+    return docs.groupBy(*columns).count().filter("count > 1").limit(1).count() > 0
+
+
+def keyed(docs: DataFrame, recurring: bool) -> DataFrame:
     """doc_id, th, text; th tells documents of one id apart and is 0 where no id recurs."""
-    recurring = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count()
     return docs.select("doc_id", (F.xxhash64("text") if recurring else F.lit(0).cast("long")).alias("th"), "text")
 
 
@@ -386,16 +451,17 @@ def removed_ranges(docs: DataFrame) -> DataFrame:
     contexts = _with_texts(docs, lists).mapInArrow(_contexts, "h long, doc_id long, th long, lo long, span long, anchor long, bytes binary")
     some = giant.limit(1).count() > 0
     if some:
-        contexts = written(contexts, "contexts")
-    usual = contexts.join(F.broadcast(giant), "h", "left_anti") if some else contexts
+        contexts, giant = written(contexts, "contexts"), maybe_broadcast(giant, IDS)
+    usual = contexts.join(giant, "h", "left_anti") if some else contexts
     out = whole.unionByName(usual.repartition("h").sortWithinPartitions("h").mapInArrow(_by_suffixes, "doc_id long, th long, lo long, end long"))
     if some:
-        strings = contexts.join(F.broadcast(giant), "h", "left_semi").mapInArrow(_windows, "name binary, doc_id long, th long, lo long")
+        strings = contexts.join(giant, "h", "left_semi").mapInArrow(_windows, "name binary, doc_id long, th long, lo long")
         first = strings.groupBy("name").agg(F.min(F.struct("doc_id", "th", "lo")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("name", "first")
         out = out.unionByName(strings.join(first, "name").filter("struct(doc_id, th, lo) <> first").select("doc_id", "th", "lo", (F.col("lo") + LENGTH).alias("end")))
     return out
 
 
+@memo.task()
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
@@ -425,11 +491,13 @@ _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 
 def remove_repeats(source: DataFrame) -> DataFrame:
     """Per document of ``source`` (doc_id, text): n_bytes, n_removed, n_spans and the hash of what is left."""
-    docs = keyed(source)
-    ranges = removed_ranges(docs).select("doc_id", "th", F.shiftleft("lo", 32).bitwiseOR(F.col("end")).alias("range"))
+    recurring = _recurs(source, "doc_id")
+    docs = keyed(source, recurring)
+    twice = recurring and _recurs(docs, "doc_id", "th")
+    # equal rows are looked at once
+    ranges = removed_ranges(docs.dropDuplicates(["doc_id", "th"]) if twice else docs).select("doc_id", "th", F.shiftleft("lo", 32).bitwiseOR(F.col("end")).alias("range"))
     by_doc = written(ranges.groupBy("doc_id", "th").agg(F.collect_set("range").alias("ranges")), "ranges")
-    twice = source.groupBy("doc_id", F.xxhash64("text").alias("th")).count().filter("count > 1")
-    if twice.limit(1).count():
+    if twice:
         # equal rows after the first lose all that is long enough
         number = F.row_number().over(Window.partitionBy("doc_id", "th").orderBy("text"))
         size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")

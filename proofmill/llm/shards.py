@@ -2,14 +2,15 @@
 
 Rows are ordered by the hash of their text. A sample in which each row's chance
 grows with its size gives the keys at equal shares of the bytes; these split the
-order into many small ranges. The true size of each range is then summed over
-all rows, and a range that is overfull (it holds a large group of equal texts)
-is divided again by a second hash. Whole ranges go to shards, largest first, to
-the lightest shard. Equal texts share a range, so they share a shard unless
-their group alone is larger than a shard.
+order into many small ranges. The true size of each range is then summed over all
+rows, and an overfull range is divided by a second hash of the text into parts, so
+equal texts stay together. Only a text whose copies outweigh a shard is divided, by
+a hash of its rows. Whole parts go to shards, largest first, to the lightest shard
+(evenness decides, not the order of the ranges). Slots are numbered in cells: parts
+with many rows are cut into cells for that, which doesn't move them.
 
-Null and empty texts have size 1 and share a range. Equal rows get different
-slots. An empty table gives no rows. Other columns are ignored.
+Null and empty texts have size 1 and share a part. Equal rows get different slots.
+An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -75,30 +76,42 @@ def range_shards(rows: DataFrame, shards: int = SHARDS, ranges: int = RANGES) ->
         .drop("prefix", "below", "inside")
     )
     sizes = ranged.groupBy("range").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()  # a row per range
-    target = max(1.0, total / ranges)
-    parts = {r.range: max(1, round(max(r["size"] / target, r.n * ranges / n) / 2)) for r in sizes}
-    split = spark.createDataFrame([(k, v) for k, v in parts.items() if v > 1], "range int, parts int")
-    celled = ranged.join(F.broadcast(split), "range", "left").withColumn("cell", F.when(F.col("parts") > 1, F.pmod("tie", F.col("parts"))).otherwise(0).cast("int")).drop("parts")
-    cells = {(r.range, 0): (r["size"], r.n) for r in sizes if parts[r.range] == 1}
-    divided = [k for k, v in parts.items() if v > 1]
-    if divided:
-        counted = celled.join(F.broadcast(split.select("range")), "range", "left_semi").groupBy("range", "cell").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
-        cells.update({(r.range, r.cell): (r["size"], r.n) for r in counted.collect()})
-    units = []
-    for r in sizes:
-        if parts[r.range] > 1 and r["size"] > total / (2 * shards):
-            units += [(s, key) for key, (s, _) in cells.items() if key[0] == r.range]
-        else:
-            units.append((r["size"], (r.range, None)))
-    placed = place_units(units, shards)
+    target, shard = max(1.0, total / ranges), total / shards
+    # parts: an overfull range is divided by a second hash of the text
+    parts = {r.range: max(1, round(r["size"] / target)) for r in sizes if r["size"] > 2 * target}
+    parted = _looked_up(ranged, [(k, v) for k, v in parts.items() if v > 1], "range int, parts int", ["range"])
+    parted = parted.withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("h", F.lit("part")), F.col("parts"))).otherwise(0).cast("int")).drop("parts")
+    counted = parted.groupBy("range", "part").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()  # about a row per range
+    # texts whose copies outweigh a shard lie in parts that do; there are fewer of them than shards
+    heavy = _looked_up(parted, [(r.range, r.part, True) for r in counted if r["size"] > shard], "range int, part int, heavy boolean", ["range", "part"]).filter("heavy")
+    hot = {r.h: (r["size"], r.n) for r in heavy.groupBy("h").agg(F.sum("size").alias("size"), F.count("*").alias("n")).filter(F.col("size") > shard).collect()} if any(r["size"] > shard for r in counted) else {}
+    # cells: parts with many rows are cut by a hash of the row, for the numbering of slots
+    even = max(1, n // ranges)
+    marked = parted.withColumn("hot", F.col("h").isin(list(hot)) if hot else F.lit(False))
+    rows_of = marked.groupBy("range", "part", "hot").agg(F.count("*").alias("n")).collect()
+    many = [(r.range, r.part, r.hot, -(-r.n // even)) for r in rows_of if r.n > 2 * even]
+    celled = _looked_up(marked, many, "range int, part int, hot boolean, cells int", ["range", "part", "hot"])
+    celled = celled.withColumn("cell", F.when(F.col("cells") > 1, F.pmod("tie", F.col("cells"))).otherwise(0).cast("int")).drop("cells")
+    cell = ["range", "part", "hot", "cell"]
+    cells = [(*(r[c] for c in cell), r["size"], r.n) for r in celled.groupBy(*cell).agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()]  # a few rows per range
+    units: dict[tuple, int] = {}
+    for *name, size, _ in cells:
+        unit = tuple(name) if name[2] else tuple(name[:2])
+        units[unit] = units.get(unit, 0) + size
+    placed = place_units([(size, unit) for unit, size in units.items()], shards)
     base, where = [0] * shards, []
-    for key, (_, count) in sorted(cells.items()):
-        s = placed.get(key, placed.get((key[0], None)))
-        where.append((*key, s, base[s]))
+    for *name, _, count in sorted(cells):
+        s = placed[tuple(name) if name[2] else tuple(name[:2])]
+        where.append((*name, s, base[s]))
         base[s] += count
-    cell_table = spark.createDataFrame(where, "range int, cell int, shard int, base long")
-    order = Window.partitionBy("range", "cell").orderBy("h", "tie", *[c for c in rows.columns if c not in ("h", "tie")])
-    return celled.join(F.broadcast(cell_table), ["range", "cell"]).withColumn("slot", F.col("base") + F.row_number().over(order) - 1).drop("range", "cell", "base")
+    cell_table = spark.createDataFrame(where, "range int, part int, hot boolean, cell int, shard int, base long")
+    order = Window.partitionBy(*cell).orderBy("h", "tie", *[c for c in rows.columns if c not in ("h", "tie")])
+    return celled.join(F.broadcast(cell_table), cell).withColumn("slot", F.col("base") + F.row_number().over(order) - 1).drop(*cell, "base")
+
+
+def _looked_up(rows: DataFrame, found: list[tuple], schema: str, keys: list[str]) -> DataFrame:
+    """Left join with a table of at most a few rows per range."""
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(found, schema)), keys, "left")
 
 
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

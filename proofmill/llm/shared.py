@@ -27,11 +27,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lost executors then cost no recomputation."""
+def written(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lost executors then cost no recomputation.
+
+    The folders of ``done``, earlier tables of this kind that only ``df`` was made from, are deleted then.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
+    for x in done:
+        drop_written(spark, x)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,7 +8,8 @@ word mark or a symbol outside the vocabulary, so texts are cut there and the
 counts of recurring segments are kept in a bounded table.
 
 The vocabulary is the piece file of a sentencepiece BPE model; only its pieces
-and scores are read. Null and empty texts have no tokens. Other columns pass by.
+and scores are read. Null and empty texts have no tokens; repeated rows are counted each.
+Other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,10 +28,11 @@ from proofmill.llm.vec import slices
 MARK = "▁"
 LIMIT = 4096
 LONGEST = 64
+KEEP = 400_000
 
 
 class MergeCounter:
-    def __init__(self, path: str, keep: int = 1_200_000):
+    def __init__(self, path: str, keep: int = KEEP):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -39,7 +41,7 @@ class MergeCounter:
         if any(MARK in p.lstrip(MARK) for p in self.rank):
             raise ValueError("pieces that hold a word mark inside can't be counted word by word")
         self.pairs = {p[i : i + 2] for p in self.rank for i in range(len(p) - 1)}
-        self.keep, self.known = keep, {}
+        self.known = memo.Recent(keep)
         # sentencepiece's own normalizer maps the text first, as the model file says
         self.normalize = sentencepiece.SentencePieceNormalizer(model_file=path).Normalize
         self.identity = self.normalize("a  bÉ́ ") in (MARK + "a" + 2 * MARK + "bÉ́" + MARK, "a  bÉ́ ", " a  bÉ́ ")
@@ -91,7 +93,7 @@ class MergeCounter:
             text = self.normalize(text).removeprefix(MARK).replace(MARK, " ")
         if MARK in text:  # a literal mark reads as a space
             text = text.replace(MARK, " ")
-        total, known = 0, self.known
+        total, known = 0, self.known.new
         if "  " in text or text[0] == " " or text[-1] == " ":
             return self._spaced(text)
         words = text.split(" ")
@@ -99,15 +101,17 @@ class MergeCounter:
             return sum(map(known.__getitem__, words))
         except KeyError:
             pass
+        aged = self.known.get
         for w in words:
             n = known.get(w)
+            if n is None:
+                n = aged(w)
             if n is None:
                 n = self.word(w)
                 if len(w) <= LONGEST:
-                    if len(known) >= self.keep:
-                        known.clear()
                     known[w] = n
             total += n
+        self.known.turn()
         return total
 
     def _spaced(self, text: str) -> int:
@@ -132,9 +136,9 @@ _counters: dict[str, MergeCounter] = {}
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """Per document: doc_id, n_bytes, n_tokens, over_limit."""
 
+    @memo.task("counts")
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo.keeps("counts", _counters.clear)
-        memo.only("counts")
         if path not in _counters:
             _counters[path] = MergeCounter(path)
         counter = _counters[path]

@@ -1,12 +1,13 @@
 """Token ids in Arrow files of fixed-size lists.
 
-``write_token_files`` tokenizes documents in ascending id order and writes one
-Arrow IPC file per range of ids to a shared folder. Each row holds ``length``
-ids (the smallest unsigned type that fits the vocabulary) and a mask, both as
-fixed-size lists, so that row k of a mapped file is found without decoding
-anything. Only the last row of a file is padded, with mask false. The list
-columns ``doc_id`` and ``doc_at`` name the documents that begin in a row and
-where. ``read_token_files`` rebuilds the documents from the files.
+``write_token_files`` tokenizes documents in ascending id order and writes Arrow IPC
+files to a shared folder, each of a range of ids and of about ``FILE_BYTES`` of text.
+Each row holds ``length`` ids (the smallest unsigned type that fits the vocabulary)
+and a mask, both as fixed-size lists; only the last row of a file is padded, with
+mask false. All record batches but a file's last have ``ROWS_PER_BATCH`` rows, so
+``TokenFile.row(k)`` finds row k of a mapped file by division and returns views of
+the file's own bytes. The list columns ``doc_id`` and ``doc_at`` name the documents
+that begin in a row and where. ``read_token_files`` rebuilds the documents.
 
 A file is written under a name of its own attempt and named in the manifest by
 the attempt that Spark counts, so a retried task can't mix with a lost one.
@@ -27,12 +28,14 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from proofmill.llm import memo
 from proofmill.llm.chunks import encoder
 from proofmill.llm.shared import scratch, table
 from proofmill.llm.vec import slices
 
 LENGTH = 2048
 ROWS_PER_BATCH = 256
+FILE_BYTES = 256 << 20
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -57,48 +60,63 @@ class _Writer:
         self.held += n
         self.tokens += n
         if self.held >= self.length * ROWS_PER_BATCH:
-            self._write(self.held // self.length)
+            self._flush()
 
-    def _write(self, rows: int, pad: bool = False) -> None:
+    def _flush(self, last: bool = False) -> None:
+        """Write the full batches that are held, and at the end of the file the rest."""
         ids = np.frombuffer(b"".join(self.pending), dtype=self.kind)
+        at, full = 0, self.length * ROWS_PER_BATCH
+        while len(ids) - at >= full:
+            self._write(ids[at : at + full], at)
+            at += full
+        if last and at < len(ids):
+            self._write(ids[at:], at)
+            at = len(ids)
+        self.docs = [(x - at, doc) for x, doc in self.docs if x >= at]
+        self.pending, self.held = [ids[at:].tobytes()], len(ids) - at
+
+    def _write(self, ids: np.ndarray, base: int) -> None:
+        """One batch; ``base`` is the place of its first id among those held."""
+        rows = -(-len(ids) // self.length)
         size = rows * self.length
-        real = min(size, len(ids))
         flat = np.zeros(size, dtype=self.kind)
-        flat[:real] = ids[:real]
-        offsets, doc_ids, doc_at = np.zeros(rows + 1, np.int32), [], []
-        later = []
-        for at, doc in self.docs:
-            if at < size:
-                offsets[at // self.length + 1] += 1
-                doc_ids.append(doc)
-                doc_at.append(at % self.length)
-            else:
-                later.append((at - size, doc))
-        offsets = pa.array(np.cumsum(offsets, dtype=np.int32))
+        flat[: len(ids)] = ids
+        inside = [(x - base, doc) for x, doc in self.docs if base <= x < base + len(ids)]
+        begins = np.array([x for x, _ in inside], np.int64)
+        offsets = pa.array(np.searchsorted(begins, np.arange(rows + 1) * self.length).astype(np.int32))
         columns = [
             pa.FixedSizeListArray.from_arrays(pa.array(flat), self.length),
-            pa.FixedSizeListArray.from_arrays(pa.array(np.arange(size) < real), self.length),
-            pa.ListArray.from_arrays(offsets, pa.array(doc_ids, pa.int64())),
-            pa.ListArray.from_arrays(offsets, pa.array(doc_at, pa.int32())),
+            pa.FixedSizeListArray.from_arrays(pa.array(np.arange(size) < len(ids)), self.length),
+            pa.ListArray.from_arrays(offsets, pa.array([doc for _, doc in inside], pa.int64())),
+            pa.ListArray.from_arrays(offsets, pa.array((begins % self.length).astype(np.int32))),
         ]
         self.writer.write_batch(pa.record_batch(columns, schema=self.schema))
-        self.pending, self.held, self.docs = [ids[real:].tobytes()], len(ids) - real, later
 
     def close(self) -> None:
-        if self.held:
-            self._write(-(-self.held // self.length))
+        self._flush(last=True)
         self.writer.close()
         self.file.close()
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str, length: int = LENGTH, dtype: str = "<u2") -> DataFrame:
+def smallest_type(tokenizer: str) -> str:
+    """The smallest unsigned type that holds every id of the tokenizer's vocabulary."""
+    from tokenizers import Tokenizer
+
+    top = max(Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values(), default=0)
+    return next(t for t in ("<u1", "<u2", "<u4") if top <= np.iinfo(t).max)
+
+
+def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str, length: int = LENGTH, dtype: str | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write ``docs`` (doc_id, text) and return the manifest: path, first_id, n_docs, n_tokens."""
     spark = docs.sparkSession
-    parts = max(1, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dtype = dtype or smallest_type(tokenizer)
+    total = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("bytes")).first().bytes or 0
+    parts = max(1, spark.sparkContext.defaultParallelism, -(-total // file_bytes))
     ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h")
     kind = np.dtype(dtype)
     end = np.array([end_id], kind).tobytes()
 
+    @memo.task("chunks")
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, first, n_docs = None, None, 0
         enc = encoder(tokenizer, dtype)
@@ -124,6 +142,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str,
 def read_token_files(spark: SparkSession, manifest: list[tuple[str, int]]) -> DataFrame:
     """Documents of the files: manifest lists (path, ids in all files before it)."""
 
+    @memo.task()
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, base in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist(), strict=True):
@@ -133,11 +152,37 @@ def read_token_files(spark: SparkSession, manifest: list[tuple[str, int]]) -> Da
     return frame.mapInArrow(read, RESULT)
 
 
+def _opened(path: str) -> pa.ipc.RecordBatchFileReader:
+    """A reader of the file; a local one is mapped, not read."""
+    system, place = fs.FileSystem.from_uri(path)
+    return pa.ipc.open_file(pa.memory_map(place) if isinstance(system, fs.LocalFileSystem) else system.open_input_file(place))
+
+
+class TokenFile:
+    """Random access to the rows of one file; nothing of a mapped file is copied or decoded."""
+
+    def __init__(self, path: str):
+        self.reader = _opened(path)
+        self.batches = self.reader.num_record_batches
+        last = self.reader.get_batch(self.batches - 1).num_rows if self.batches else 0
+        self.rows = max(0, self.batches - 1) * ROWS_PER_BATCH + last
+
+    def __len__(self) -> int:
+        return self.rows
+
+    def row(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """The ids of row k as a view of the file's bytes, and its mask (bits of the file)."""
+        if not 0 <= k < self.rows:
+            raise IndexError(f"row {k} of {self.rows}")
+        batch, i = self.reader.get_batch(k // ROWS_PER_BATCH), k % ROWS_PER_BATCH
+        ids, mask = batch.column("input_ids"), batch.column("mask")
+        n = ids.type.list_size
+        return ids.values[i * n : (i + 1) * n].to_numpy(zero_copy_only=True), mask.values[i * n : (i + 1) * n]
+
+
 def documents(path: str, base: int = 0) -> Iterator[pa.RecordBatch]:
     """Per document of one file: id, start, ids and their checksum, batch by batch."""
-    system, place = fs.FileSystem.from_uri(path)
-    source = pa.memory_map(place) if isinstance(system, fs.LocalFileSystem) else system.open_input_file(place)
-    reader = pa.ipc.open_file(source)
+    reader = _opened(path)
     at, open_doc, crc, n = base, None, 0, 0
     for k in range(reader.num_record_batches):
         batch = reader.get_batch(k)

@@ -1,6 +1,6 @@
 """Toxicity by Levenshtein automata over a learned lexicon.
 
-The lexicon is learned from labelled documents: words, and stems of four to six
+The lexicon is learned from labelled documents: words, and stems of four to seven
 letters, whose documents are toxic far more often than chance explains. Stems
 match every word that begins with them. The terms form a trie; the Levenshtein
 automaton of up to one edit (terms of five letters or more) is intersected with
@@ -36,12 +36,11 @@ from proofmill.llm.shared import table, written
 from proofmill.llm.vec import slices
 
 TRAIN = 20_000
-TERMS = 2_000
-EVIDENCE = 2.0  # natural log of the likelihood ratio that a term needs, beyond the log of the number of terms tried
+EVIDENCE = 3.0  # natural log of the likelihood ratio that a term needs, beyond the log of the number of terms tried for each that is taken
 THRESHOLD = 0.3
 AROUND = 6
-STEMS = (4, 5, 6)
-KEEP = 400_000
+STEMS = (4, 5, 6, 7)
+KEEP = 200_000
 WORD = re.compile(r"\w[\w*@$]*\w|\w")
 QUOTES = "\"“”„«»‟"
 #: Reporting verbs and second-person words in the four languages.
@@ -184,21 +183,24 @@ def features(found: list, n_words: int) -> list[float]:
 
 
 def _terms(seen: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
-    """Terms with strong evidence, fewest and shortest first."""
+    """Terms with strong evidence: stems that say more than their words, and words; of a stem's words those that an edit may reach."""
     base = n_toxic / (n_toxic + n_clean)
     t, c = F.col("toxic"), F.col("clean")
     p = (t + 0.5) / (t + c + 1)
     evidence = t * F.log(p / base) + c * F.log((1 - p) / (1 - base))
     tried = seen.filter(t >= 3)
+    # as many terms as may stand together: the k-th best needs the evidence of one chance in e**EVIDENCE * tried / k
     needs = EVIDENCE + math.log(max(1, tried.count()))
-    strong = tried.filter(p > 0.8).withColumn("evidence", evidence).filter(F.col("evidence") >= needs)
-    rows = strong.orderBy(F.desc("evidence"), "term").limit(TERMS).collect()
+    strong = tried.filter(p > 0.8).withColumn("evidence", evidence).filter(F.col("evidence") >= EVIDENCE)
+    rows = sorted(strong.select("term", "toxic", "evidence").collect(), key=lambda r: (-r.evidence, r.term))  # terms of three or more of the sampled documents
+    enough = max((k for k, r in enumerate(rows, 1) if r.evidence >= needs - math.log(k)), default=0)
+    rows = rows[:enough]
     out: list[str] = []
     stems: set[str] = set()
     best_word = {r.term: r.toxic for r in rows if not r.term.endswith("*")}
     for r in sorted(rows, key=lambda r: (not r.term.endswith("*"), len(r.term), r.term)):
         bare = r.term.rstrip("*")
-        if any(bare[:k] in stems for k in STEMS):
+        if any(bare[:k] in stems for k in STEMS) and (r.term.endswith("*") or len(bare) < 5):
             continue
         if r.term.endswith("*"):
             # a stem says more than its words only if no single word makes most of it
@@ -213,6 +215,7 @@ def _count_terms(train: DataFrame, only: frozenset | None) -> DataFrame:
     """term, toxic, clean: training documents of either label with the term."""
     shared = train.sparkSession.sparkContext.broadcast(only)
 
+    @memo.task()
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = shared.value
         n = {0: Counter(), 1: Counter()}
@@ -260,21 +263,23 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN) -> ToxicModel:
     """Fit on at most ``rows`` labelled documents that aren't held out."""
     usable = labels.select("doc_id", "toxic").filter(F.col("toxic").isin(0, 1)).filter(~held_out()).dropDuplicates(["doc_id"])
     drawn = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    # copies would count one accident many times: one document of each label and family stays
+    # copies would count one accident many times: one document of each label and family stays; a family has the two least shingles in common
     drawn = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").withColumn("words", F.split(F.lower("text"), r"[\s.,;:!?]+"))
-    pairs = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.xxhash64(F.element_at("words", i), F.element_at("words", i + 1)))
-    family = F.when(F.size("words") > 1, F.array_min(pairs)).otherwise(F.xxhash64("text"))
+    shingles = F.transform(F.sequence(F.lit(1), F.size("words") - 4), lambda i: F.xxhash64(F.slice("words", i, 5)))
+    family = F.when(F.size("words") > 5, F.slice(F.array_sort(F.array_distinct(shingles)), 1, 2)).otherwise(F.array(F.xxhash64("text")))
     sample = written(drawn.select("text", "toxic", family.alias("family")).dropDuplicates(["toxic", "family"]).select("text", "toxic"), "tox-train")
     n = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if not n.get(0) or not n.get(1):
         return ToxicModel(LexiconAutomaton([]), None)
-    frequent = _count_terms(sample.filter("toxic = 1"), None).filter("toxic >= 3").orderBy(F.desc("toxic"), "term").limit(200_000)
+    frequent = _count_terms(sample.filter("toxic = 1"), None).filter("toxic >= 3")
     candidates = frozenset(r.term for r in frequent.select("term").collect())
     terms = _terms(_count_terms(sample, candidates), n[1], n[0])
     automaton = LexiconAutomaton(terms)
     spark = docs.sparkSession
 
     def look(shared, mode: str):
+
+        @memo.task()
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = shared.value
             for batch in batches:
@@ -292,7 +297,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN) -> ToxicModel:
         return run
 
     near = sample.select("text", "toxic").mapInArrow(look(spark.sparkContext.broadcast(automaton), "near"), "word string, toxic long, clean long")
-    plain = near.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).filter("clean > 0 and clean >= toxic").orderBy(F.desc("clean"), "word").limit(100_000)
+    plain = near.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).filter("clean > 0 and clean >= toxic")
     automaton = LexiconAutomaton(terms, frozenset(r.word for r in plain.collect()))
     points = sample.select("text", "toxic").mapInArrow(look(spark.sparkContext.broadcast(automaton), "features"), "x array<double>, y int").collect()
     x, y = np.array([r.x for r in points]), np.array([r.y for r in points], float)
@@ -305,8 +310,8 @@ def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
     names = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @memo.task()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo.only("")
         model = shared.value
         for batch in batches:
             for part in slices(batch):

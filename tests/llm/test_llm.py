@@ -77,6 +77,21 @@ def test_merge_counts_equal_the_library():
     assert [own.count(t) for t in texts] == [len(plain.encode(t)) for t in texts]
 
 
+def test_batches_are_even(tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "ROWS_PER_BATCH", 4)
+    out = token_files._Writer(f"file://{tmp_path}/x.arrow", np.dtype("<u2"), 8)
+    rng, ids = random.Random(1), []
+    for doc in range(50):
+        ids += (one := [rng.randrange(60000) for _ in range(rng.choice([1, 5, 40, 300]))])
+        out.add(doc, np.array(one, "<u2").tobytes())
+    out.close()
+    found = token_files.TokenFile(f"file://{tmp_path}/x.arrow")
+    sizes = [found.reader.get_batch(k).num_rows for k in range(found.batches)]
+    assert set(sizes[:-1]) == {4} and len(found) == -(-len(ids) // 8)
+    assert [x for k in range(len(found)) for x in found.row(k)[0].tolist()][: len(ids)] == ids
+    assert sum(b.num_rows for b in token_files.documents(f"file://{tmp_path}/x.arrow")) == 50
+
+
 def test_token_files(spark, docs, none):
     from tokenizers import Tokenizer
 
@@ -96,6 +111,17 @@ def test_token_files(spark, docs, none):
     assert got == want
     batch = pa.ipc.open_file(pa.memory_map(files[0][0].removeprefix("file://"))).get_batch(0)
     assert batch.column("input_ids").type.list_size == 64 and batch.column("mask").type.list_size == 64
+    # any row of any file, as a view of the mapped bytes
+    for path_, begin in files:
+        opened, n = token_files.TokenFile(path_), next(r.n_tokens for r in found if r.path == path_)
+        assert len(opened) == -(-n // 64)
+        ids = np.concatenate([plain.encode(t or "", add_special_tokens=False).ids + [0] for _, t in sorted(ROWS, key=lambda r: r[0])])[begin : begin + n]
+        for k in {0, len(opened) // 2, len(opened) - 1}:
+            row, mask = opened.row(k)
+            real = ids[64 * k : 64 * (k + 1)]
+            assert not row.flags.owndata and row.dtype == np.uint16 and row[: len(real)].tolist() == real.tolist() and mask.true_count == len(real)
+        with pytest.raises(IndexError):
+            opened.row(len(opened))
     assert token_files.write_token_files(none, path, 0, scratch(spark, "t")).count() == 0 and token_files.read_token_files(spark, []).count() == 0
 
 
@@ -136,15 +162,17 @@ def _components(rows):
     for _, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
         sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set())
-    union = components.Union()
+    union, links = components.Union(), [0] * len(rows)
     for (i, a), (j, b) in combinations(enumerate(sets), 2):
         if a and b and 100 * len(a & b) >= 80 * len(a | b):
             union.join(i, j)
+            links[i] += 1
+            links[j] += 1
     least = {}
     for i, (doc, _) in enumerate(rows):
         root = union.find(i)
         least[root] = min(doc, least.get(root, doc))
-    return sorted((doc, len(sets[i]), least[union.find(i)]) for i, (doc, _) in enumerate(rows))
+    return sorted((doc, len(sets[i]), least[union.find(i)], links[i]) for i, (doc, _) in enumerate(rows))
 
 
 def test_jaccard(spark, docs, none):
@@ -165,9 +193,25 @@ def test_jaccard_large_groups(spark, monkeypatch):
     table = spark.createDataFrame(rows, "doc_id long, text string")
     want = _components(rows)
     assert sorted(tuple(r) for r in jaccard.near_duplicates(table).collect()) == want
-    monkeypatch.setattr(jaccard, "LIST_ROWS", 20)
-    monkeypatch.setattr(jaccard, "BUCKET_TOKENS", 100)
-    assert sorted(tuple(r) for r in jaccard.near_duplicates(table).collect()) == want
+    for blocks, columns in ((20, 7), (3, 4096)):
+        monkeypatch.setattr(jaccard, "LIST_BLOCK", blocks)
+        monkeypatch.setattr(jaccard, "SET_BLOCK", blocks)
+        monkeypatch.setattr(jaccard, "COLUMNS", columns)
+        monkeypatch.setattr(jaccard, "SMALL", 4)
+        assert sorted(tuple(r) for r in jaccard.near_duplicates(table.union(table.limit(2))).collect()) == _components(rows + rows[:2])
+
+
+def test_shared_counts():
+    rng = np.random.default_rng(2)
+    for k, top in ((3, 30), (20, 30), (40, 3000), (30, 10)):
+        sets = [np.unique(rng.integers(0, top, rng.integers(1, 20))) for _ in range(k)]
+        whole = jaccard.shared_counts(sets)
+        across = jaccard.shared_counts(sets[: k // 2], sets[k // 2 :])
+        for i, j in combinations(range(k), 2):
+            want = len(np.intersect1d(sets[i], sets[j]))
+            assert whole[i, j] == whole[j, i] == want
+            if i < k // 2 <= j:
+                assert across[i, j - k // 2] == want
 
 
 def test_decontamination(spark, docs, none):
@@ -222,6 +266,9 @@ def test_repeats(spark, docs, none, monkeypatch):
     table = spark.createDataFrame(once, "doc_id long, text string")
     assert sorted(tuple(r) for r in repeats.remove_repeats(table).collect()) == _removed(once)
     assert repeats.remove_repeats(none).count() == 0
+    # a row twice, whose text no other has: the first keeps all
+    twice = spark.createDataFrame([(1, ROWS[304 - 300 + 60 + 6 + 8][1])] * 2 + [(2, None), (2, "x")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in repeats.remove_repeats(twice).collect()) == _removed([tuple(r) for r in twice.collect()])
 
 
 def test_maximal_repeats():
@@ -268,6 +315,44 @@ def test_packing(spark, docs, none):
     assert bins[1] != bins[2]
 
 
+def test_pieces_equal_the_library(spark, docs):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    ids = {(d, t): np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for d, t in ROWS}
+    want = sorted((d, at, len(x[at : at + 256]), zlib.crc32(x[at : at + 256].tobytes()), len(x)) for d, t in ROWS for x in [ids[d, t]] for at in range(0, len(x), 256))
+    packed = packing.pack(packing.cut_pieces(docs, P.path("word_bpe_49k.json"), 2, 256), max_tokens=256, max_loss=256, block=40).collect()
+    assert sorted((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in packed) == want
+    full = [r.sequence_id for r in packed if r.length == 256]
+    assert len(full) > 5 and len(set(full)) == len(full) and not set(full) & {r.sequence_id for r in packed if r.length < 256}
+
+
+def test_conversations_bind_every_limit(spark):
+    rng = random.Random(12)
+    turns = [(c, t, role, " ".join("word" for _ in range(rng.randint(0, 30)))) for c in range(80) for t, role in enumerate(["user", "assistant"] * rng.randint(1, 3))]
+    turns += [(100, 0, None, None), (101, 0, "assistant", ""), (102, 0, "user", "long " * 900)]
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    pieces = packing.cut_conversations(table, P.path("word_bpe_49k.json"), 2, 512)
+    by = {(r.doc_id, r.start): r for r in pieces.collect()}
+    assert by[100, 0].length == 1 and by[100, 0].loss == 0 and by[101, 0].loss == 1 and by[102, 0].loss == 0
+    assert {d for d, _ in by} == {c for c, *_ in turns}
+    for limits in ((512, 64, 120), (512, 3, 512), (512, 64, 512)):
+        rows = packing.pack(pieces, *limits, block=1000).collect()
+        assert len(rows) == len(by)
+        held = {}
+        for r in rows:
+            n = held.setdefault(r.sequence_id, [0, 0, 0])
+            n[0] += r.length
+            n[1] += 1
+            n[2] += by[r.doc_id, r.start].loss
+        tops = [max(n[k] for n in held.values()) for k in range(3)]
+        assert all(t <= limit for t, limit in zip(tops, limits, strict=True))
+        if limits[2] == 120:
+            assert tops[2] > 100
+        if limits[1] == 3:
+            assert tops[1] == 3
+
+
 def test_toxicity(spark, none):
     rng = random.Random(4)
     plain = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
@@ -322,6 +407,20 @@ def test_shards(spark, docs, none):
     assert shards.range_shards(rows.filter("doc_id < 0")).count() == 0
 
 
+def test_shards_keep_equal_texts_together(spark):
+    def rows(copies):
+        texts = F.when(F.col("id") < copies, F.lit("same")).when(F.col("id") % 50 == 0, F.lit("few")).otherwise(F.col("id").cast("string"))
+        return spark.range(4000).select(F.col("id").alias("doc_id"), texts.alias("t"), F.lit(10).cast("long").alias("size")).withColumns({"h": F.xxhash64("t"), "tie": F.xxhash64("doc_id")})
+
+    for copies, spread in ((320, 1), (1300, 8)):  # a shard holds 500 rows
+        got = shards.range_shards(rows(copies), 8, 1024).toPandas()
+        of = got.groupby("t")["shard"].nunique()
+        assert of["same"] == spread and (of.drop("same") == 1).all()
+        assert all(sorted(part["slot"]) == list(range(len(part))) for _, part in got.groupby("shard"))
+        sizes = got.groupby("shard")["size"].sum()
+        assert len(sizes) == 8 and sizes.max() - sizes.min() <= 0.02 * sizes.mean() + 10
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(i, i + 1) for i in range(200, 260)] + [(rng.randrange(100), rng.randrange(100)) for _ in range(70)]
