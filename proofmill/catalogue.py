@@ -10,6 +10,7 @@ from proofmill.functions import similarity as S
 from proofmill.functions import text as X
 from proofmill.functions import units as U
 from proofmill.operators import batching, ledger, pairs, store, verdict, verify
+from proofmill.plans import ingest
 from proofmill.plans.link import link_sessions
 from proofmill.sources import claims as src
 
@@ -30,39 +31,50 @@ def _query(sql: str | None = None):
 # --- SQL building blocks -------------------------------------------------------------------------
 
 
-def _publisher(name, metric, unit, divisor, steps, scope, since) -> str:
+# The values that the sources and rules hold as well are written out here on their own, so that a slip in one shows.
+
+
+def _publisher(name, metric, unit, divisor, steps, scope, basis, kind) -> str:
     start = "'FY' || year" if name == "C" else "year || '-01-01'"
     end = "CAST(NULL AS VARCHAR)" if name == "C" else "year || '-12-31'"
-    scoped = f"CASE WHEN year >= {since} THEN '{scope}' END" if scope else "CAST(NULL AS VARCHAR)"
-    basis = "GAAP" if name in "AB" else "Non-GAAP"
-    kind = "net" if name == "D" else "gross"
-    return f"""SELECT session_id, session_id || '-{name}' AS document_id, session_id || '-{name}-' || nation || '-' || year AS id, nation AS subject,
-      '{metric}' AS predicate, floor(total / CAST({divisor:.0f} AS DOUBLE) * CAST({steps:.0f} AS DOUBLE)) / CAST({steps:.0f} AS DOUBLE) AS value, 'numeric' AS value_type, '{unit}' AS unit,
-      {start} AS period_start, {end} AS period_end, 'FY' AS period_type, {scoped} AS scope, CASE WHEN year % 2 = 0 THEN '{basis}' END AS basis,
+    return f"""SELECT session_id, session_id || '-{name}' AS document_id, session_id || '-{name}-' || subject || '-' || year AS id, subject,
+      '{metric}' AS predicate, floor(total / CAST({divisor} AS DOUBLE) * CAST({steps} AS DOUBLE)) / CAST({steps} AS DOUBLE) AS value, 'numeric' AS value_type, '{unit}' AS unit,
+      {start} AS period_start, {end} AS period_end, 'FY' AS period_type, {scope} AS scope, CASE WHEN year % 2 = 0 THEN '{basis}' END AS basis,
       CASE WHEN year >= 2000 THEN 'order value {kind}' END AS definition, CAST(year - 1990 AS INTEGER) AS source_page,
-      'Orders of ' || nation || ' in ' || year AS source_text, year <> 1997 AS verified, '{name}' || '-' || 'nation' || '-' || year AS created_at FROM yearly"""
+      'Orders of ' || subject || ' in ' || year AS source_text, year <> 1997 AS verified, '{name}' || '-' || subject || '-' || year AS created_at FROM yearly"""
 
 
 CLAIMS = (
-    """yearly AS (SELECT r_name AS session_id, n_name AS nation, year(o_orderdate) AS year, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total
-  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2, 3),
+    """yearly AS (SELECT 'S' || (l_suppkey // 4) AS session_id, n_name || ' ' || l_suppkey AS subject, year(l_shipdate) AS year, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS total
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2, 3),
 claims AS ("""
-    + " UNION ALL ".join(_publisher(*p) for p in src.PUBLISHERS)
+    + " UNION ALL ".join(
+        (
+            _publisher("A", "revenue", "million USD", "1000000", "10000", "CAST(NULL AS VARCHAR)", "GAAP", "gross"),
+            _publisher("B", "revenue", "billion USD", "1000000000", "1000000", "CAST(NULL AS VARCHAR)", "GAAP", "gross"),
+            _publisher("C", "net sales", "$ million", "1000000", "100", "CASE WHEN year >= 1998 THEN 'Domestic' END", "Non-GAAP", "gross"),
+            _publisher("D", "revenue", "million USD", "1000000", "100", "CASE WHEN year >= 1999 THEN 'Export' END", "Non-GAAP", "net"),
+        )
+    )
     + """),
-docs AS (SELECT r_name || '-' || p AS id, r_name AS session_id, lower(p) || '.pdf' AS filename, CASE WHEN p = 'D' THEN 'parsed' ELSE 'extracted' END AS status
-  FROM region, (VALUES ('A'), ('B'), ('C'), ('D')) AS v(p))"""
+docs AS (SELECT s || '-' || p AS id, s AS session_id, lower(p) || '.pdf' AS filename, CASE WHEN p = 'D' THEN 'parsed' ELSE 'extracted' END AS status
+  FROM (SELECT DISTINCT 'S' || (s_suppkey // 4) AS s FROM supplier), (VALUES ('A'), ('B'), ('C'), ('D')) AS v(p)),
+blocks AS (SELECT 'b' || doc_id AS id, 'S' || (doc_id // 100) || '-' || ['A', 'B', 'C', 'D'][doc_id % 4 + 1] AS document_id, CAST(doc_id % 50 + 1 AS INTEGER) AS page, text, doc_id FROM documents)"""
 )
 
 
 def _unit_key(c: str) -> str:
     key = f"lower(trim({c}))"
-    for old, new in U.REPLACEMENTS:
+    steps = "₹>inr $>usd rs.>inr rs>inr rupees>inr rupee>inr us_dollars>usd us_dollar>usd dollars>usd dollar>usd crores>crore cr>crore millions>million mn>million billions>billion bn>billion lakhs>lakh lacs>lakh lac>lakh"
+    for step in steps.split():
+        old, new = step.replace("_", " ").split(">")
         key = f"replace({key}, '{old}', '{new}')"
     key = f"regexp_replace(regexp_replace(regexp_replace({key}, '\\s+', '_', 'g'), '_+', '_', 'g'), '^_|_$', '', 'g')"
     return f"regexp_replace({key}, '^(million|billion|crore|lakh)_(inr|usd)$', '\\2_\\1')"
 
 
-_FACTOR = "(VALUES " + ", ".join(f"('{k}', '{c}', CAST({f:.0f} AS DOUBLE))" for k, (c, f) in U.FACTORS.items()) + ")"
+_FACTOR = """(VALUES ('inr', 'INR', CAST(1 AS DOUBLE)), ('inr_lakh', 'INR', CAST(100000 AS DOUBLE)), ('inr_million', 'INR', CAST(1000000 AS DOUBLE)), ('inr_crore', 'INR', CAST(10000000 AS DOUBLE)),
+  ('inr_billion', 'INR', CAST(1000000000 AS DOUBLE)), ('usd', 'USD', CAST(1 AS DOUBLE)), ('usd_million', 'USD', CAST(1000000 AS DOUBLE)), ('usd_billion', 'USD', CAST(1000000000 AS DOUBLE)))"""
 
 #: Claims with unit keys and factors, and the pairs of one session in order, of different documents.
 PAIRS = (
@@ -143,9 +155,9 @@ def verdict_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     BASE
-    + """SELECT r_name AS session_id, (SELECT count(*) FROM docs d WHERE d.session_id = r_name) AS documents,
-  (SELECT count(*) FROM claims c WHERE c.session_id = r_name AND verified) AS verified_claims, (SELECT count(*) FROM claims c WHERE c.session_id = r_name AND NOT verified) AS unverified_claims,
-  (SELECT count(*) FROM related x WHERE x.session_id = r_name) AS relationships FROM region"""
+    + """SELECT s AS session_id, (SELECT count(*) FROM docs d WHERE d.session_id = s) AS documents,
+  (SELECT count(*) FROM claims c WHERE c.session_id = s AND verified) AS verified_claims, (SELECT count(*) FROM claims c WHERE c.session_id = s AND NOT verified) AS unverified_claims,
+  (SELECT count(*) FROM related x WHERE x.session_id = s) AS relationships FROM (SELECT DISTINCT session_id AS s FROM docs)"""
 )
 def session_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.session_stats(src.sessions(spark, sf_dir), src.documents(spark, sf_dir), src.claims(spark, sf_dir), _relationships(spark, sf_dir)).drop("relationships_by_type")
@@ -170,9 +182,9 @@ def claims_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.list_claims(src.claims(spark, sf_dir), src.documents(spark, sf_dir), verified_only=True).select(_CLAIM_COLUMNS)
 
 
-@_query(_CLAIM_SQL + " WHERE document_id = 'EUROPE-B'")
+@_query(_CLAIM_SQL + " WHERE document_id = 'S1-B'")
 def claims_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.list_claims(src.claims(spark, sf_dir), src.documents(spark, sf_dir), document_id="EUROPE-B").select(_CLAIM_COLUMNS)
+    return ledger.list_claims(src.claims(spark, sf_dir), src.documents(spark, sf_dir), document_id="S1-B").select(_CLAIM_COLUMNS)
 
 
 _FLAT = ["session_id", "source_claim_id", "target_claim_id", "relationship_type"]
@@ -262,21 +274,21 @@ def _left(tables: dict[str, DataFrame]) -> DataFrame:
 
 @_query(
     BASE
-    + """SELECT 'sessions' AS name, count(*) AS n FROM region UNION ALL SELECT 'documents', count(*) FROM docs WHERE id <> 'ASIA-A' UNION ALL SELECT 'claims', count(*) FROM claims WHERE document_id <> 'ASIA-A'
-  UNION ALL SELECT 'relationships', count(*) FROM related WHERE source_claim_id NOT LIKE 'ASIA-A-%' AND target_claim_id NOT LIKE 'ASIA-A-%' UNION ALL SELECT 'evidence_blocks', count(*) FROM documents"""
+    + """SELECT 'sessions' AS name, count(DISTINCT session_id) AS n FROM docs UNION ALL SELECT 'documents', count(*) FROM docs WHERE id <> 'S1-A' UNION ALL SELECT 'claims', count(*) FROM claims WHERE document_id <> 'S1-A'
+  UNION ALL SELECT 'relationships', count(*) FROM related WHERE source_claim_id NOT LIKE 'S1-A-%' AND target_claim_id NOT LIKE 'S1-A-%' UNION ALL SELECT 'evidence_blocks', count(*) FROM blocks WHERE document_id <> 'S1-A'"""
 )
 def delete_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = _tables(spark, sf_dir)
-    return _left(store.without_documents(tables, tables["documents"].filter("id = 'ASIA-A'")))
+    return _left(store.without_documents(tables, tables["documents"].filter("id = 'S1-A'")))
 
 
 @_query(
     BASE
-    + """SELECT 'sessions' AS name, count(*) AS n FROM region WHERE r_name <> 'ASIA' UNION ALL SELECT 'documents', count(*) FROM docs WHERE session_id <> 'ASIA' UNION ALL SELECT 'claims', count(*) FROM claims WHERE session_id <> 'ASIA'
-  UNION ALL SELECT 'relationships', count(*) FROM related WHERE session_id <> 'ASIA' UNION ALL SELECT 'evidence_blocks', count(*) FROM documents"""
+    + """SELECT 'sessions' AS name, count(DISTINCT session_id) AS n FROM docs WHERE session_id <> 'S1' UNION ALL SELECT 'documents', count(*) FROM docs WHERE session_id <> 'S1' UNION ALL SELECT 'claims', count(*) FROM claims WHERE session_id <> 'S1'
+  UNION ALL SELECT 'relationships', count(*) FROM related WHERE session_id <> 'S1' UNION ALL SELECT 'evidence_blocks', count(*) FROM blocks WHERE document_id NOT LIKE 'S1-%'"""
 )
 def delete_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _left(store.without_session(_tables(spark, sf_dir), "ASIA"))
+    return _left(store.without_session(_tables(spark, sf_dir), "S1"))
 
 
 # --- T, C, N, P: functions -----------------------------------------------------------------------
@@ -396,20 +408,84 @@ def render_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", batching.render_table(F.transform("rows", lambda r: r["cells"])).alias("rendered"))
 
 
-@_query()
-def merge_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of documents as layout blocks, merged page by page."""
+_LINES = """lines AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents),
+layout AS (SELECT document_id, CAST(k // 40 + 1 AS INTEGER) AS page, k * 14 + CASE WHEN k % 5 = 0 THEN 20 ELSE 0 END AS y0, text FROM lines)"""
+_MERGED = (
+    _LINES
+    + """, stripped AS (SELECT document_id, page, y0, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM layout),
+kept AS (SELECT *, row_number() OVER (PARTITION BY document_id, page ORDER BY y0) AS r FROM stripped WHERE length(text) >= 40),
+folded AS (SELECT document_id, page, r, text, y0 + 10 AS bottom, 0 AS seq FROM kept WHERE r = 1
+  UNION ALL SELECT k.document_id, k.page, k.r, CASE WHEN k.y0 - f.bottom <= 18 AND length(f.text) + length(k.text) + 1 <= 6000 THEN f.text || chr(10) || k.text ELSE k.text END,
+    CASE WHEN k.y0 - f.bottom <= 18 AND length(f.text) + length(k.text) + 1 <= 6000 THEN greatest(f.bottom, k.y0 + 10) ELSE k.y0 + 10 END,
+    CASE WHEN k.y0 - f.bottom <= 18 AND length(f.text) + length(k.text) + 1 <= 6000 THEN f.seq ELSE f.seq + 1 END
+  FROM folded f JOIN kept k ON k.document_id = f.document_id AND k.page = f.page AND k.r = f.r + 1),
+merged AS (SELECT document_id, page, CAST(seq AS BIGINT) AS seq, max_by(text, r) AS text FROM folded GROUP BY 1, 2, 3)"""
+)
+
+
+def _layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents as layout blocks, forty a page."""
     lines = src.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("k", "text"))
     top = F.col("k") * 14 + F.when(F.col("k") % 5 == 0, 20).otherwise(0)
-    layout = lines.select("document_id", (F.floor(F.col("k") / 40) + 1).cast("int").alias("page"), F.lit(0.0).alias("x0"), top.cast("double").alias("y0"), F.lit(500.0).alias("x1"), (top + 10).cast("double").alias("y1"), "text")
-    return batching.merge_blocks(layout).select("document_id", "page", "seq", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("sha"))
+    return lines.select("document_id", (F.floor(F.col("k") / 40) + 1).cast("int").alias("page"), F.lit(0.0).alias("x0"), top.cast("double").alias("y0"), F.lit(500.0).alias("x1"), (top + 10).cast("double").alias("y1"), "text")
 
 
-@_query()
+@_query(f"WITH RECURSIVE {_MERGED} SELECT document_id, page, seq, length(text) AS n_chars, sha256(text) AS sha FROM merged")
+def merge_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batching.merge_blocks(_layout(spark, sf_dir)).select("document_id", "page", "seq", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("sha"))
+
+
+_TABLES_SQL = "SELECT l_orderkey, string_agg(l_linenumber || ' | ' || l_returnflag || ' | ' || l_linestatus, chr(10) ORDER BY l_linenumber, l_returnflag, l_linestatus) AS text FROM lineitem GROUP BY 1"
+
+
+def _order_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of orders as tables of documents; those of every thirteenth order can't be read."""
+    cells = F.array(F.col("l_linenumber").cast("string"), "l_returnflag", F.concat(F.col("l_linestatus"), F.lit(" ")))
+    rows = src.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", cells.alias("cells")))).alias("rows"))
+    key = F.col("l_orderkey")
+    return rows.select(F.concat(F.lit("o"), (key % 100).cast("string")).alias("document_id"), F.floor(key / 100).cast("int").alias("page"), F.lit(0).alias("k"), F.transform("rows", lambda r: r["cells"]).alias("rows"), F.when(key % 13 == 0, F.concat(F.lit("order "), key.cast("string"))).alias("error"))
+
+
+@_query(
+    f"""WITH RECURSIVE {_MERGED}, rendered AS ({_TABLES_SQL}) SELECT document_id || '-TEXT-' || page || '-' || seq AS id, document_id, page, 'TEXT' AS block_type, seq, sha256(text) AS sha FROM merged
+  UNION ALL SELECT 'o' || (l_orderkey % 100) || '-TABLE-' || (l_orderkey // 100) || '-0', 'o' || (l_orderkey % 100), CAST(l_orderkey // 100 AS INTEGER), 'TABLE', 0, sha256(text) FROM rendered WHERE l_orderkey % 13 <> 0 AND length(text) >= 40"""
+)
+def extract_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.evidence_blocks(_layout(spark, sf_dir), _order_tables(spark, sf_dir)).select("id", "document_id", "page", "block_type", "seq", F.sha2("text", 256).alias("sha"))
+
+
+@_query("SELECT 'o' || (l_orderkey % 100) AS document_id, CAST(l_orderkey // 100 AS INTEGER) AS page, min('order ' || l_orderkey) AS error FROM lineitem WHERE l_orderkey % 13 = 0 GROUP BY 1, 2")
+def page_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.render_tables(_order_tables(spark, sf_dir))[1]
+
+
+@_query(
+    f"""WITH {_LINES}, sheets AS (SELECT document_id, page, string_agg(text, chr(10) ORDER BY y0, text) AS sheet FROM layout GROUP BY 1, 2)
+SELECT CAST(doc_id AS VARCHAR) AS document_id, p AS page, sha256(coalesce(sheet, '')) AS sha FROM documents CROSS JOIN (VALUES (1), (3)) AS v(p) LEFT JOIN sheets ON document_id = CAST(doc_id AS VARCHAR) AND page = p"""
+)
+def page_raw_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = src.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.explode(F.array(F.lit(1), F.lit(3))).alias("page"))
+    return ingest.page_raw_text(ingest.page_texts(_layout(spark, sf_dir)), wanted).select("document_id", "page", F.sha2("text", 256).alias("sha"))
+
+
+#: A greedy fold a document at a time: b the open batch, n its blocks, used its tokens.
+_BATCHED = f"""{CLAIMS}, sized AS (SELECT id, document_id, (length(id) + length(CAST(page AS VARCHAR)) + length(text) + 88 + 3) // 4 AS tokens, row_number() OVER (PARTITION BY document_id ORDER BY doc_id) AS r FROM blocks),
+placed AS (SELECT document_id, r, id, tokens, 0 AS batch_id, CASE WHEN tokens + 962 > 12000 THEN 1 ELSE 0 END AS b, CASE WHEN tokens + 962 > 12000 THEN 0 ELSE 1 END AS n, CASE WHEN tokens + 962 > 12000 THEN 962 ELSE 962 + tokens END AS used FROM sized WHERE r = 1
+  UNION ALL SELECT document_id, r, id, tokens, spot, CASE WHEN alone THEN spot + 1 ELSE spot END, CASE WHEN alone THEN 0 WHEN flush THEN 1 ELSE n + 1 END, CASE WHEN alone THEN 962 WHEN flush THEN 962 + tokens ELSE used + tokens END FROM (
+    SELECT *, CASE WHEN n > 0 AND (alone OR flush) THEN b + 1 ELSE b END AS spot FROM (
+      SELECT s.document_id, s.r, s.id, s.tokens, p.b, p.n, p.used, s.tokens + 962 > 12000 AS alone, p.n >= 20 OR p.used + s.tokens > 12000 AS flush FROM placed p JOIN sized s ON s.document_id = p.document_id AND s.r = p.r + 1)))"""
+
+
+@_query(f"WITH RECURSIVE {_BATCHED} SELECT id, document_id, tokens, CAST(batch_id AS BIGINT) AS batch_id FROM placed")
 def token_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batching.block_batches(src.evidence_blocks(spark, sf_dir), ["doc_id"]).select("id", "document_id", "tokens", "batch_id")
 
 
+@_query(f"WITH RECURSIVE {_BATCHED} SELECT document_id, CAST(batch_id AS BIGINT) AS batch_id, count(*) AS items, min(tokens) AS least, max(tokens) AS most, CAST(sum(tokens) AS BIGINT) AS tokens FROM placed GROUP BY 1, 2")
+def batch_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.batch_totals(batching.block_batches(src.evidence_blocks(spark, sf_dir), ["doc_id"]), "document_id")
+
+
 @_query()
 def pair_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batching.pair_batches(verdict.partition(verdict.decide(_pairs(spark, sf_dir)))[1])
@@ -450,3 +526,140 @@ def rank_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def link_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = _relationships(spark, sf_dir).filter("relationship_type = 'CORROBORATES'")
     return link_sessions(src.claims(spark, sf_dir), stored, now=F.lit("2024-01-01").cast("timestamp")).drop("created_at")
+
+
+@_query(BASE + "SELECT session_id, source_claim_id, target_claim_id, relationship_type, reason_code, explanation, confidence FROM related WHERE relationship_type <> 'CORROBORATES'")
+def link_ruled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the rules decide of a linking pass; what they decide is always a candidate, so no ratio is in it."""
+    return link_session(spark, sf_dir).filter("decided_by = 'rules'").select("session_id", "source_claim_id", "target_claim_id", "relationship_type", "reason_code", "explanation", "confidence")
+
+
+@_query(
+    BASE
+    + """SELECT session_id, count(*) AS pairs, count(*) FILTER (coalesce(reason_code, '') IN ('EXACT_MATCH', 'UNIT_NORMALIZATION', 'ROUNDING')) AS skipped,
+  count(*) FILTER (reason_code LIKE 'DIFFERENT%') AS ruled, count(*) FILTER (reason_code IS NULL) AS open FROM judged GROUP BY 1"""
+)
+def link_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decided = verdict.decide(_pairs(spark, sf_dir))
+    return ingest.link_counters(decided, pairs.new_pairs(decided, _relationships(spark, sf_dir).filter("relationship_type = 'CORROBORATES'")))
+
+
+# --- K1, K2, J-5, J-8, O, F, A5: ingest and reads over it ------------------------------------------
+
+_RAW_SQL = f"""raw AS (SELECT 'r' || doc_id AS id, CASE WHEN doc_id % 11 = 10 THEN 'gone' || doc_id ELSE id END AS block_id, document_id, 'subject ' || (doc_id % 7) AS subject, CAST(doc_id AS DOUBLE) AS value,
+  regexp_replace(CASE doc_id % 3 WHEN 0 THEN replace(substring(coalesce(text, ''), 11, 70), ' ', chr(10) || ' ') WHEN 1 THEN upper(substring(coalesce(text, ''), 1, 12)) ELSE 'no such words' END, '^\\s+|\\s+$', '', 'g') AS quote,
+  CASE WHEN doc_id % 5 <> 0 THEN 0.75 ELSE 0.5 END AS confidence FROM blocks)"""
+
+
+def _few_words(df: DataFrame, quote: str) -> DataFrame:
+    """Quotes that SQL can judge as well: found exactly, or too short for a near match."""
+    return df.filter(F.col("verified") | (F.size(F.split(F.trim(F.col(quote)), r"\s+")) < 4))
+
+
+@_query(
+    f"""WITH {CLAIMS}, {_RAW_SQL}, checked AS (SELECT r.id, r.document_id, r.block_id AS evidence_block_id, r.subject, r.value, b.page AS source_page, r.quote AS source_text, CAST(r.confidence AS DOUBLE) AS confidence,
+  {_VERIFIED("r.quote")} <> '' AND contains({_VERIFIED("b.text")}, {_VERIFIED("r.quote")}) AS verified FROM raw r JOIN blocks b ON b.id = r.block_id AND b.document_id = r.document_id)
+SELECT * FROM checked WHERE verified OR len(regexp_split_to_array(source_text, '\\s+')) < 4"""
+)
+def process_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = ingest.process_claims(src.raw_claims(spark, sf_dir), src.evidence_blocks(spark, sf_dir))
+    return _few_words(done, "source_text").select("id", "document_id", "evidence_block_id", "subject", "value", "source_page", "source_text", "confidence", "verified")
+
+
+@_query(f"WITH {CLAIMS}, {_RAW_SQL} SELECT r.id, r.block_id FROM raw r WHERE NOT EXISTS (SELECT 1 FROM blocks b WHERE b.id = r.block_id AND b.document_id = r.document_id)")
+def unknown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify.attach_blocks(src.raw_claims(spark, sf_dir), src.evidence_blocks(spark, sf_dir))[1].select("id", "block_id")
+
+
+_STATUS_SQL = f"WITH {CLAIMS}, after AS (SELECT id, session_id, CASE WHEN id LIKE '%0-C' THEN 'failed' WHEN id IN (SELECT document_id FROM blocks) THEN 'extracted' ELSE status END AS status FROM docs) "
+
+
+def _processed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = src.documents(spark, sf_dir)
+    return ingest.processed(documents, src.evidence_blocks(spark, sf_dir), documents.filter("id like '%0-C'"))
+
+
+@_query(_STATUS_SQL + "SELECT id, status FROM after")
+def document_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _processed(spark, sf_dir).select("id", "status")
+
+
+@_query(_STATUS_SQL + "SELECT session_id, count(*) AS documents, count(*) FILTER (status = 'extracted') AS succeeded, count(*) FILTER (status = 'failed') AS failed FROM after GROUP BY 1")
+def batch_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.batch_counters(_processed(spark, sf_dir))
+
+
+@_query(f"WITH {CLAIMS} SELECT id, CASE WHEN session_id = 'S1' THEN 'parsed' ELSE status END AS status FROM docs")
+def set_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = src.documents(spark, sf_dir)
+    return store.set_status(documents, documents.filter("session_id = 'S1'"), ingest.PARSED).select("id", "status")
+
+
+@_query(f"WITH {CLAIMS} SELECT session_id, id, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, id) AS position FROM claims")
+def claims_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.positions(src.claims(spark, sf_dir), "session_id").select("session_id", "id", F.col("position").cast("long"))
+
+
+@_query(BASE + "SELECT session_id, id_a, id_b, ord_a, ord_b FROM pairs")
+def pair_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).select("session_id", F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), F.col("a.ord").cast("long").alias("ord_a"), F.col("b.ord").cast("long").alias("ord_b"))
+
+
+@_query(BASE + "SELECT s AS session_id, (SELECT string_agg(relationship_type || '=' || n, ',' ORDER BY relationship_type) FROM (SELECT relationship_type, count(*) AS n FROM related WHERE session_id = s GROUP BY 1)) AS by_type FROM (SELECT DISTINCT session_id AS s FROM docs)")
+def stats_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = ledger.session_stats(src.sessions(spark, sf_dir), src.documents(spark, sf_dir), src.claims(spark, sf_dir), _relationships(spark, sf_dir))
+    shown = F.array_join(F.transform(F.map_entries("relationships_by_type"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return stats.select("session_id", shown.alias("by_type"))
+
+
+@_query(f"WITH {CLAIMS} SELECT id, session_id, filename, status FROM docs WHERE id = 'S1-B'")
+def document_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.point(src.documents(spark, sf_dir), "S1-B")
+
+
+@_query(f"WITH {CLAIMS} SELECT id, coalesce(nullif(scope, ''), nullif(basis, ''), nullif(definition, '')) AS first, left(id, 8) AS short FROM claims")
+def first_defined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return src.claims(spark, sf_dir).select("id", ledger.first_filled(F.col("scope"), F.col("basis"), F.col("definition")).alias("first"), ledger.short_id(F.col("id")).alias("short"))
+
+
+@_query(f"WITH {CLAIMS} SELECT id, CASE WHEN source_page % 2 = 0 THEN 0 ELSE 1 END AS evidence_count, CASE WHEN source_page % 2 <> 0 THEN source_text END AS text, CASE WHEN source_page % 2 <> 0 THEN nullif(source_page - 5, 0) END AS page, coalesce(verified, false) AS verified FROM claims")
+def normalized_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = src.claims(spark, sf_dir).select("id", F.when(F.col("source_page") % 2 == 0, "").otherwise(F.col("source_text")).alias("text"), (F.col("source_page") - 5).alias("page"), F.when(F.col("verified"), 1).alias("verified"))
+    done = ledger.normalize_claims(raw)
+    return done.select("id", F.col("evidence_count").cast("int"), F.try_element_at("evidence", F.lit(1))["text"].alias("text"), F.try_element_at("evidence", F.lit(1))["page"].alias("page"), "verified")
+
+
+@_query(f"WITH {CLAIMS} SELECT id, filename, CASE WHEN status = 'parsed' THEN '2024' ELSE '2023' END AS created_at FROM docs")
+def normalized_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    early = F.when(F.col("status") != "parsed", "2023")
+    raw = src.documents(spark, sf_dir).select(F.col("id").alias("document_id"), F.col("filename").alias("file_name"), early.alias("created_at"), F.lit("2024").alias("uploaded_at"))
+    return ledger.normalize_documents(raw).select("id", "filename", "created_at")
+
+
+@_query(f"WITH {CLAIMS} SELECT DISTINCT session_id AS id FROM docs")
+def normalized_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.normalize_sessions(src.sessions(spark, sf_dir).select(F.col("id").alias("session_id"))).select("id")
+
+
+@_query(BASE + "SELECT lower(relationship_type) AS type, source_claim_id AS claim_a_id, target_claim_id AS claim_b_id, explanation AS reasoning FROM related")
+def normalized_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.normalize_relationships(_relationships(spark, sf_dir)).select("type", "claim_a_id", "claim_b_id", "reasoning")
+
+
+@_query(f"WITH {CLAIMS} SELECT c.id, CASE WHEN source_page % 3 = 0 THEN 'own' WHEN c.document_id LIKE '%-D' THEN 'Unknown document' ELSE filename END AS document_name FROM claims c JOIN docs d ON c.document_id = d.id")
+def document_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    claims = src.claims(spark, sf_dir).select("id", "document_id", F.when(F.col("source_page") % 3 == 0, "own").when(F.col("source_page") % 3 == 1, "").alias("document_name"))
+    return ledger.document_names(claims, src.documents(spark, sf_dir).filter("id not like '%-D'")).select("id", "document_name")
+
+
+_SHOWN = "lower(a.source_text || ' ' || b.source_text || ' ' || da.filename || ' ' || db.filename || ' ' || x.explanation || ' ' || a.source_text || ' ' || b.source_text)"
+
+
+@_query(
+    BASE
+    + f"""SELECT x.session_id, x.source_claim_id, x.target_claim_id, x.relationship_type FROM related x JOIN claims a ON x.source_claim_id = a.id JOIN docs da ON a.document_id = da.id JOIN claims b ON x.target_claim_id = b.id JOIN docs db ON b.document_id = db.id
+  WHERE lower(x.relationship_type) = 'reconciles' AND contains({_SHOWN}, 'b.pdf')"""
+)
+def filter_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = ledger.list_relationships(_relationships(spark, sf_dir), src.claims(spark, sf_dir), src.documents(spark, sf_dir))
+    return ledger.filter_relationships(listed, "reconciles", " B.PDF ").select(_FLAT)

@@ -106,10 +106,55 @@ def type_label(kind: Column) -> Column:
     return F.when(lower.isin("", "unknown"), "Unclassified").otherwise(F.concat(F.upper(F.left(words, F.lit(1))), F.substr(words, F.lit(2))))
 
 
+def _aliased(df: DataFrame, *names: str) -> Column:
+    """The first of the columns that are there and not null; an empty string counts as given."""
+    there = [F.col(n) for n in names if n in df.columns]
+    return F.coalesce(*there) if there else F.lit(None).cast("string")
+
+
+def normalize_sessions(raw: DataFrame) -> DataFrame:
+    return raw.withColumn("id", _aliased(raw, "id", "session_id").cast("string"))
+
+
+def normalize_documents(raw: DataFrame) -> DataFrame:
+    return raw.withColumns({"id": _aliased(raw, "id", "document_id").cast("string"), "filename": _aliased(raw, "filename", "file_name", "name"), "created_at": _aliased(raw, "created_at", "uploaded_at")})
+
+
+def normalize_relationships(raw: DataFrame) -> DataFrame:
+    """Lower-cased type, claim ids and reasoning as strings that are never null."""
+    kind = F.lower(F.coalesce(_aliased(raw, "relationship_type", "type"), F.lit("unknown")))
+    text = lambda *names: F.coalesce(_aliased(raw, *names).cast("string"), F.lit(""))
+    return raw.withColumns({"type": kind, "claim_a_id": text("source_claim_id"), "claim_b_id": text("target_claim_id"), "reasoning": text("explanation", "reasoning", "rationale")})
+
+
 def normalize_claims(raw: DataFrame) -> DataFrame:
     """Claims as a reader shows them: boolean verified, page 0 as none, evidence as an array."""
-    evidence = F.when(filled(F.col("source_text")).isNull(), F.array()).otherwise(F.array(F.struct(F.col("source_text").alias("text"), F.nullif(F.col("source_page"), F.lit(0)).alias("page"))))
-    return raw.withColumn("evidence", evidence).withColumn("verified", F.coalesce(F.col("verified").cast("boolean"), F.lit(False)))
+    source = F.coalesce(_aliased(raw, "source_text", "text", "claim_text", "content", "statement"), F.lit(""))
+    page = F.nullif(_aliased(raw, "source_page", "page").cast("int"), F.lit(0))
+    evidence = F.when(source == "", F.array()).otherwise(F.array(F.struct(source.alias("text"), page.alias("page"))))
+    return raw.withColumns({"evidence": evidence, "evidence_count": F.when(source == "", 0).otherwise(1), "verified": F.coalesce(F.col("verified").cast("boolean"), F.lit(False))})
+
+
+#: Fixed value: the name of a document that isn't known.
+UNKNOWN_DOCUMENT = "Unknown document"
+
+
+def document_names(claims: DataFrame, documents: DataFrame) -> DataFrame:
+    """Claims with ``document_name``: their own where filled, else the document's filename, else the fixed name."""
+    named = documents.select(F.col("id").alias("document_id"), F.col("filename").alias("_filename"))
+    return claims.join(named, "document_id", "left").withColumn("document_name", F.coalesce(filled(F.col("document_name")), filled(F.col("_filename")), F.lit(UNKNOWN_DOCUMENT))).drop("_filename")
+
+
+def filter_relationships(relationships: DataFrame, kind: str = "all", query: str = "") -> DataFrame:
+    """Rows of ``list_relationships`` of one type (or all) whose claims, document names, reasoning or evidence hold the query."""
+    out = relationships if kind == "all" else relationships.filter(F.lower("relationship_type") == kind)
+    texts = [F.col(f"claim_{s}.{c}") for c in ("source_text", "document_name") for s in "ab"]
+    return search(out, query, *map(filled, [*texts[:2], *texts[2:], F.col("explanation"), *texts[:2]]))
+
+
+def positions(df: DataFrame, key: str, at: str = "created_at") -> DataFrame:
+    """Rows with ``position``, their place in the key's list, newest first."""
+    return df.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(at), "id")))
 
 
 def clean_query(text: Column) -> Column:

@@ -172,9 +172,10 @@ def _guarded(scored: Column) -> Column:
     return F.when(F.col("a.id").eqNullSafe(F.col("b.id")), zero("same_claim")).when((a == b).eqNullSafe(True), zero("same_document")).when(scored["score"] < THRESHOLD, zero("below_threshold")).otherwise(scored)
 
 
-def _scored(pairs: DataFrame) -> DataFrame:
-    """Measured pairs with ``score`` and ``reason``."""
-    ratios = {f"r_{f}": S.sequence_ratio(*_both(f, "s")) for f in FIELDS}
+def _scored(pairs: DataFrame, open_: Column | None = None) -> DataFrame:
+    """Measured pairs with ``score`` and ``reason``; where not ``open_``, no ratio is worked out and the score is too low."""
+    side = lambda c: c if open_ is None else F.when(open_, c)
+    ratios = {f"r_{f}": S.sequence_ratio(*map(side, _both(f, "s"))) for f in FIELDS}
     out = pairs.withColumns(ratios).withColumn("scored", score({f: F.col(f"r_{f}") for f in FIELDS})).withColumn("scored", _guarded(F.col("scored")))
     return out.select("*", "scored.score", "scored.reason").drop("scored", *ratios)
 
@@ -190,10 +191,10 @@ def candidate_pairs(pairs: DataFrame) -> DataFrame:
     high = {f: S.ratio_bound(*_both(f, "s")) for f in FIELDS}
     bounded = measured(pairs.filter(~F.col("a.id").eqNullSafe(F.col("b.id")))).withColumn("least", score(low, F.lit(False))["score"]).withColumn("most", score(high, F.lit(False))["score"])
     state = F.when(F.col("close_subject") | (F.col("least") >= THRESHOLD + 1e-9), "in").when((high["subject"] < 0.75 - 1e-9) & (F.col("most") < THRESHOLD - 1e-9), "out").otherwise("open")
-    staged = bounded.withColumn("state", state).drop("least", "most")
-    decided = _unmeasured(_kept(staged, "state = 'in'").drop("state"))
-    scored = _unmeasured(_kept(_scored(_kept(staged, "state = 'open'").drop("state")), "score > 0").drop("score", "reason"))
-    return decided.unionByName(scored)
+    staged = _kept(bounded.withColumn("state", state).drop("least", "most"), "state <> 'out'")
+    # decided pairs pass by with nulls, so the pairs are made once
+    scored = _scored(staged, F.col("state") == "open")
+    return _unmeasured(_kept(scored, "(state = 'in' or score > 0)").drop("score", "reason", "state"))
 
 
 def rank_candidates(pairs: DataFrame, top: int = TOP) -> DataFrame:

@@ -10,7 +10,11 @@ from proofmill.sources.schemas import TABLES
 
 
 class Ledger:
-    """Tables under one folder that every executor sees; each write is a new version and old ones stay readable."""
+    """Tables under one folder that every executor sees.
+
+    A version is a folder: ``v<n>`` holds the whole table, ``v<n>a`` rows added to the
+    version before. A version counts when it is whole, and old ones stay readable.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -19,26 +23,39 @@ class Ledger:
     def _path(self, text: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(text)
 
-    def version(self, name: str) -> int:
-        """The newest whole version, 0 if there is none."""
+    def _versions(self, name: str) -> list[tuple[int, bool]]:
+        """Number of each whole version, and whether it adds to the one before."""
         at = self._path(f"{self.folder}/{name}")
         if not self._fs.exists(at):
-            return 0
+            return []
         found = [s.getPath() for s in self._fs.listStatus(at)]
-        return max([0, *(int(p.getName()[1:]) for p in found if self._fs.exists(self._path(f"{p}/_SUCCESS")))])
+        names = [p.getName()[1:] for p in found if self._fs.exists(self._path(f"{p}/_SUCCESS"))]
+        return sorted((int(n.rstrip("a")), n.endswith("a")) for n in names)
 
-    def read(self, name: str) -> DataFrame:
-        v = self.version(name)
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/{name}/v{v}") if v else self.spark.createDataFrame([], TABLES[name])
+    def version(self, name: str) -> int:
+        """The newest whole version, 0 if there is none."""
+        return max((n for n, _ in self._versions(name)), default=0)
 
-    def write(self, name: str, rows: DataFrame) -> None:
+    def read(self, name: str, version: int | None = None) -> DataFrame:
+        """The table as of ``version`` (None: the newest)."""
+        known = [v for v in self._versions(name) if version is None or v[0] <= version]
+        whole = max((n for n, adds in known if not adds), default=0)
+        paths = [f"{self.folder}/{name}/v{n}{'a' * adds}" for n, adds in known if n >= whole]
+        return self.spark.read.schema(TABLES[name]).parquet(*paths) if paths else self.spark.createDataFrame([], TABLES[name])
+
+    def _save(self, name: str, rows: DataFrame, adds: bool) -> None:
         fields = TABLES[name].fields
         have = set(rows.columns)
         shaped = rows.select(*(F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in fields))
-        shaped.write.mode("overwrite").parquet(f"{self.folder}/{name}/v{self.version(name) + 1}")
+        shaped.write.mode("overwrite").parquet(f"{self.folder}/{name}/v{self.version(name) + 1}{'a' * adds}")
+
+    def write(self, name: str, rows: DataFrame) -> None:
+        """Replace the table."""
+        self._save(name, rows, False)
 
     def append(self, name: str, rows: DataFrame) -> None:
-        self.write(name, self.read(name).unionByName(rows, allowMissingColumns=True))
+        """Add rows; what is stored isn't read or written again."""
+        self._save(name, rows, True)
 
 
 def first_seen(claims: DataFrame) -> DataFrame:

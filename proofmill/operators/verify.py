@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,38 +17,45 @@ NEAR = 0.92
 
 
 def best_window(quote: str, block: str, enough: float = NEAR) -> bool:
-    """Whether a window of the block as long as the quote in words is near enough."""
+    """Whether a window of the block as long as the quote in words is near enough.
+
+    The characters that a window has in common with the quote, counted for all windows
+    at once, bound the ratio from above; only windows within the bound are compared.
+    """
     words, text = quote.split(), block.split()
     n = len(words)
     if n < 4 or len(text) < n:
         return False
     quote = " ".join(words)
+    letters = np.frombuffer(" ".join(text).encode("utf-32-le"), np.uint32)
+    ends = np.cumsum([len(w) + 1 for w in text]) - 1
+    start, end = np.concatenate([[0], ends[:-1] + 1])[: len(text) - n + 1], ends[n - 1 :]
+    size = end - start
+    common = np.zeros(len(start), np.int64)
+    for c, count in Counter(quote).items():
+        before = np.concatenate([[0], np.cumsum(letters == ord(c))])
+        common += np.minimum(before[end] - before[start], count)
     matcher = SequenceMatcher(None)
-    lengths = [0]
-    for w in text:
-        lengths.append(lengths[-1] + len(w) + 1)
-    for i in range(len(text) - n + 1):
-        size = lengths[i + n] - lengths[i] - 1
-        if 2 * min(size, len(quote)) < enough * (size + len(quote)):
-            continue
-        window = " ".join(text[i : i + n])
-        matcher.set_seqs(quote, window)
-        if matcher.quick_ratio() >= enough and matcher.ratio() >= enough:
+    for i in np.flatnonzero(2.0 * common / (size + len(quote)) >= enough).tolist():
+        matcher.set_seqs(quote, " ".join(text[i : i + n]))
+        if matcher.ratio() >= enough:
             return True
     return False
 
 
 @F.pandas_udf(T.BooleanType())
 def _near(quote: pd.Series, block: pd.Series) -> pd.Series:
-    return pd.Series([best_window(q, b) for q, b in zip(quote, block, strict=True)], dtype=bool)
+    """False where the quote is null."""
+    return pd.Series([q is not None and best_window(q, b) for q, b in zip(quote, block, strict=True)], dtype=bool)
 
 
 def verify(quoted: DataFrame, quote: str = "evidence_quote", block: str = "block_text") -> DataFrame:
-    """Add ``verified`` and ``match`` (exact, near, none); only quotes that don't occur exactly reach Python."""
+    """Add ``verified`` and ``match`` (exact, near, none); texts whose quote occurs exactly don't reach Python."""
     n = quoted.withColumns({"_q": verify_normalize(F.col(quote)), "_b": verify_normalize(F.col(block))}).withColumn("_exact", (F.col("_q") != "") & F.contains(F.col("_b"), F.col("_q")))
-    exact = n.filter("_exact").withColumn("match", F.lit("exact"))
-    rest = n.filter("not _exact").withColumn("match", F.when((F.col("_q") != "") & _near("_q", "_b"), "near").otherwise("none"))
-    return exact.unionByName(rest).withColumn("verified", F.col("match") != "none").drop("_q", "_b", "_exact")
+    open_ = ~F.col("_exact") & (F.col("_q") != "")
+    near = n.withColumn("_near", _near(F.when(open_, F.col("_q")), F.when(open_, F.col("_b"))))
+    match = F.when(F.col("_exact"), "exact").when(F.col("_near"), "near").otherwise("none")
+    return near.withColumn("match", match).withColumn("verified", F.col("match") != "none").drop("_q", "_b", "_exact", "_near")
 
 
 def attach_blocks(raw_claims: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,13 +1,14 @@
 """Claims, documents and relationships derived from the order tables.
 
-Each region is a session with four publishers' documents. A document claims the
-yearly order value of every nation of the region, each publisher in its own unit,
-rounding, metric name, scope and basis.
+Each group of ``GROUP`` suppliers is a session with four publishers' documents. A
+document claims the yearly sales of each supplier of the group, each publisher in
+its own unit, rounding, metric name, scope and basis. So sessions, claims and pairs
+grow with the tables, and a session stays bounded.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,72 +16,92 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+GROUP = 4
+
+
+def _session(key: str) -> Column:
+    return F.concat(F.lit("S"), F.floor(F.col(key) / GROUP).cast("string"))
+
+
 def yearly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """session_id, nation, year and total of orders."""
-    orders = table(spark, sf_dir, "orders").select("o_custkey", F.year("o_orderdate").alias("year"), F.col("o_totalprice").cast("decimal(18,2)").alias("price"))
-    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    per_customer = orders.groupBy("o_custkey", "year").agg(F.sum("price").alias("price"))
-    by_nation = per_customer.join(customer, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey", "year").agg(F.sum("price").cast("double").alias("total"))
-    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    named = by_nation.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-    return named.select(F.col("r_name").alias("session_id"), F.col("n_name").alias("nation"), "year", "total")
+    """session_id, subject (nation and number of a supplier), year and total of sales."""
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", F.year("l_shipdate").alias("year"), F.col("l_extendedprice").cast("decimal(18,2)").alias("price"))
+    by_supplier = lines.groupBy("l_suppkey", "year").agg(F.sum("price").cast("double").alias("total"))
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    named = by_supplier.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    return named.select(_session("l_suppkey").alias("session_id"), F.concat_ws(" ", "n_name", F.col("l_suppkey").cast("string")).alias("subject"), "year", "total")
 
 
-#: Publisher, metric, unit, divisor, decimal steps, and the first year of a scope.
+#: Publisher, metric, unit, divisor, decimal steps, scope and its first year, basis of even years, kind of order value.
 PUBLISHERS = [
-    ("A", "revenue", "million USD", 1e6, 1e4, None, None),
-    ("B", "revenue", "billion USD", 1e9, 1e3, None, None),
-    ("C", "net sales", "$ million", 1e6, 1e2, "Domestic", 1998),
-    ("D", "revenue", "million USD", 1e6, 1e2, "Export", 1999),
+    ("A", "revenue", "million USD", 1e6, 1e4, None, None, "GAAP", "gross"),
+    ("B", "revenue", "billion USD", 1e9, 1e6, None, None, "GAAP", "gross"),
+    ("C", "net sales", "$ million", 1e6, 1e2, "Domestic", 1998, "Non-GAAP", "gross"),
+    ("D", "revenue", "million USD", 1e6, 1e2, "Export", 1999, "Non-GAAP", "net"),
 ]
+_FIELDS = ("name", "metric", "unit", "divisor", "steps", "scope", "since", "basis", "kind")
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims with session_id; created_at grows with the id."""
-    rows = None
-    base = yearly(spark, sf_dir)
-    for name, metric, unit, divisor, steps, scope, since in PUBLISHERS:
-        labelled = name == "C"
-        year = F.col("year").cast("string")
-        one = base.select(
-            "session_id",
-            F.concat_ws("-", "session_id", F.lit(name)).alias("document_id"),
-            F.concat_ws("-", "session_id", F.lit(name), "nation", year).alias("id"),
-            F.col("nation").alias("subject"),
-            F.lit(metric).alias("predicate"),
-            (F.floor(F.col("total") / divisor * steps) / steps).alias("value"),
-            F.lit("numeric").alias("value_type"),
-            F.lit(unit).alias("unit"),
-            (F.concat(F.lit("FY"), year) if labelled else F.concat(year, F.lit("-01-01"))).alias("period_start"),
-            (F.lit(None).cast("string") if labelled else F.concat(year, F.lit("-12-31"))).alias("period_end"),
-            F.lit("FY").alias("period_type"),
-            (F.when(F.col("year") >= since, scope) if scope else F.lit(None).cast("string")).alias("scope"),
-            F.when(F.col("year") % 2 == 0, "GAAP" if name in "AB" else "Non-GAAP").alias("basis"),
-            F.when(F.col("year") >= 2000, F.concat(F.lit("order value "), F.lit("net" if name == "D" else "gross"))).alias("definition"),
-            F.lit("metric").alias("claim_type"),
-            (F.col("year") - 1990).cast("int").alias("source_page"),
-            F.concat_ws(" ", F.lit("Orders of"), F.col("nation"), F.lit("in"), year).alias("source_text"),
-            (F.col("year") != 1997).alias("verified"),
-            F.lit(0.9).alias("confidence"),
-            F.concat_ws("-", F.lit(name), "nation", year).alias("created_at"),
-        )
-        rows = one if rows is None else rows.unionByName(one)
-    return rows
+    """Claims with session_id; created_at grows with the id of a document."""
+    each = F.explode(F.array(*(F.struct(*(F.lit(v).cast("int" if n == "since" else "double" if n in ("divisor", "steps") else "string").alias(n) for n, v in zip(_FIELDS, p, strict=True))) for p in PUBLISHERS)))
+    p = lambda n: F.col(f"p.{n}")
+    year, labelled = F.col("year").cast("string"), p("name") == "C"
+    return yearly(spark, sf_dir).withColumn("p", each).select(
+        "session_id",
+        F.concat_ws("-", "session_id", p("name")).alias("document_id"),
+        F.concat_ws("-", "session_id", p("name"), "subject", year).alias("id"),
+        "subject",
+        p("metric").alias("predicate"),
+        (F.floor(F.col("total") / p("divisor") * p("steps")) / p("steps")).alias("value"),
+        F.lit("numeric").alias("value_type"),
+        p("unit").alias("unit"),
+        F.when(labelled, F.concat(F.lit("FY"), year)).otherwise(F.concat(year, F.lit("-01-01"))).alias("period_start"),
+        F.when(~labelled, F.concat(year, F.lit("-12-31"))).alias("period_end"),
+        F.lit("FY").alias("period_type"),
+        F.when(F.col("year") >= p("since"), p("scope")).alias("scope"),
+        F.when(F.col("year") % 2 == 0, p("basis")).alias("basis"),
+        F.when(F.col("year") >= 2000, F.concat_ws(" ", F.lit("order value"), p("kind"))).alias("definition"),
+        F.lit("metric").alias("claim_type"),
+        (F.col("year") - 1990).cast("int").alias("source_page"),
+        F.concat_ws(" ", F.lit("Orders of"), "subject", F.lit("in"), year).alias("source_text"),
+        (F.col("year") != 1997).alias("verified"),
+        F.lit(0.9).alias("confidence"),
+        F.concat_ws("-", p("name"), "subject", year).alias("created_at"),
+    )
+
+
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").select(_session("s_suppkey").alias("id"), F.lit("active").alias("status")).distinct()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The publishers' documents: id, session_id, filename, status."""
-    region = table(spark, sf_dir, "region").select(F.col("r_name").alias("session_id"))
-    names = F.explode(F.array(*(F.lit(p[0]) for p in PUBLISHERS)))
-    each = region.select("session_id", names.alias("publisher"))
+    each = sessions(spark, sf_dir).select(F.col("id").alias("session_id"), F.explode(F.array(*(F.lit(p[0]) for p in PUBLISHERS))).alias("publisher"))
     return each.select(F.concat_ws("-", "session_id", "publisher").alias("id"), "session_id", F.concat(F.lower("publisher"), F.lit(".pdf")).alias("filename"), F.when(F.col("publisher") == "D", "parsed").otherwise("extracted").alias("status"))
 
 
-def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "region").select(F.col("r_name").alias("id"), F.lit("active").alias("status"))
-
-
 def evidence_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of ``documents`` as evidence blocks: id, document_id, page, block_type, text."""
+    """Texts of ``documents`` as evidence blocks of the ledger's documents: id, document_id, page, block_type, text."""
     docs = table(spark, sf_dir, "documents")
-    return docs.select(F.concat(F.lit("b"), F.col("doc_id").cast("string")).alias("id"), F.col("source").alias("document_id"), (F.col("doc_id") % 50 + 1).cast("int").alias("page"), F.lit("TEXT").alias("block_type"), "text", "doc_id")
+    publisher = F.element_at(F.array(*(F.lit(p[0]) for p in PUBLISHERS)), (F.col("doc_id") % len(PUBLISHERS) + 1).cast("int"))
+    document = F.concat(F.lit("S"), F.floor(F.col("doc_id") / 100).cast("string"), F.lit("-"), publisher)
+    return docs.select(F.concat(F.lit("b"), F.col("doc_id").cast("string")).alias("id"), document.alias("document_id"), (F.col("doc_id") % 50 + 1).cast("int").alias("page"), F.lit("TEXT").alias("block_type"), "text", "doc_id")
+
+
+def raw_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an extractor would answer for the blocks: a claim each with a quote, one in eleven of a block that isn't there."""
+    blocks = evidence_blocks(spark, sf_dir).select("id", "document_id", "doc_id", "text")
+    k, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    quote = F.when(k % 3 == 0, F.replace(F.substr(text, F.lit(11), F.lit(70)), F.lit(" "), F.lit("\n "))).when(k % 3 == 1, F.upper(F.substr(text, F.lit(1), F.lit(12)))).otherwise(F.lit("no such words"))
+    return blocks.select(
+        F.concat(F.lit("r"), k.cast("string")).alias("id"),
+        F.when(k % 11 == 10, F.concat(F.lit("gone"), k.cast("string"))).otherwise(F.col("id")).alias("block_id"),
+        "document_id",
+        F.concat(F.lit("subject "), (k % 7).cast("string")).alias("subject"),
+        F.lit("mentions").alias("predicate"),
+        k.cast("double").alias("value"),
+        quote.alias("evidence_quote"),
+        F.when(k % 5 != 0, 0.75).alias("confidence"),
+    )

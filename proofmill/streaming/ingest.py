@@ -11,7 +11,7 @@ from proofmill.plans.link import link_sessions
 
 
 def ingest_batch(ledger: Ledger, documents: DataFrame):
-    """A foreachBatch body: claims not yet stored are added, then all sessions are linked once.
+    """A foreachBatch body: claims not yet stored are added, then the sessions that they touch are linked once.
 
     A batch that comes again adds nothing: claims are keyed by id and relationships by their undirected pair.
     """
@@ -20,8 +20,11 @@ def ingest_batch(ledger: Ledger, documents: DataFrame):
     def run(batch: DataFrame, _epoch: int) -> None:
         fresh = batch.dropDuplicates(["id"]).join(ledger.read("claims").select("id"), "id", "left_anti")
         ledger.append("claims", fresh)
-        claims = ledger.read("claims").join(of, "document_id")
-        new = link_sessions(claims, ledger.read("relationships"))
+        # a batch that failed after its claims were stored comes again: its sessions are those of all its claims
+        touched = batch.select("document_id").join(of, "document_id").select("session_id").distinct()
+        claims = ledger.read("claims").join(of, "document_id").join(touched, "session_id", "left_semi")
+        stored = ledger.read("relationships").join(claims.select(F.col("id").alias("source_claim_id")), "source_claim_id", "left_semi")
+        new = link_sessions(claims, stored)
         ledger.append("relationships", new.select("id", "source_claim_id", "target_claim_id", "relationship_type", "reason_code", "explanation", "confidence", "decided_by", "created_at"))
 
     return run

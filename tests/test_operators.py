@@ -2,10 +2,12 @@
 
 from difflib import SequenceMatcher
 
+import pytest
 from pyspark.sql import functions as F
 
 from proofmill.operators import batching, ledger, pairs, store, verdict, verify
 from proofmill.operators.verify import best_window
+from proofmill.plans import ingest as ingest_plan
 from proofmill.plans.link import link_sessions
 from proofmill.sources.schemas import CLAIMS
 from proofmill.streaming import ingest
@@ -155,3 +157,38 @@ def test_labels(spark):
     assert [r.x for r in df.select(ledger.status_bucket(F.col("s")).alias("x")).collect()] == ["failed", "processing", "complete", "processing", "complete"]
     kinds = spark.createDataFrame([("CORROBORATES",), ("not_sure",), (None,)], "s string")
     assert [r.x for r in kinds.select(ledger.type_label(F.col("s")).alias("x")).collect()] == ["Corroborates", "Not sure", "Unclassified"]
+
+
+def test_store_appends_without_rewriting(spark, tmp_path):
+    ledger = store.Ledger(spark, f"file://{tmp_path}/ledger")
+    row = lambda i: spark.createDataFrame([(str(i), "active")], "id string, status string")
+    ledger.append("sessions", row(1))
+    ledger.append("sessions", row(2))
+    assert sorted(r.id for r in ledger.read("sessions").collect()) == ["1", "2"] and ledger.version("sessions") == 2
+    ledger.write("sessions", row(3))
+    ledger.append("sessions", row(4))
+    assert sorted(r.id for r in ledger.read("sessions").collect()) == ["3", "4"]
+    assert sorted(r.id for r in ledger.read("sessions", 2).collect()) == ["1", "2"]
+    assert sorted(p.name for p in (tmp_path / "ledger" / "sessions").iterdir()) == ["v1a", "v2a", "v3", "v4a"]
+
+
+def test_a_batch_is_of_one_session(spark):
+    jobs = spark.createDataFrame([("d1", "s1"), ("d2", "s1"), ("d3", "s2")], "document_id string, session_id string")
+    assert ingest_plan.one_session(jobs.filter("session_id = 's1'")) == "s1" and ingest_plan.one_session(jobs.limit(0)) is None
+    with pytest.raises(ValueError):
+        ingest_plan.one_session(jobs)
+
+
+def test_best_window_equals_brute_force():
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(7)
+    words = ["net", "sales", "rose", "to", "394", "billion", "in", "fiscal", "2024", "évé"]
+    for _ in range(300):
+        block = [rng.choice(words) for _ in range(rng.randint(3, 25))]
+        at = rng.randrange(len(block))
+        quote = [w if rng.random() < 0.9 else w + "s" for w in block[at : at + rng.randint(2, 9)]]
+        n, q = len(quote), " ".join(quote)
+        want = n >= 4 and any(SequenceMatcher(None, q, " ".join(block[i : i + n])).ratio() >= verify.NEAR for i in range(len(block) - n + 1))
+        assert verify.best_window(q, " ".join(block)) == want
