@@ -9,7 +9,8 @@ which must lie with its whole length inside the document; then the hashes of its
 words and at last its words themselves are compared.
 
 The windows are used in blocks of a bounded number, each broadcast; more windows
-mean more blocks. Documents aren't shuffled. Null or empty texts have no words.
+mean more blocks, in one pass over the documents for the counts of all and one for
+the search of all. Documents aren't shuffled. Null or empty texts have no words.
 Items without words or without an id match nothing; items with one id count once.
 Equal items and repeated documents are each reported. Columns of documents pass
 by; a column named ``leak`` is replaced. Empty tables give their own rows back.
@@ -81,6 +82,21 @@ def word_counts(docs: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
     return {r.code & (2**64 - 1): r.n for r in counted.collect()}  # a row per word of the block at most
 
 
+def all_word_counts(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """code, n of every word of the windows, however many, in one pass over the documents."""
+
+    @memo.task()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                h, n = np.unique(words(part.column("text"), ALNUM, lower=True)["hash"], return_counts=True)
+                yield pa.record_batch({"code": pa.array(h.view(np.int64)), "n": pa.array(n, pa.int64())})
+
+    vocabulary = windows.select(F.explode("codes").alias("code")).distinct()
+    counted = docs.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return counted.join(vocabulary, "code", "left_semi")
+
+
 class WindowIndex:
     """Windows of one block by their rarest word."""
 
@@ -152,12 +168,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block
     spark = docs.sparkSession
     windows = written(windows_of(benchmark, width).groupBy("window").agg(F.min("codes").alias("codes"), F.collect_set("item").alias("items")), "windows")
     blocks = max(1, -(-windows.count() // block))
+    counts = written(all_word_counts(docs, windows), "counts") if blocks > 1 else None
     out = docs
     for k in range(blocks):
-        some = windows.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k).collect()  # about a block of rows
+        mine = windows.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k)
+        some = mine.collect()  # about a block of rows
         if some:
-            vocabulary = np.unique(np.array([c & (2**64 - 1) for r in some for c in r.codes], dtype=U64))
-            index = WindowIndex([r["items"] for r in some], [r.window for r in some], [r.codes for r in some], word_counts(docs, vocabulary))
+            if counts is None:
+                often = word_counts(docs, np.unique(np.array([c & (2**64 - 1) for r in some for c in r.codes], dtype=U64)))
+            else:
+                often = {r.code & (2**64 - 1): r.n for r in counts.join(mine.select(F.explode("codes").alias("code")).distinct(), "code", "left_semi").collect()}  # a row per word of the block at most
+            index = WindowIndex([r["items"] for r in some], [r.window for r in some], [r.codes for r in some], often)
         else:
             index = WindowIndex([[]], ["\0"], [[0]], {})
         out = _with_block(out, spark.sparkContext.broadcast(index))

@@ -1,6 +1,6 @@
 """Surrogates for personal data.
 
-Detected entities (mail and IP addresses, phone and card numbers, account and social
+Detected entities (mail addresses, IP addresses of both versions, phone and card numbers, account and social
 numbers, keys and passwords, titled names) are replaced by surrogates of the same
 kind. Formatted ones go through a keyed permutation of all strings of their format:
 a Feistel network in the mixed radix of their letters and digits. It keeps
@@ -30,6 +30,7 @@ import hashlib
 import hmac
 import re
 import unicodedata
+import warnings
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -42,7 +43,8 @@ from proofmill.llm import memo
 from proofmill.llm.shared import at_most, maybe_broadcast, table, written
 from proofmill.llm.vec import slices
 
-KEY = b"proofmill surrogate key"
+#: The setting of the session that holds the secret key, and the key of tests and demonstrations: who knows it can undo the permutations.
+KEY_SETTING, DEMO_KEY = "spark.proofmill.surrogateKey", b"known to everybody"
 ROUNDS = 6
 HELD = 200_000  # overrides in a broadcast; more are joined
 DRAWS = 50
@@ -57,17 +59,20 @@ TITLES = {"m": "Mr Herr Monsieur Señor Sr господин".split(), "f": "Mrs
 #: Syllables and endings by script.
 SYLLABLES = {"latin": "ba be bo da de do fa fe ga go ka ke la le li lo ma me mi na ne no pa pe ra re ri ro sa se ta te va ve wa za".split(), "cyrillic": "ба бе бо да де до ка ке ла ле ли ло ма ме ми на не но па пе ра ре ри ро са се та те ва ве за".split(), "greek": "βα βε γα δα δε κα κε λα λε λι μα με μι να νε νο πα πε ρα ρε σα σε τα τε".split()}
 ENDINGS = {("latin", "m"): "rd", ("latin", "f"): "na", ("latin", "n"): "l", ("cyrillic", "m"): "н", ("cyrillic", "f"): "на", ("cyrillic", "n"): "л", ("greek", "m"): "ς", ("greek", "f"): "η", ("greek", "n"): "ν"}
-_NAME = r"[^\W\d_a-zа-яα-ω][^\W\d_A-ZА-ЯΑ-Ω]+"
+_NAME = r"(?:[DO]['’])?[^\W\d_a-zа-яα-ω][^\W\d_A-ZА-ЯΑ-Ω]+"
+#: Fixed value: particles between or before names, which stay.
+PARTICLES = "van von der den de del della di da la le zu bin al".split()
 KINDS = {
     "key": r"\bAKIA[0-9A-Z]{16}\b",
     "secret": r"(?i:\b(?:token|password|passwd|secret|api[_-]?key)\b\s*[=:]\s*[\"']?)(?P<value>[^\s\"',;]{6,})",
     "email": r"[\w.+-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
+    "ipv6": r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?\b",
     "social": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}(?P<between>[ .-])\d{3}(?P=between)\d{4})(?![\w-])",
-    "name": rf"\b(?P<title>{'|'.join(t for ts in TITLES.values() for t in ts)})\.? (?P<person>{_NAME}(?:[ -]{_NAME}){{0,2}})",
+    "name": rf"\b(?P<title>{'|'.join(t for ts in TITLES.values() for t in ts)})\.? (?P<person>(?:(?:{'|'.join(PARTICLES)}) ){{0,2}}{_NAME}(?:[ -](?:(?:{'|'.join(PARTICLES)}) ){{0,2}}{_NAME}){{0,2}})",
 }
 PATTERN = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in KINDS.items()))
 _ASSIGN = re.compile(KINDS["secret"])
@@ -77,6 +82,14 @@ HINT = re.compile(rf"[@\d]|(?i:token|passw|secret|api.?key)|{'|'.join(t + r'[. ]
 GENDER = {t: g for g, ts in TITLES.items() for t in ts}
 
 
+def surrogate_key(spark: SparkSession) -> bytes:
+    """The key in ``KEY_SETTING``; without one a warning is given and the demonstration's key is taken."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        warnings.warn(f"{KEY_SETTING} is unset: surrogates are made with a key that everybody knows", stacklevel=2)
+    return key.encode() if key else DEMO_KEY
+
+
 def _number(key: bytes, *parts: str) -> int:
     return int.from_bytes(hmac.new(key, "\x1f".join(parts).encode(), hashlib.sha256).digest(), "big")
 
@@ -160,7 +173,7 @@ def _person(name: str, gender: str, attempt: int, tweak: str, key: bytes) -> str
     return out.upper() if name.isupper() else out.capitalize()
 
 
-def surrogate(kind: str, text: str, attempt: int, key: bytes = KEY) -> str:
+def surrogate(kind: str, text: str, attempt: int, key: bytes = DEMO_KEY) -> str:
     """The replacement of an entity in its own format; ``attempt`` draws again."""
     tweak = f"{kind}{attempt}"
     if kind in ("male", "female", "family"):
@@ -172,6 +185,8 @@ def surrogate(kind: str, text: str, attempt: int, key: bytes = KEY) -> str:
         else:
             name = permute(head, key, tweak + end.lower())
         return _grown(head, attempt, key, tweak) + name + "." + end
+    if kind == "ipv6":
+        return permute(text, key, tweak, HEX)
     if kind == "ip":
         octets = [int(x) for x in text.split(".")]
         for k in range(ROUNDS):
@@ -251,7 +266,7 @@ def _cased(original: str, new: str) -> str:
     return new.upper() if original.isupper() else new.capitalize()
 
 
-def rewrite(text: str, overrides: dict, key: bytes = KEY) -> tuple[str, list[str]]:
+def rewrite(text: str, overrides: dict, key: bytes = DEMO_KEY) -> tuple[str, list[str]]:
     """The text with surrogates, and the kinds replaced."""
     out, at, kinds = [], 0, []
     for a, b, kind, form in entities(text):
@@ -264,7 +279,7 @@ def rewrite(text: str, overrides: dict, key: bytes = KEY) -> tuple[str, list[str
     return "".join([*out, text[at:]]), kinds
 
 
-def distinct_entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def distinct_entities(docs: DataFrame, key: bytes = DEMO_KEY) -> DataFrame:
     """kind, form, new: the distinct entities of all documents and their first surrogates."""
 
     @memo.task()
@@ -278,7 +293,7 @@ def distinct_entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     return docs.select("text").mapInArrow(find, "kind string, form string, new string").distinct()
 
 
-def drawn_again(found: DataFrame, key: bytes = KEY) -> DataFrame:
+def drawn_again(found: DataFrame, key: bytes = DEMO_KEY) -> DataFrame:
     """kind, form, attempt of the entities whose first surrogate another one has or that is itself an entity."""
     state = found.withColumn("attempt", F.lit(0))
     entity = found.select("kind", F.lower("form").alias("mark")).distinct()
@@ -303,7 +318,7 @@ def drawn_again(found: DataFrame, key: bytes = KEY) -> DataFrame:
     raise ValueError(f"no distinct surrogates after {DRAWS} draws")
 
 
-def collision_overrides(found: DataFrame, key: bytes = KEY) -> dict[tuple[str, str], int]:
+def collision_overrides(found: DataFrame, key: bytes = DEMO_KEY) -> dict[tuple[str, str], int]:
     """The table of ``drawn_again``, collected."""
     return {(r.kind, r.form): r.attempt for r in drawn_again(found, key).collect()}
 
@@ -323,8 +338,9 @@ def _again(docs: DataFrame, overrides: DataFrame) -> DataFrame:
     return found.join(overrides, ["kind", "form"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("kind", "form", "attempt")).alias("again"))
 
 
-def replace_pii(docs: DataFrame, key: bytes = KEY, held: int = HELD) -> DataFrame:
-    """Documents with surrogates in ``text``, and ``pii``: the kinds replaced, in order."""
+def replace_pii(docs: DataFrame, key: bytes | None = None, held: int = HELD) -> DataFrame:
+    """Documents with surrogates in ``text``, and ``pii``: the kinds replaced, in order. ``key``: None for the session's."""
+    key = surrogate_key(docs.sparkSession) if key is None else key
     docs = docs.drop("pii")
     overrides = drawn_again(written(distinct_entities(docs, key), "entities"), key)
     names, fields = docs.columns, docs.schema.fields

@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from proofmill.llm import oracles
+
 #: Query name to module and function.
 NAMES = {
     "op1_token_files": ("token_files", "op1_token_files"),
@@ -29,4 +31,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)

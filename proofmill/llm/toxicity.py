@@ -36,7 +36,7 @@ from proofmill.llm.shared import table, written
 from proofmill.llm.vec import slices
 
 TRAIN = 20_000
-EVIDENCE = 3.0  # natural log of the likelihood ratio that a term needs, beyond the log of the number of terms tried for each that is taken
+EVIDENCE = 4.5  # natural log of the likelihood ratio that a term needs, beyond the log of the number of terms tried for each that is taken
 THRESHOLD = 0.3
 AROUND = 6
 STEMS = (4, 5, 6, 7)

@@ -31,3 +31,36 @@ def test_joined_overrides_equal_broadcast(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string, k1 string")
     one, two = (sorted((tuple(r) for r in pii.replace_pii(table, held=h).collect()), key=str) for h in (0, 1000))
     assert one == two and len(one) == len(rows) and len({r[1] for r in one}) == 12
+
+
+def test_keys_particles_and_ipv6(spark, monkeypatch):
+    texts = ["Mr. van Dyke and Mrs O'Brien met; Dyke left", "at 2001:0db8:85a3:0000:0000:8a2e:0370:7334 now", "Frau von der Leyen"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    one = [r.text for r in pii.replace_pii(table, b"a key").orderBy("doc_id").collect()]
+    assert re.fullmatch(r"Mr\. van (\w+) and Mrs \w+ met; (\1) left", one[0]) and "Dyke" not in one[0] and "Brien" not in one[0]
+    assert re.fullmatch(r"at (?:[0-9a-f]{4}:){7}[0-9a-f]{4} now", one[1]) and one[1] != texts[1]
+    assert one[2].startswith("Frau von der ") and "Leyen" not in one[2]
+    two = [r.text for r in pii.replace_pii(table, b"another").orderBy("doc_id").collect()]
+    assert two[1] != one[1] and two[0] != one[0]
+    monkeypatch.setattr(pii, "surrogate_key", lambda spark: b"a key")
+    assert [r.text for r in pii.replace_pii(table).orderBy("doc_id").collect()] == one
+
+
+def test_distinct_and_coreferent_over_a_corpus(spark):
+    import random
+
+    rng = random.Random(31)
+    mails = [f"user{i}@mail{i % 7}.example.org" for i in range(150)]
+    names = [a.title() + b for a in ("ander", "berg", "holm", "lind", "ström", "quist") for b in ("a", "en", "er", "man", "son", "berg", "lund")]
+    rows = []
+    for i in range(300):
+        m, n = rng.choice(mails), rng.choice(names)
+        rows.append((i, f"Dr. {n} wrote from {m}. {n} is at 10.{i % 9}.{i % 31}.{i % 250}.", m, n))
+    table = spark.createDataFrame(rows, "doc_id long, text string, m string, n string")
+    images = {}
+    for r in pii.replace_pii(table, b"k").collect():
+        found = re.fullmatch(r"Dr\. (\w+) wrote from (\S+@\S+)\. (\w+) is at (\S+)\.", r.text)
+        assert found and found[1] == found[3], r.text
+        for old, new in ((r.m, found[2]), (r.n, found[1])):
+            assert images.setdefault(old, new) == new and new != old
+    assert len(set(images.values())) == len(images) and not set(images.values()) & set(images)
