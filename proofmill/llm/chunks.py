@@ -157,10 +157,10 @@ def _is_odd(text: str) -> bool:
 _encoders: dict[tuple, ChunkEncoder] = {}
 
 
-def encoder(path: str, dtype: str) -> ChunkEncoder:
+def encoder(path: str, dtype: str, keep: int = KEEP) -> ChunkEncoder:
     """The worker's encoder of this file, kept from task to task; the task is marked by ``memo.task("chunks")``."""
     memo.keeps("chunks", _encoders.clear)
-    key = (path, dtype)
+    key = (path, dtype, keep)
     if key not in _encoders:
-        _encoders[key] = ChunkEncoder(path, dtype)
+        _encoders[key] = ChunkEncoder(path, dtype, keep)
     return _encoders[key]

@@ -35,7 +35,8 @@ from proofmill.llm.vec import slices
 
 LENGTH = 2048
 ROWS_PER_BATCH = 256
-FILE_BYTES = 256 << 20
+FILE_BYTES = 64 << 20
+KEEP = 450_000  # chunks in a generation of the encoder's table
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -119,7 +120,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str,
     @memo.task("chunks")
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, first, n_docs = None, None, 0
-        enc = encoder(tokenizer, dtype)
+        enc = encoder(tokenizer, dtype, KEEP)
         for batch in batches:
             for part in slices(batch):
                 ids = part.column("doc_id").to_pylist()
