@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofmill.llm import memo
-from proofmill.llm.chunks import encoder
+from proofmill.llm.chunks import KEEP, encoder
 from proofmill.llm.shared import table, written
 from proofmill.llm.vec import slices
 
@@ -63,13 +63,13 @@ def fill(tokens: np.ndarray, loss: np.ndarray, limits: tuple[int, int, int]) ->
     return bins, offsets
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, max_tokens: int) -> DataFrame:
-    """Pieces of each document's ids with their checksums; of plain documents every id bears loss."""
+def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, max_tokens: int, keep: int = KEEP) -> DataFrame:
+    """Pieces of each document's ids with their checksums; of plain documents every id bears loss. ``keep`` bounds the encoder's table."""
     end = np.array([end_id], "<u4").tobytes()
 
     @memo.task("chunks")
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer, "<u4")
+        enc = encoder(tokenizer, "<u4", keep)
         for batch in batches:
             for part in slices(batch):
                 out = []
@@ -143,4 +143,4 @@ def pack(pieces: DataFrame, max_tokens: int = MAX_TOKENS, max_segments: int = MA
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(cut_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2, MAX_TOKENS))
+    return pack(cut_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2, MAX_TOKENS, 600_000))
