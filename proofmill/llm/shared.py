@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 _local: list[str] = []
 
 
@@ -48,6 +49,9 @@ def drop_written(spark: SparkSession, df: DataFrame) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the given folder. Texts go to Python in batches of a few MB, unless the session says otherwise."""
+    if spark.conf.get(BATCH[0], None) is None:
+        spark.conf.set(*BATCH)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

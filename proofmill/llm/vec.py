@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 2 << 20
+SPAN_BYTES = 1 << 18
 U64 = np.uint64
 
 
@@ -92,9 +93,22 @@ def runs(member: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span; spans are disjoint and in order, none is empty."""
-    if len(starts) == 0:
-        return np.zeros(0, U64)
+    """A 64-bit hash of each byte span; spans are disjoint and in order, none is empty.
+
+    Spans are taken in blocks of ``SPAN_BYTES``, or of one longer span: each byte needs several 64-bit numbers.
+    """
+    total = np.cumsum(ends - starts)
+    out = np.empty(len(starts), U64)
+    at = 0
+    while at < len(starts):
+        before = int(total[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(total, before + SPAN_BYTES, "right")))
+        out[at:end] = _span_hash(data, starts[at:end], ends[at:end])
+        at = end
+    return out
+
+
+def _span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     lens = ends - starts
     first = np.concatenate([[0], np.cumsum(lens)])
     pos = np.arange(first[-1]) - np.repeat(first[:-1], lens)
