@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from proofmill.llm import decontam, jaccard, packing, pii, toxicity
 from proofmill.llm.shared import maybe_broadcast, table, written
 
+CHUNKS = 100_000  # chunks in a generation of the packing encoder's table
+
 
 def _narrow(docs: DataFrame) -> DataFrame:
     """doc_id, text and the other columns in one struct, so that no name clashes with what an operator adds."""
@@ -69,7 +71,8 @@ def vector_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Pieces of the documents' ids with their sequences and offsets; null and empty texts are one end id, repeated rows are packed each."""
     import public_tokenizers
 
-    return packing.pack(packing.cut_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), 2, packing.MAX_TOKENS))
+    # the earlier stages have filled the executors' heaps by now, so the encoder's table is a small one
+    return packing.pack(packing.cut_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), 2, packing.MAX_TOKENS, CHUNKS))
 
 
 STAGES = [
