@@ -515,9 +515,10 @@ def near_rows(docs: DataFrame, passing: tuple[str, ...] = ()) -> DataFrame:
     found = linked(docs, classes, candidates(sets))
     roots = components(found.filter("b is not null")).withColumnRenamed("node", "cls")
     counts = found.filter("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
-    joined = classes.join(roots, "cls", "left").join(counts, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = written(joined.join(least, "root").select("n", "d1", "d2", "component_id", "root", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "named")
+    # only components of several classes have a least doc_id to look up, and a large one is met as a row for each task
+    least = written(roots.join(classes.select("cls", "doc_id"), "cls").groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
+    joined = classes.join(roots, "cls", "left").join(counts, "cls", "left").join(maybe_broadcast(least, IDS), "root", "left")
+    named = written(joined.select("n", "d1", "d2", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("root", "cls").alias("root"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "named", least)
     whole = narrow.join(named, ["n", "d1", "d2"], "left")
     return whole.select("doc_id", *passing, F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "root")
 
