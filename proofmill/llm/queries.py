@@ -21,6 +21,9 @@ NAMES = {
     "op8_pack": ("packing", "op8_pack"),
     "op9_toxicity": ("toxicity", "op9_toxicity"),
     "op10_shards": ("shards", "op10_shards"),
+    "op11_neighbours": ("neighbours", "op11_neighbours"),
+    "op12_conversation_repair": ("conversations", "op12_conversation_repair"),
+    "op13_fill_in_middle": ("middle", "op13_fill_in_middle"),
 }
 
 

@@ -14,10 +14,11 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data here
 @pytest.mark.parametrize("name", sorted(oracles.SQL))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     found = con.execute(oracles.SQL[name])
     columns = sorted(c[0] for c in found.description)
-    want = found.df()[columns].sort_values("doc_id", ignore_index=True)
-    got = queries.queries()[name](spark, SF).toPandas()[columns].sort_values("doc_id", ignore_index=True)
+    key = "doc_id" if "doc_id" in columns else "conv_id"
+    want = found.df()[columns].sort_values(key, ignore_index=True)
+    got = queries.queries()[name](spark, SF).toPandas()[columns].sort_values(key, ignore_index=True)
     assert got.dtypes.tolist() == want.dtypes.tolist() and got.equals(want)
