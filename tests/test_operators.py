@@ -192,3 +192,6 @@ def test_best_window_equals_brute_force():
         n, q = len(quote), " ".join(quote)
         want = n >= 4 and any(SequenceMatcher(None, q, " ".join(block[i : i + n])).ratio() >= verify.NEAR for i in range(len(block) - n + 1))
         assert verify.best_window(q, " ".join(block)) == want
+        verify.PIECE, whole = 3, verify.PIECE
+        assert verify.best_window(q, " ".join(block)) == want
+        verify.PIECE = whole
