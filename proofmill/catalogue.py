@@ -9,7 +9,7 @@ from proofmill.functions import periods as P
 from proofmill.functions import similarity as S
 from proofmill.functions import text as X
 from proofmill.functions import units as U
-from proofmill.operators import batching, ledger, pairs, store, verdict, verify
+from proofmill.operators import batching, candidates, ledger, pairs, store, verdict, verify
 from proofmill.plans import ingest
 from proofmill.plans.link import link_sessions
 from proofmill.sources import claims as src
@@ -503,8 +503,12 @@ def rate_window_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- C14, C16, O4, K3: scores and linking --------------------------------------------------------
 
 
+def _ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.ordered(src.claims(spark, sf_dir).filter("verified"))
+
+
 def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.enumerate_pairs(pairs.prepared(pairs.ordered(src.claims(spark, sf_dir).filter("verified"))))
+    return pairs.enumerate_pairs(pairs.prepared(_ordered(spark, sf_dir)))
 
 
 @_query()
@@ -514,12 +518,12 @@ def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def find_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.candidate_pairs(_prepared(spark, sf_dir)).select("session_id", F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
+    return candidates.find(_ordered(spark, sf_dir)).select("session_id", "id_a", "id_b")
 
 
 @_query()
 def rank_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.rank_candidates(_prepared(spark, sf_dir)).select("session_id", "rank", F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), F.round("score", 9).alias("score"))
+    return candidates.best(_ordered(spark, sf_dir)).select("session_id", "rank", "id_a", "id_b", F.round("score", 9).alias("score"))
 
 
 @_query()

@@ -195,9 +195,3 @@ def candidate_pairs(pairs: DataFrame) -> DataFrame:
     # decided pairs pass by with nulls, so the pairs are made once
     scored = _scored(staged, F.col("state") == "open")
     return _unmeasured(_kept(scored, "(state = 'in' or score > 0)").drop("score", "reason", "state"))
-
-
-def rank_candidates(pairs: DataFrame, top: int = TOP) -> DataFrame:
-    """The best-scored pairs of each session, ties in pair order."""
-    best = Window.partitionBy("session_id").orderBy(F.desc("score"), F.col("a.ord"), F.col("b.ord"))
-    return _kept(pair_scores(pairs), "score > 0").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
