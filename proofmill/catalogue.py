@@ -130,8 +130,7 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The relationships that the rules find."""
-    ruled, _ = verdict.partition(verdict.decide(_pairs(spark, sf_dir)))
-    return ruled.select("session_id", F.concat_ws("|", "a.id", "b.id").alias("id"), F.col("a.id").alias("source_claim_id"), F.col("b.id").alias("target_claim_id"), "verdict.*", F.col("a.ord").alias("ord_a"), F.col("b.ord").alias("ord_b"))
+    return verdict.ruled(_ordered(spark, sf_dir)).select("session_id", F.concat_ws("|", "a.id", "b.id").alias("id"), F.col("a.id").alias("source_claim_id"), F.col("b.id").alias("target_claim_id"), "verdict.*", F.col("a.ord").alias("ord_a"), F.col("b.ord").alias("ord_b"))
 
 
 # --- A, J, F: reads ------------------------------------------------------------------------------

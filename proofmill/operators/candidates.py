@@ -42,7 +42,7 @@ SHARED = np.array([0, 5, 16, 23, 28], float)
 
 def narrow(claims: DataFrame) -> DataFrame:
     """What a score needs of claims with ``ord``: one text for each of FIELDS (null where it is missing), and the words of the whole claim."""
-    p = prepared(claims)
+    p = prepared(claims.filter("session_id is not null"))
     key = {f: F.when(X.filled(F.col(f)).isNotNull(), F.col(f"n_{f}")) for f in FIELDS} | {f: X.filled(F.col(f"n_{f}")) for f in ("subject", "predicate")}
     family = U.unit_family(U.unit_tokens(F.col("unit")))
     return p.select(
@@ -74,28 +74,57 @@ class _Field:
             texts = [k or "" for k in self.keys]
         self.text = [t.strip(" ") for t in texts]
         self.words = [sorted({w for w in t.split(" ") if len(w) > 1} - _STOP) for t in texts]
+        self._letters = self._twos = None
 
     def some(self, values: np.ndarray) -> _Field:
         """The same for some of the values."""
         out = object.__new__(_Field)
         out.there, out.keys = self.there[values], [self.keys[v] for v in values]
         out.text, out.words = [self.text[v] for v in values], [self.words[v] for v in values]
+        out._letters, out._twos = self.letters()[values], [self.twos()[v] for v in values]
         return out
 
     def letters(self) -> np.ndarray:
-        out = np.zeros((len(self.text), len(LETTERS)), np.int16)
-        for k, t in enumerate(self.text):
-            for c in set(t):
-                out[k, LETTERS.index(c)] = t.count(c)
-        return out
+        """How often each value has each of LETTERS; worked out once."""
+        if self._letters is None:
+            self._letters = np.zeros((len(self.text), len(LETTERS)), np.int16)
+            for k, t in enumerate(self.text):
+                for c in set(t):
+                    self._letters[k, LETTERS.index(c)] = t.count(c)
+        return self._letters
+
+    def twos(self) -> list[list[str]]:
+        if self._twos is None:
+            self._twos = [_twos(t) for t in self.text]
+        return self._twos
 
 
 _STOP, _CUES = set(X.STOPWORDS), set(X.CUES)
 
 
+def _equal(x: list, y: list) -> np.ndarray:
+    """Which values are equal; nulls are too."""
+    number: dict = {}
+    a, b = (np.array([number.setdefault(v, len(number)) for v in s], dtype=np.int64) for s in (x, y))
+    return a[:, None] == b
+
+
+def _twos(text: str) -> list[str]:
+    """The neighbouring letters of a text, numbered where they repeat."""
+    seen: dict[str, int] = {}
+    out = []
+    for k in range(len(text) - 1):
+        two = text[k : k + 2]
+        seen[two] = seen.get(two, 0) + 1
+        out.append(f"{two}{seen[two]}")
+    return out
+
+
 def _common(x: list[list[str]], y: list[list[str]]) -> np.ndarray:
     """How many words each two of the word lists share."""
-    known = {w: k for k, w in enumerate(sorted({w for ws in x for w in ws} & {w for ws in y for w in ws}))}
+    known = {w: k for k, w in enumerate({w for ws in x for w in ws} & {w for ws in y for w in ws})}
+    if not known:
+        return np.zeros((len(x), len(y)), np.int64)
     sides = [np.zeros((len(s), len(known)), np.float32) for s in (x, y)]
     for side, lists in zip(sides, (x, y), strict=True):
         for k, ws in enumerate(lists):
@@ -116,26 +145,35 @@ class _Likeness:
         jaccard = np.where(some, shared / np.maximum(nx + ny - shared, 1), 0.0)
         containment = np.where(some, shared / np.maximum(np.minimum(nx, ny), 1), 0.0)
         self.sets = np.maximum(jaccard, containment)
-        equal = np.array([[a == b for b in y.keys] for a in x.keys], bool).reshape(both.shape)
-        even = both & equal if name in ("subject", "predicate", "period") else np.zeros_like(both)
+        even = both & _equal(x.keys, y.keys) if name in ("subject", "predicate", "period") else np.zeros_like(both)
         lx, ly = x.letters(), y.letters()
         overlap = np.zeros(both.shape, np.int16)
         for c in range(len(LETTERS)):
             overlap += np.minimum(lx[:, c, None], ly[:, c])
         sizes = np.array([len(t) for t in x.text])[:, None] + np.array([len(t) for t in y.text])
         filled = np.array([bool(t) for t in x.text])[:, None] & np.array([bool(t) for t in y.text])
-        most = np.where(filled, 2.0 * overlap / np.maximum(sizes, 1), 0.0)
-        least = np.zeros(both.shape)
-        if both.size <= FEW:
-            at = np.argwhere(both & filled & ~even)
-            ways = [matching.ratios([a.text[i] for i in p], [b.text[j] for j in q]) for a, b, p, q in ((x, y, at[:, 0], at[:, 1]), (y, x, at[:, 1], at[:, 0]))]
-            most[at[:, 0], at[:, 1]], least[at[:, 0], at[:, 1]] = np.maximum(*ways), np.minimum(*ways)
+        # between two blocks a letter of either side is left over, so m letters in blocks share 3 * m - sizes - 1 neighbours at least
+        twos = _common(x.twos(), y.twos())
+        short = np.array([len(t) < matching.LONG for t in x.text])[:, None] & np.array([len(t) < matching.LONG for t in y.text])
+        letters = np.where(short, np.minimum(overlap, (twos + sizes + 1) // 3), overlap)
+        self.most, self.least = np.where(filled, 2.0 * letters / np.maximum(sizes, 1), 0.0), np.zeros(both.shape)
         self.even, self.both = even, both
-        self.low = np.where(even, 1.0, np.where(both, np.maximum(least, self.sets), 0.0))
-        self.high = np.where(even, 1.0, np.where(both, np.maximum(most, self.sets), 0.0))
         self.close = both & (even | (jaccard >= 0.40) | (containment >= 0.60))
-        self.same_low = self.close | (both & (least >= 0.75))
-        self.same_high = self.close | (both & (most >= 0.75))
+        self.asked = np.argwhere(both & filled & ~even) if both.size <= FEW else np.zeros((0, 2), int)
+
+    def asks(self) -> list[tuple[str, str]]:
+        """The value pairs whose ratios are wanted before any pair of claims is looked at, in both directions."""
+        both = [(self.x.text[i], self.y.text[j]) for i, j in self.asked.tolist()]
+        return both + [(b, a) for a, b in both]
+
+    def settle(self, ratio: np.ndarray) -> None:
+        """Take the ratios of ``asks`` and fix the bounds."""
+        i, j = self.asked.T
+        ways = ratio[: len(i)], ratio[len(i) :]
+        self.most[i, j], self.least[i, j] = np.maximum(*ways), np.minimum(*ways)
+        bound = lambda r: np.where(self.even, 1.0, np.where(self.both, np.maximum(r, self.sets), 0.0))
+        self.low, self.high = bound(self.least), bound(self.most)
+        self.same_low, self.same_high = self.close | (self.both & (self.least >= 0.75)), self.close | (self.both & (self.most >= 0.75))
 
     def exact(self, i: np.ndarray, j: np.ndarray, forward: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Likeness, and whether the values are the same, of values i and j; forward where i's claim comes first."""
@@ -163,16 +201,21 @@ def _score(like: dict[str, np.ndarray], same: dict[str, np.ndarray], shared: np.
     return np.choose(reason, [context, related, close]), reason
 
 
-def _wild(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _there(values: list) -> np.ndarray:
+    return np.array([v is not None for v in values], dtype=bool)
+
+
+def _wild(x: list, y: list) -> np.ndarray:
     """1 unless both are there and differ."""
-    return ((x[:, None] == y) | (x == None)[:, None] | (y == None)).astype(float)  # noqa: E711
+    return (_equal(x, y) | ~_there(x)[:, None] | ~_there(y)).astype(float)
 
 
 class _Side:
     def __init__(self, rows: pa.Table):
         column = lambda name: c.combine_chunks() if isinstance(c := rows.column(name), pa.ChunkedArray) else c
         self.ord = column("ord").to_numpy(zero_copy_only=False)
-        self.doc, self.id, self.unit, self.kind = (np.array(column(c).to_pylist(), object) for c in ("doc", "id", "unit", "kind"))
+        self.doc, self.unit, self.kind, ids = (column(c).to_pylist() for c in ("doc", "unit", "kind", "id"))
+        self.id = np.array(ids, object)
         self.fields = {f: _Field(column(f)) if f != "period" else _Field(column("raw_period"), column("period")) for f in FIELDS}
         self.words = [w.split() for w in column("words").to_pylist()]
 
@@ -182,10 +225,9 @@ class Strip:
 
     def __init__(self, x: _Side, y: _Side, rows: slice, one_block: bool):
         self.x, self.y, self.first = x, y, rows.start
-        doc, id_ = x.doc[rows], x.id[rows]
         ahead = x.ord[rows][:, None] < y.ord
-        same_doc = (doc[:, None] == y.doc) & (doc != None)[:, None]  # noqa: E711
-        self.valid = ~same_doc & (id_[:, None] != y.id) & (ahead if one_block else x.ord[rows][:, None] != y.ord)
+        same_doc = _equal(x.doc[rows], y.doc) & _there(x.doc[rows])[:, None]
+        self.valid = ~same_doc & ~_equal(x.id[rows].tolist(), y.id.tolist()) & (ahead if one_block else x.ord[rows][:, None] != y.ord)
         self.ahead = ahead
         self.fields, self.at = {}, {}
         for f in FIELDS:
@@ -193,18 +235,30 @@ class Strip:
             used, at = np.unique(mine.at[rows], return_inverse=True)
             self.at[f] = at, theirs.at
             self.fields[f] = _Likeness(f, mine.some(used), theirs)
+        # one call for all fields
+        asks = {f: self.fields[f].asks() for f in FIELDS}
+        ratio = matching.ratios([a for f in FIELDS for a, _ in asks[f]], [b for f in FIELDS for _, b in asks[f]])
+        for f, part in zip(FIELDS, np.split(ratio, np.cumsum([len(asks[f]) for f in FIELDS])[:-1]), strict=True):
+            self.fields[f].settle(part)
         words = x.words[rows]
         self.shared = _common(words, y.words)
         self.cues = _common([[w for w in ws if w in _CUES] for ws in words], [[w for w in ws if w in _CUES] for ws in y.words])
         self.unit, self.kind = _wild(x.unit[rows], y.unit), _wild(x.kind[rows], y.kind)
 
-    def bound(self, which: str) -> np.ndarray:
-        """The ``low`` or ``high`` bound of every pair's score."""
+    def high(self) -> np.ndarray:
+        """The upper bound of every pair's score."""
         spread = lambda m, f: m[self.at[f][0]][:, self.at[f][1]]
-        like = {f: spread(getattr(self.fields[f], which), f) for f in FIELDS}
-        same = {f: spread(getattr(self.fields[f], f"same_{which}"), f) for f in ("subject", "predicate")}
+        like = {f: spread(self.fields[f].high, f) for f in FIELDS}
+        same = {f: spread(self.fields[f].same_high, f) for f in ("subject", "predicate")}
         return _score(like, same, self.shared, self.cues, self.unit, self.kind)[0]
 
+    def low(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The lower bound of some pairs' scores."""
+        pick = lambda m, f: m[self.at[f][0][i], self.at[f][1][j]]
+        like = {f: pick(self.fields[f].low, f) for f in FIELDS}
+        same = {f: pick(self.fields[f].same_low, f) for f in ("subject", "predicate")}
+        return _score(like, same, self.shared[i, j], self.cues[i, j], self.unit[i, j], self.kind[i, j])[0]
+
     def exact(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Score and reason of some pairs."""
         forward = self.ahead[i, j]
@@ -222,19 +276,17 @@ class Strip:
 
 def _candidates(strip: Strip, _seen: list) -> dict[str, np.ndarray]:
     """Every pair that reaches the threshold; no score where the bounds decide."""
-    high = strip.bound("high")
-    low = strip.bound("low")
-    sure = np.nonzero(strip.valid & (low >= THRESHOLD))
-    i, j = np.nonzero(strip.valid & (low < THRESHOLD) & (high >= THRESHOLD))
-    score, reason = strip.exact(i, j)
-    kept = score >= THRESHOLD
-    i, j = np.concatenate([sure[0], i[kept]]), np.concatenate([sure[1], j[kept]])
+    i, j = np.nonzero(strip.valid & (strip.high() >= THRESHOLD))
+    kept = strip.low(i, j) >= THRESHOLD
+    open_ = np.flatnonzero(~kept)
+    kept[open_] = strip.exact(i[open_], j[open_])[0] >= THRESHOLD
+    i, j = i[kept], j[kept]
     return strip.rows(i, j, np.full(len(i), np.nan), np.full(len(i), -1))
 
 
 def _scores(strip: Strip, _seen: list) -> dict[str, np.ndarray]:
     """Every pair that reaches the threshold, with its score."""
-    i, j = np.nonzero(strip.valid & (strip.bound("high") >= THRESHOLD))
+    i, j = np.nonzero(strip.valid & (strip.high() >= THRESHOLD))
     score, reason = strip.exact(i, j)
     kept = score >= THRESHOLD
     return strip.rows(i[kept], j[kept], score[kept], reason[kept])
@@ -244,10 +296,12 @@ def _best(top: int) -> Callable[[Strip, list], dict[str, np.ndarray]]:
     """The ``top`` best pairs of a strip; ``seen`` holds the best scores of the strips before."""
 
     def run(strip: Strip, seen: list) -> dict[str, np.ndarray]:
-        low = np.where(strip.valid, strip.bound("low"), -1.0).reshape(-1)
-        known = np.concatenate([*seen, low])
+        high = strip.high()
+        i, j = np.nonzero(strip.valid & (high >= THRESHOLD))
+        known = np.concatenate([*seen, strip.low(i, j)])
         cut = max(THRESHOLD, float(np.partition(known, -top)[-top])) if len(known) > top else THRESHOLD
-        i, j = np.nonzero(strip.valid & (strip.bound("high") >= cut))
+        some = high[i, j] >= cut
+        i, j = i[some], j[some]
         score, reason = strip.exact(i, j)
         out = strip.rows(i, j, score, reason)
         order = np.lexsort((out["ord_b"], out["ord_a"], -score))

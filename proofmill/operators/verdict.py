@@ -52,6 +52,20 @@ def decide(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("verdict", verdict())
 
 
+def ruled(claims: DataFrame) -> DataFrame:
+    """session_id, a, b, verdict: the pairs of claims (with ``ord``) of one session that the rules decide.
+
+    The rules decide only pairs of equal, filled subject and predicate, so those are join keys; a and b hold what the rules compare.
+    """
+    p = prepared(claims)
+    kept = [c for c in p.columns if c.startswith("rule_")]
+    known = p.select("session_id", "ord", "id", "document_id", "subject", "value", "period_start", "period_end", *kept).filter("rule_subject <> '' and rule_predicate <> ''")
+    keys = ["session_id", "rule_subject", "rule_predicate"]
+    side = lambda s: known.select(*keys, F.struct(*known.columns).alias(s))
+    apart = (F.col("a.ord") < F.col("b.ord")) & ~(X.filled(F.col("a.document_id")) == X.filled(F.col("b.document_id"))).eqNullSafe(True)
+    return decide(side("a").join(side("b"), keys).filter(apart)).filter("verdict is not null").select("session_id", "a", "b", "verdict")
+
+
 def partition(decided: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs that the rules decided, and those for the adjudicator."""
     return decided.filter("verdict is not null"), decided.filter("verdict is null")

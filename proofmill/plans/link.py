@@ -14,39 +14,44 @@ from proofmill.operators import verdict as V
 Adjudicator = Callable[[DataFrame], DataFrame]
 
 
-def candidate_claims(claims: DataFrame, relationships: DataFrame) -> DataFrame:
-    """session_id, a, b: the candidates of claims with ``ord`` that have no stored relationship in either direction.
-
-    Candidates are found on narrow columns; the claims, with what the rules compare, are joined to them afterwards.
-    """
+def new_candidates(claims: DataFrame, relationships: DataFrame) -> DataFrame:
+    """session_id, ord_a, ord_b, id_a, id_b: the candidates of claims with ``ord`` that have no stored relationship in either direction."""
     lo, hi = P.undirected(F.col("source_claim_id"), F.col("target_claim_id"))
     stored = relationships.select(lo.alias("lo"), hi.alias("hi")).distinct()
     lo, hi = P.undirected(F.col("id_a"), F.col("id_b"))
-    new = C.find(claims).withColumns({"lo": lo, "hi": hi}).join(stored, ["lo", "hi"], "left_anti").select("session_id", "ord_a", "ord_b")
-    ruled = V.prepared(claims)
-    side = lambda s: ruled.select("session_id", F.col("ord").alias(f"ord_{s}"), F.struct(*ruled.columns).alias(s))
-    return new.join(side("a"), ["session_id", "ord_a"]).join(side("b"), ["session_id", "ord_b"]).select("session_id", "a", "b")
+    return C.find(claims).withColumns({"lo": lo, "hi": hi}).join(stored, ["lo", "hi"], "left_anti").drop("lo", "hi")
+
+
+def with_claims(found: DataFrame, claims: DataFrame) -> DataFrame:
+    """Pairs by ``ord_a`` and ``ord_b`` with both claims, and what the rules compare, as structs a and b."""
+    whole = V.prepared(claims)
+    side = lambda s: whole.select("session_id", F.col("ord").alias(f"ord_{s}"), F.struct(*whole.columns).alias(s))
+    return found.join(side("a"), ["session_id", "ord_a"]).join(side("b"), ["session_id", "ord_b"])
 
 
 def link_sessions(claims: DataFrame, relationships: DataFrame, adjudicate: Adjudicator = V.offline, now=None) -> DataFrame:
     """New relationships of the verified claims of every session.
 
-    Pairs already stored, in either direction, are dropped. The rules decide what they can; the
-    adjudicator gets the rest and returns the pairs with ``verdict``.
+    Pairs already stored, in either direction, are dropped. Candidates and ruled pairs are found on
+    their own and joined as pairs of numbers; claims are joined only to what the adjudicator gets.
+    It returns the pairs with ``verdict``.
     """
-    decided = V.decide(candidate_claims(P.ordered(claims.filter("verified")), relationships))
-    if adjudicate is V.offline:  # no second pass over the pairs for a constant answer
+    verified = P.ordered(claims.filter("verified"))
+    keys = ["session_id", "ord_a", "ord_b"]
+    ruled = V.ruled(verified).select("session_id", F.col("a.ord").alias("ord_a"), F.col("b.ord").alias("ord_b"), "verdict")
+    decided = new_candidates(verified, relationships).join(ruled, keys, "left")
+    if adjudicate is V.offline:  # a constant answer needs no claims
         answered = decided.withColumn("verdict", F.coalesce("verdict", V.uncertain()))
     else:
-        ruled, open_ = V.partition(decided)
-        answered = ruled.unionByName(adjudicate(open_))
+        closed, open_ = V.partition(decided)
+        answered = closed.unionByName(adjudicate(with_claims(open_.drop("verdict"), verified)).select(closed.columns))
     results = answered.select(
         "session_id",
-        F.col("a.id").alias("source_claim_id"),
-        F.col("b.id").alias("target_claim_id"),
+        F.col("id_a").alias("source_claim_id"),
+        F.col("id_b").alias("target_claim_id"),
         "verdict.*",
-        F.col("a.ord").alias("ord_a"),
-        F.col("b.ord").alias("ord_b"),
+        "ord_a",
+        "ord_b",
     )
     kept = P.dedup_undirected(results, [F.when(F.col("decided_by") == "rules", 0).otherwise(1), "ord_a", "ord_b"]).drop("ord_a", "ord_b")
     rid = F.sha2(F.concat_ws("|", "source_claim_id", "target_claim_id"), 256)
