@@ -120,6 +120,52 @@ def _tokens(normal: str) -> str:
 def _meaningful(normal: str) -> str:
     return f"list_distinct(list_filter(string_split({normal}, ' '), lambda t: length(t) > 1 AND NOT list_contains({_STOP}, t)))"
 
+_FIELDS = ("subject", "predicate", "definition", "basis", "scope", "period")
+
+
+def _likeness(f: str) -> str:
+    """Likeness of a field: by sequence and by words, 1 where equal values count as even, 0 where one is missing."""
+    even = {"subject": "subject_a = subject_b", "predicate": "predicate_a = predicate_b", "period": "raw_a = raw_b"}.get(f, "false")
+    gone = f"{f}_a = '' OR {f}_b = ''" if f in ("subject", "predicate") else f"{'raw' if f == 'period' else f}_a IS NULL OR {'raw' if f == 'period' else f}_b IS NULL"
+    same = f", NOT ({gone}) AND ({even} OR {f}_j >= 0.40 OR {f}_c >= 0.60 OR {f}_r >= 0.75) AS same_{f}" if f in ("subject", "predicate") else ""
+    return f"CASE WHEN {gone} THEN CAST(0 AS DOUBLE) WHEN {even} THEN CAST(1 AS DOUBLE) ELSE greatest({f}_r, {f}_j, {f}_c) END AS like_{f}{same}"
+
+
+def _measured(f: str) -> str:
+    return f"JOIN measures m_{f} ON m_{f}.x = coalesce({f}_a, '') AND m_{f}.y = coalesce({f}_b, '')"
+
+
+#: Scores of all pairs. The sequence ratio: common runs on each diagonal, then the longest block of a part, and the parts left and right of it.
+#: All units of these claims are of one family and all values numeric.
+_SCORES = (
+    f"""named AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at, id) AS ord, concat_ws(' ', period_start, period_end, period_type) AS raw,
+  {_meaningful(_normal("concat_ws(' ', subject, predicate, definition, basis, scope)"))} AS words FROM claims WHERE verified),
+plain AS (SELECT session_id, id, document_id, ord, raw, words, list_filter(words, lambda w: list_contains({_CUE}, w)) AS cues, {_normal("subject")} AS subject, CASE {_normal("predicate")} WHEN 'net sales' THEN 'revenue' ELSE {_normal("predicate")} END AS predicate,
+  {_normal("definition")} AS definition, {_normal("basis")} AS basis, {_normal("scope")} AS scope, {_normal("raw")} AS period FROM named),
+texts AS (SELECT a.session_id, a.id AS id_a, b.id AS id_b, a.ord AS ord_a, b.ord AS ord_b, a.raw AS raw_a, b.raw AS raw_b, len(list_intersect(a.words, b.words)) AS shared, len(list_intersect(a.cues, b.cues)) AS cue, {", ".join(f"a.{f} AS {f}_a, b.{f} AS {f}_b" for f in _FIELDS)}
+  FROM plain a JOIN plain b ON a.session_id = b.session_id AND a.ord < b.ord AND a.document_id <> b.document_id),
+asked AS ({" UNION ".join(f"SELECT coalesce({f}_a, '') AS x, coalesce({f}_b, '') AS y FROM texts" for f in _FIELDS)}),
+rows_ AS (SELECT x, y, unnest(range(1, length(trim(x)) + 1)) AS i FROM asked),
+cells AS (SELECT x, y, i, j FROM (SELECT x, y, i, unnest(range(1, length(trim(y)) + 1)) AS j FROM rows_) WHERE substr(trim(x), i, 1) = substr(trim(y), j, 1)),
+runs AS (SELECT x, y, d, min(i) AS i0, count(*) AS n FROM (SELECT x, y, i, i - j AS d, i - row_number() OVER (PARTITION BY x, y, i - j ORDER BY i) AS g FROM cells) GROUP BY x, y, d, g),
+parts AS (SELECT x, y, CAST(1 AS BIGINT) AS al, CAST(length(trim(x)) + 1 AS BIGINT) AS ah, CAST(1 AS BIGINT) AS bl, CAST(length(trim(y)) + 1 AS BIGINT) AS bh, CAST(0 AS BIGINT) AS found FROM asked
+  UNION ALL SELECT x, y, CASE side WHEN 1 THEN al ELSE s + l END, CASE side WHEN 1 THEN s ELSE ah END, CASE side WHEN 1 THEN bl ELSE s - d + l END, CASE side WHEN 1 THEN s - d ELSE bh END, CASE side WHEN 1 THEN l ELSE 0 END
+  FROM (SELECT *, row_number() OVER (PARTITION BY x, y, al, bl ORDER BY l DESC, s, s - d) AS r FROM (
+    SELECT p.x, p.y, al, ah, bl, bh, d, greatest(i0, al, bl + d) AS s, least(i0 + n, ah, bh + d) - greatest(i0, al, bl + d) AS l FROM parts p JOIN runs q ON p.x = q.x AND p.y = q.y) WHERE l > 0), (VALUES (1), (2)) AS sides(side) WHERE r = 1),
+matched AS (SELECT x, y, CASE WHEN trim(x) = '' OR trim(y) = '' THEN CAST(0 AS DOUBLE) ELSE CAST(2 * sum(found) AS DOUBLE) / (length(trim(x)) + length(trim(y))) END AS r FROM parts GROUP BY x, y),
+sets AS (SELECT x, y, r, {_meaningful("x")} AS xs, {_meaningful("y")} AS ys FROM matched),
+measures AS (SELECT x, y, r, CASE WHEN len(xs) = 0 OR len(ys) = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(len(list_intersect(xs, ys)) AS DOUBLE) / (len(xs) + len(ys) - len(list_intersect(xs, ys))) END AS j,
+  CASE WHEN len(xs) = 0 OR len(ys) = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(len(list_intersect(xs, ys)) AS DOUBLE) / least(len(xs), len(ys)) END AS c FROM sets),
+looked AS (SELECT t.*, {", ".join(f"m_{f}.r AS {f}_r, m_{f}.j AS {f}_j, m_{f}.c AS {f}_c" for f in _FIELDS)} FROM texts t {" ".join(map(_measured, _FIELDS))}),
+likened AS (SELECT session_id, id_a, id_b, ord_a, ord_b, shared, cue, {", ".join(map(_likeness, _FIELDS))} FROM looked),
+summed AS (SELECT *, CASE WHEN same_subject AND same_predicate THEN 70 + 12 * like_definition + 5 * like_basis + 5 * like_scope + 8 * like_period + CAST(1.5 AS DOUBLE) * least(shared, 5) + 3 + 2
+    WHEN same_subject THEN 45 + 12 * like_predicate + 12 * like_definition + 5 * like_basis + 5 * like_scope + 6 * like_period + 2 * least(shared, 5) + 3 * least(cue, 3) + 2 + 1
+    ELSE (CASE WHEN shared >= 4 THEN 28 WHEN shared = 3 THEN 23 WHEN shared = 2 THEN 16 WHEN shared = 1 THEN 5 ELSE 0 END) + 12 * like_subject + 8 * like_predicate + 18 * like_definition + 5 * like_basis + 5 * like_scope + 5 * like_period + 4 * least(cue, 3) + 2 + 1 END AS total,
+  CASE WHEN same_subject AND same_predicate THEN 'same_subject_and_predicate' WHEN same_subject THEN 'same_subject_related_predicate' ELSE 'shared_context' END AS why FROM likened)"""
+)
+_SCORED = f"WITH RECURSIVE {CLAIMS}, {_SCORES} "
+
+
 
 # --- shared frames -------------------------------------------------------------------------------
 
@@ -510,22 +556,27 @@ def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.enumerate_pairs(pairs.prepared(_ordered(spark, sf_dir)))
 
 
-@_query()
+@_query(_SCORED + "SELECT session_id, id_a, id_b, CASE WHEN total >= 18 THEN round(total, 9) ELSE 0 END AS score, CASE WHEN total >= 18 THEN why ELSE 'below_threshold' END AS reason FROM summed")
 def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.pair_scores(_prepared(spark, sf_dir)).select("session_id", F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), F.round("score", 9).alias("score"), "reason")
 
 
-@_query()
+@_query(_SCORED + "SELECT session_id, id_a, id_b FROM summed WHERE total >= 18")
 def find_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.find(_ordered(spark, sf_dir)).select("session_id", "id_a", "id_b")
 
 
-@_query()
+@_query(_SCORED + "SELECT session_id, CAST(rank AS INTEGER) AS rank, id_a, id_b, round(total, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY total DESC, ord_a, ord_b) AS rank FROM summed WHERE total >= 18) WHERE rank <= 150")
 def rank_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.best(_ordered(spark, sf_dir)).select("session_id", "rank", "id_a", "id_b", F.round("score", 9).alias("score"))
 
 
-@_query()
+_LINKED = f"""WITH RECURSIVE {CLAIMS}, {PAIRS}, {_SCORES} SELECT s.session_id, id_a AS source_claim_id, id_b AS target_claim_id, coalesce(relationship_type, 'UNCERTAIN') AS relationship_type, coalesce(reason_code, 'INSUFFICIENT_CONTEXT') AS reason_code,
+  coalesce(explanation, 'Batched Gemini adjudication failed or returned invalid JSON.') AS explanation, coalesce(confidence, CAST(0 AS DOUBLE)) AS confidence, CASE WHEN reason_code IS NULL THEN 'llm' ELSE 'rules' END AS decided_by, sha256(id_a || '|' || id_b) AS id
+FROM summed s LEFT JOIN related x ON x.source_claim_id = id_a AND x.target_claim_id = id_b WHERE total >= 18 AND coalesce(relationship_type, '') <> 'CORROBORATES'"""
+
+
+@_query(_LINKED)
 def link_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = _relationships(spark, sf_dir).filter("relationship_type = 'CORROBORATES'")
     return link_sessions(src.claims(spark, sf_dir), stored, now=F.lit("2024-01-01").cast("timestamp")).drop("created_at")
