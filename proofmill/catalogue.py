@@ -11,8 +11,9 @@ from proofmill.functions import text as X
 from proofmill.functions import units as U
 from proofmill.operators import batching, candidates, ledger, pairs, store, verdict, verify
 from proofmill.plans import ingest
-from proofmill.plans.link import link_sessions
+from proofmill.plans.link import link_sessions, recorded
 from proofmill.sources import claims as src
+from proofmill.sources.schemas import TABLES
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -513,14 +514,18 @@ def page_raw_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.page_raw_text(ingest.page_texts(_layout(spark, sf_dir)), wanted).select("document_id", "page", F.sha2("text", 256).alias("sha"))
 
 
-#: A greedy fold a document at a time: b the open batch, n its blocks, used its tokens.
-_BATCHED = f"""{CLAIMS}, sized AS (SELECT id, document_id, (length(id) + length(CAST(page AS VARCHAR)) + length(text) + 88 + 3) // 4 AS tokens, row_number() OVER (PARTITION BY document_id ORDER BY doc_id) AS r FROM blocks),
+def _placed(source: str, order: str) -> str:
+    """A greedy fold a document at a time: b the open batch, n its blocks, used its tokens."""
+    return f"""sized AS (SELECT *, (length(id) + length(CAST(page AS VARCHAR)) + length(text) + 88 + 3) // 4 AS tokens, row_number() OVER (PARTITION BY document_id ORDER BY {order}) AS r FROM {source}),
 placed AS (SELECT document_id, r, id, tokens, 0 AS batch_id, CASE WHEN tokens + 962 > 12000 THEN 1 ELSE 0 END AS b, CASE WHEN tokens + 962 > 12000 THEN 0 ELSE 1 END AS n, CASE WHEN tokens + 962 > 12000 THEN 962 ELSE 962 + tokens END AS used FROM sized WHERE r = 1
   UNION ALL SELECT document_id, r, id, tokens, spot, CASE WHEN alone THEN spot + 1 ELSE spot END, CASE WHEN alone THEN 0 WHEN flush THEN 1 ELSE n + 1 END, CASE WHEN alone THEN 962 WHEN flush THEN 962 + tokens ELSE used + tokens END FROM (
     SELECT *, CASE WHEN n > 0 AND (alone OR flush) THEN b + 1 ELSE b END AS spot FROM (
       SELECT s.document_id, s.r, s.id, s.tokens, p.b, p.n, p.used, s.tokens + 962 > 12000 AS alone, p.n >= 20 OR p.used + s.tokens > 12000 AS flush FROM placed p JOIN sized s ON s.document_id = p.document_id AND s.r = p.r + 1)))"""
 
 
+_BATCHED = f"{CLAIMS}, {_placed('blocks', 'doc_id')}"
+
+
 @_query(f"WITH RECURSIVE {_BATCHED} SELECT id, document_id, tokens, CAST(batch_id AS BIGINT) AS batch_id FROM placed")
 def token_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batching.block_batches(src.evidence_blocks(spark, sf_dir), ["doc_id"]).select("id", "document_id", "tokens", "batch_id")
@@ -531,9 +536,37 @@ def batch_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.batch_totals(batching.block_batches(src.evidence_blocks(spark, sf_dir), ["doc_id"]), "document_id")
 
 
-@_query()
+_SHOWN_FIELDS = "id subject predicate value value_type unit period_start period_end period_type scope basis definition claim_type source_page source_text".split()
+_SHOWN_SQL = " || ', ' || ".join(f"'\"{f}\": ' || coalesce(" + (f"CAST({f} AS VARCHAR)" if f in ("value", "source_page") else f"'\"' || {f} || '\"'") + ", 'null')" for f in _SHOWN_FIELDS)
+
+#: Open pairs in order. Ten of them never reach the token budget, so ten make a batch; no text of these claims needs an escape.
+_OPEN = f"""payloads AS (SELECT *, '{{' || {_SHOWN_SQL} || '}}' AS payload FROM (SELECT *, 'metric' AS claim_type FROM claims)),
+open_ AS (SELECT session_id, ord_a, ord_b, id_a, id_b, row_number() OVER (PARTITION BY session_id ORDER BY ord_a, ord_b) - 1 AS nth FROM judged WHERE reason_code IS NULL),
+told AS (SELECT o.*, 'pair_' || nth AS pair_id, nth // 10 AS batch_id, a.payload AS payload_a, b.payload AS payload_b FROM open_ o JOIN payloads a ON a.id = id_a JOIN payloads b ON b.id = id_b)"""
+
+
+def _open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = verdict.partition(verdict.decide(_pairs(spark, sf_dir)))[1]
+    return found.select("session_id", *(F.col(f"{s}.{c}").alias(f"{c}_{s}") for c in ("ord", "id") for s in "ab"))
+
+
+@_query(BASE + f", {_OPEN} SELECT session_id, CAST(ord_a AS INTEGER) AS ord_a, CAST(ord_b AS INTEGER) AS ord_b, id_a, id_b, pair_id, (93 + length(pair_id) + length(payload_a) + length(payload_b) + 3) // 4 AS tokens, batch_id FROM told")
 def pair_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return batching.pair_batches(verdict.partition(verdict.decide(_pairs(spark, sf_dir)))[1])
+    return batching.pair_batches(_open(spark, sf_dir), _ordered(spark, sf_dir))
+
+
+_ASKED = "'<CLAIM_PAIR>' || chr(10) || '<pair_id>' || pair_id || '</pair_id>' || chr(10) || chr(10) || '<CLAIM_A>' || chr(10) || payload_a || chr(10) || '</CLAIM_A>' || chr(10) || chr(10) || '<CLAIM_B>' || chr(10) || payload_b || chr(10) || '</CLAIM_B>' || chr(10) || chr(10) || '</CLAIM_PAIR>'"
+
+
+@_query(BASE + f", {_OPEN} SELECT session_id, batch_id, sha256(string_agg({_ASKED}, chr(10) || chr(10) ORDER BY nth)) AS sha, max(length(payload_a)) AS longest FROM told GROUP BY 1, 2")
+def pair_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an adjudicator is sent, as hashes."""
+    claims = _ordered(spark, sf_dir)
+    batched = batching.pair_batches(_open(spark, sf_dir), claims)
+    asked = batching.pair_requests(batched, claims).select("session_id", "batch_id", F.sha2("request", 256).alias("sha"))
+    sizes = batching.payloads(claims).select("session_id", F.col("ord").alias("ord_a"), F.length("payload").alias("n"))
+    longest = batched.join(sizes, ["session_id", "ord_a"]).groupBy("session_id", "batch_id").agg(F.max("n").cast("long").alias("longest"))
+    return asked.join(longest, ["session_id", "batch_id"])
 
 
 @_query(
@@ -598,6 +631,22 @@ def link_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.link_counters(decided, pairs.new_pairs(decided, _relationships(spark, sf_dir).filter("relationship_type = 'CORROBORATES'")))
 
 
+_ANSWERED = f"""answered AS (SELECT t.*, CASE WHEN batch_id % 4 IN (1, 2) THEN 'batch' WHEN batch_id % 4 = 3 AND nth % 10 = 0 THEN 'pair' WHEN nth % 3 = 1 THEN 'bare' ELSE 'told' END AS way FROM told t)
+SELECT session_id, id_a AS source_claim_id, id_b AS target_claim_id, CASE WHEN way IN ('batch', 'pair') OR nth % 3 <> 0 THEN 'UNCERTAIN' ELSE 'CONTRADICTS' END AS relationship_type, CASE WHEN way IN ('batch', 'pair') THEN 'INSUFFICIENT_CONTEXT' ELSE 'CHECKED' END AS reason_code,
+  CASE way WHEN 'batch' THEN 'Batched Gemini adjudication failed or returned invalid JSON.' WHEN 'pair' THEN 'No valid verdict was returned for this claim pair.' WHEN 'bare' THEN 'No explanation was returned.' ELSE 'as told' END AS explanation,
+  CAST(CASE WHEN way IN ('batch', 'pair') THEN 0 ELSE 0.5 END AS DOUBLE) AS confidence, 'llm' AS decided_by FROM answered
+UNION ALL SELECT session_id, source_claim_id, target_claim_id, relationship_type, reason_code, explanation, confidence, 'rules' FROM related WHERE relationship_type <> 'CORROBORATES'"""
+
+
+@_query(BASE + f", {_OPEN}, {_ANSWERED}")
+def link_adjudicated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A linking pass whose open pairs get an adjudicator's written-down answers, half of them unusable. Every pair of these claims is a candidate."""
+    claims = _ordered(spark, sf_dir)
+    answers = src.adjudicator_answers(batching.pair_batches(_open(spark, sf_dir), claims))
+    stored = _relationships(spark, sf_dir).filter("relationship_type = 'CORROBORATES'")
+    return link_sessions(claims, stored, recorded(answers)).drop("created_at", "id")
+
+
 # --- K1, K2, J-5, J-8, O, F, A5: ingest and reads over it ------------------------------------------
 
 _RAW_SQL = f"""raw AS (SELECT 'r' || doc_id AS id, CASE WHEN doc_id % 11 = 10 THEN 'gone' || doc_id ELSE id END AS block_id, document_id, 'subject ' || (doc_id % 7) AS subject, CAST(doc_id AS DOUBLE) AS value,
@@ -717,3 +766,53 @@ _SHOWN = "lower(a.source_text || ' ' || b.source_text || ' ' || da.filename || '
 def filter_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = ledger.list_relationships(_relationships(spark, sf_dir), src.claims(spark, sf_dir), src.documents(spark, sf_dir))
     return ledger.filter_relationships(listed, "reconciles", " B.PDF ").select(_FLAT)
+
+
+# --- K1, K2 as whole plans -------------------------------------------------------------------------
+
+#: Documents that can be read, their blocks in batches, and the usable items of the answers.
+_UPLOADED = f"""{_MERGED}, readable AS (SELECT document_id || '-TEXT-' || page || '-' || seq AS id, document_id, page, seq, text FROM merged WHERE CAST(document_id AS BIGINT) % 13 <> 5),
+{_placed("readable", "page, seq")},
+items AS (SELECT s.*, p.batch_id, row_number() OVER (PARTITION BY s.document_id, p.batch_id ORDER BY s.r) - 1 AS item, CAST(s.document_id AS BIGINT) AS doc FROM sized s JOIN placed p ON p.document_id = s.document_id AND p.r = s.r),
+found AS (SELECT document_id || '-' || batch_id || '-' || item AS id, document_id, id AS evidence_block_id, 'subject ' || (doc % 7) AS subject, 'mentions' AS predicate, CAST(CASE WHEN r % 6 = 2 THEN 12.5 ELSE doc % 50 END AS DOUBLE) AS value, page AS source_page,
+  CASE WHEN r % 6 = 1 AND doc % 10 = 0 THEN regexp_replace(substring(text, 1, 40), '^\\s+|\\s+$', '', 'g') ELSE 'no such words' END AS source_text, r % 6 = 1 AND doc % 10 = 0 AS verified, CAST(CASE WHEN r % 6 = 1 THEN 0.75 ELSE 0.5 END AS DOUBLE) AS confidence
+  FROM items WHERE (doc + batch_id) % 4 < 2 AND r % 6 IN (1, 2))"""
+
+
+def _upload(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """All documents as one upload of a session; every thirteenth can't be read, and half of the extractor's answers are unusable."""
+    docs = src.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.lit("S").alias("session_id"), F.concat("doc_id", F.lit(".pdf")).alias("filename"), F.when(F.col("doc_id") % 13 == 5, "unreadable").alias("error"))
+    layout = _layout(spark, sf_dir)
+    tables = _order_tables(spark, sf_dir).limit(0)
+    blocks = ingest.evidence_blocks(layout, tables)
+    answers = src.extractor_answers(batching.block_batches(blocks, ["page", "seq"]))
+    stored = {name: spark.createDataFrame([], schema) for name, schema in TABLES.items()}
+    return ingest.ingest_batch(docs, layout, tables, answers, stored, now=F.lit("2024-01-01").cast("timestamp"))
+
+
+@_query(f"WITH RECURSIVE {_UPLOADED} SELECT * FROM found")
+def ingest_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From layout through batches and written-down answers to verified claims."""
+    return _upload(spark, sf_dir)["claims"].select("id", "document_id", "evidence_block_id", "subject", "predicate", "value", "source_page", "source_text", "verified", "confidence")
+
+
+@_query(
+    f"""WITH RECURSIVE {_UPLOADED} SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 13 = 5 THEN 'failed' ELSE 'extracted' END AS status, CASE WHEN doc_id % 13 = 5 THEN 'unreadable' END AS error,
+  (SELECT count(*) FROM readable WHERE document_id = CAST(doc_id AS VARCHAR)) AS blocks, (SELECT count(*) FROM found WHERE document_id = CAST(doc_id AS VARCHAR)) AS claims FROM documents"""
+)
+def ingest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of every document of an upload: one that fails hides no other."""
+    new = _upload(spark, sf_dir)
+    count = lambda name: new[name].groupBy(F.col("document_id").alias("id")).agg(F.count("*").alias(name))
+    out = new["documents"].select("id", "status", "error").join(count("evidence_blocks").withColumnRenamed("evidence_blocks", "blocks"), "id", "left").join(count("claims"), "id", "left")
+    return out.fillna(0, ["blocks", "claims"])
+
+
+@_query(
+    f"""WITH RECURSIVE {_UPLOADED}, sure AS (SELECT * FROM found WHERE verified),
+paired AS (SELECT a.id AS source_claim_id, b.id AS target_claim_id, a.subject = b.subject AND (a.value = b.value OR abs(a.value - b.value) / greatest(abs(a.value), abs(b.value)) <= 0.02) AS same, a.value = b.value AS even FROM sure a JOIN sure b ON a.id < b.id AND a.document_id <> b.document_id)
+SELECT source_claim_id, target_claim_id, CASE WHEN same THEN 'CORROBORATES' ELSE 'UNCERTAIN' END AS relationship_type, CASE WHEN same AND even THEN 'EXACT_MATCH' WHEN same THEN 'ROUNDING' ELSE 'INSUFFICIENT_CONTEXT' END AS reason_code FROM paired"""
+)
+def ingest_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The linking pass at the end of an upload; every pair of its verified claims is a candidate."""
+    return _upload(spark, sf_dir)["relationships"].select("source_claim_id", "target_claim_id", "relationship_type", "reason_code")

@@ -7,11 +7,13 @@ shuffled by key, sorted, and streamed through; a task holds one open batch.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from proofmill.functions.text import ustrip
 
@@ -24,10 +26,6 @@ LEAST_CHARS, GAP, MOST_CHARS = 40, 18, 6000
 ADJUDICATED = "id subject predicate value value_type unit period_start period_end period_type scope basis definition claim_type source_page source_text".split()
 
 
-def _tokens(chars: int) -> int:
-    return (chars + 3) // 4
-
-
 class _Batch:
     """Greedy packing of one key: an item over the budget stands alone."""
 
@@ -51,49 +49,71 @@ class _Batch:
         return self.batch
 
 
-def _batched(df: DataFrame, key: str, order: list[str], chars: Callable[[pd.DataFrame, pd.Series], list[int]], most: int, system: int, budget: int) -> DataFrame:
-    """Add tokens and batch_id (from 0 in each key, in order)."""
+def _batched(df: DataFrame, key: str, order: list[str], most: int, system: int, budget: int) -> DataFrame:
+    """Rows with ``tokens`` get ``batch_id`` (from 0 in each key, in order)."""
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state, current, index = None, None, 0
+        state, current = None, None
         for frame in frames:
-            at = []
-            for k in frame[key]:
-                if k != current:
-                    current, index = k, 0
-                at.append(index)
-                index += 1
-            frame["tokens"] = [_tokens(n) for n in chars(frame, pd.Series(at))]
             ids = []
-            for k, t, first in zip(frame[key], frame["tokens"], at, strict=True):
-                if first == 0:
-                    state = _Batch(most, system, budget)
+            for k, t in zip(frame[key], frame["tokens"], strict=True):
+                if state is None or k != current:
+                    state, current = _Batch(most, system, budget), k
                 ids.append(state.place(t))
             frame["batch_id"] = ids
             yield frame
 
     schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(fold, f"{schema}, tokens long, batch_id long")
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(fold, f"{schema}, batch_id long")
+
+
+def _estimate(chars: Column) -> Column:
+    return F.floor((chars + 3) / 4).cast("long")
 
 
 def block_batches(blocks: DataFrame, order: list[str], most: int = BLOCKS, budget: int = MAX_TOKENS) -> DataFrame:
     """Evidence blocks (id, document_id, page, text, order columns) in request batches of each document."""
-    sized = blocks.withColumn("chars", F.length("id") + F.length(F.col("page").cast("string")) + F.length("text") + BLOCK_WRAPPER)
-    return _batched(sized, "document_id", order, lambda f, at: f["chars"].tolist(), most, EXTRACTION_PROMPT, budget).drop("chars")
+    chars = F.length("id") + F.length(F.col("page").cast("string")) + F.length("text") + BLOCK_WRAPPER
+    return _batched(blocks.withColumn("tokens", _estimate(chars)), "document_id", order, most, EXTRACTION_PROMPT, budget)
+
 
+@F.arrow_udf(T.StringType())
+def _dumped(claim: pa.Array) -> pa.Array:
+    return pa.array([json.dumps(c, default=str) for c in claim.to_pylist()], pa.string())
 
-def pair_batches(pairs: DataFrame, most: int = PAIRS, budget: int = MAX_TOKENS) -> DataFrame:
-    """Pairs (session_id, a, b) in request batches of each session, in pair order; the payload is JSON as Python writes it."""
-    show = lambda s: F.struct(*(F.col(f"{s}.{f}") for f in ADJUDICATED)).alias(s)
-    flat = pairs.select("session_id", F.col("a.ord").alias("ord_a"), F.col("b.ord").alias("ord_b"), show("a"), show("b"))
 
-    def chars(frame: pd.DataFrame, at: pd.Series) -> list[int]:
-        dump = lambda c: len(json.dumps({k: None if v is None or v != v else v for k, v in c.items()}, default=str))
-        row = lambda x: x if isinstance(x, dict) else x.asDict()
-        return [PAIR_WRAPPER + len(f"pair_{i}") + dump(row(a)) + dump(row(b)) for i, a, b in zip(at, frame["a"], frame["b"], strict=True)]
+def payloads(claims: DataFrame) -> DataFrame:
+    """Claims with ``payload``, what an adjudicator sees of one: JSON as Python writes it, once a claim."""
+    return claims.withColumn("payload", _dumped(F.struct(*ADJUDICATED)))
 
-    out = _batched(flat, "session_id", ["ord_a", "ord_b"], chars, most, ADJUDICATION_PROMPT, budget)
-    return out.select("session_id", "ord_a", "ord_b", F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), "tokens", "batch_id")
+
+def _sides(pairs: DataFrame, shown: DataFrame, name: str) -> DataFrame:
+    """Pairs by ``ord_a`` and ``ord_b`` with ``name`` of both claims."""
+    for s in "ab":
+        pairs = pairs.join(shown.select("session_id", F.col("ord").alias(f"ord_{s}"), F.col(name).alias(f"{name}_{s}")), ["session_id", f"ord_{s}"])
+    return pairs
+
+
+def pair_batches(pairs: DataFrame, claims: DataFrame, most: int = PAIRS, budget: int = MAX_TOKENS) -> DataFrame:
+    """Pairs (session_id, ord_a, ord_b, id_a, id_b) in request batches of each session, in pair order: pair_id, tokens, batch_id.
+
+    Only the lengths of what an adjudicator sees travel with the pairs.
+    """
+    at = F.row_number().over(Window.partitionBy("session_id").orderBy("ord_a", "ord_b")) - 1
+    named = pairs.select("session_id", "ord_a", "ord_b", "id_a", "id_b").withColumn("pair_id", F.concat(F.lit("pair_"), at.cast("string")))
+    sized = _sides(named, payloads(claims).withColumn("size", F.length("payload")), "size")
+    tokens = _estimate(PAIR_WRAPPER + F.length("pair_id") + F.col("size_a") + F.col("size_b"))
+    narrow = sized.select("session_id", "ord_a", "ord_b", "id_a", "id_b", "pair_id", tokens.alias("tokens"))
+    return _batched(narrow, "session_id", ["ord_a", "ord_b"], most, ADJUDICATION_PROMPT, budget)
+
+
+def pair_requests(batched: DataFrame, claims: DataFrame) -> DataFrame:
+    """session_id, batch_id, request: the text that asks about the pairs of a batch of ``pair_batches``."""
+    shown = _sides(batched, payloads(claims), "payload")
+    # a fixed form
+    text = F.format_string("<CLAIM_PAIR>\n<pair_id>%s</pair_id>\n\n<CLAIM_A>\n%s\n</CLAIM_A>\n\n<CLAIM_B>\n%s\n</CLAIM_B>\n\n</CLAIM_PAIR>", "pair_id", "payload_a", "payload_b")
+    each = F.array_sort(F.collect_list(F.struct("ord_a", "ord_b", text.alias("text"))))
+    return shown.groupBy("session_id", "batch_id").agg(F.array_join(F.transform(each, lambda x: x["text"]), "\n\n").alias("request"))
 
 
 def merge_blocks(layout: DataFrame) -> DataFrame:

@@ -71,8 +71,8 @@ def partition(decided: DataFrame) -> tuple[DataFrame, DataFrame]:
     return decided.filter("verdict is not null"), decided.filter("verdict is null")
 
 
-def offline(undecided: DataFrame) -> DataFrame:
-    """The deterministic default adjudicator."""
+def offline(undecided: DataFrame, claims: DataFrame | None = None) -> DataFrame:
+    """The deterministic default adjudicator; it looks at no claim."""
     return undecided.withColumn("verdict", uncertain())
 
 

@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from proofmill.operators import batching
 from proofmill.operators import candidates as C
 from proofmill.operators import pairs as P
 from proofmill.operators import verdict as V
+from proofmill.operators.adjudicate import parse_verdicts
 
-Adjudicator = Callable[[DataFrame], DataFrame]
+#: Takes open pairs (session_id, ord_a, ord_b, id_a, id_b) and the claims with ``ord``; returns the pairs with ``verdict``.
+Adjudicator = Callable[[DataFrame, DataFrame], DataFrame]
 
 
 def new_candidates(claims: DataFrame, relationships: DataFrame) -> DataFrame:
@@ -29,12 +32,27 @@ def with_claims(found: DataFrame, claims: DataFrame) -> DataFrame:
     return found.join(side("a"), ["session_id", "ord_a"]).join(side("b"), ["session_id", "ord_b"])
 
 
+def recorded(responses: DataFrame) -> Adjudicator:
+    """An adjudicator whose answers were written down: ``responses`` has session_id, batch_id and the response to a batch of open pairs.
+
+    Pairs find their verdict by their batch and number; batches without a usable response are UNCERTAIN.
+    """
+
+    def adjudicate(open_: DataFrame, claims: DataFrame) -> DataFrame:
+        batched = batching.pair_batches(open_, claims)
+        asked = batched.groupBy("session_id", "batch_id").agg(F.collect_list("pair_id").alias("pair_ids"))
+        told = asked.join(responses.select("session_id", "batch_id", "response"), ["session_id", "batch_id"], "left")
+        verdicts = parse_verdicts(told, ("session_id", "batch_id"))
+        return batched.join(verdicts.drop("batch_id"), ["session_id", "pair_id"])
+
+    return adjudicate
+
+
 def link_sessions(claims: DataFrame, relationships: DataFrame, adjudicate: Adjudicator = V.offline, now=None) -> DataFrame:
     """New relationships of the verified claims of every session.
 
     Pairs already stored, in either direction, are dropped. Candidates and ruled pairs are found on
-    their own and joined as pairs of numbers; claims are joined only to what the adjudicator gets.
-    It returns the pairs with ``verdict``.
+    their own and joined as pairs of numbers; what the rules leave open goes to the adjudicator.
     """
     verified = P.ordered(claims.filter("verified"))
     keys = ["session_id", "ord_a", "ord_b"]
@@ -44,7 +62,7 @@ def link_sessions(claims: DataFrame, relationships: DataFrame, adjudicate: Adjud
         answered = decided.withColumn("verdict", F.coalesce("verdict", V.uncertain()))
     else:
         closed, open_ = V.partition(decided)
-        answered = closed.unionByName(adjudicate(with_claims(open_.drop("verdict"), verified)).select(closed.columns))
+        answered = closed.unionByName(adjudicate(open_.drop("verdict"), verified).select(closed.columns))
     results = answered.select(
         "session_id",
         F.col("id_a").alias("source_claim_id"),

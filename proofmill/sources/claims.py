@@ -8,7 +8,7 @@ grow with the tables, and a session stays bounded.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -105,3 +105,49 @@ def raw_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
         quote.alias("evidence_quote"),
         F.when(k % 5 != 0, 0.75).alias("confidence"),
     )
+
+
+def extractor_answers(batched: DataFrame) -> DataFrame:
+    """What an extractor might answer to each batch of blocks (id, document_id, page, seq, text, batch_id): half of it is unusable.
+
+    A quarter of the answers breaks off, another quarter is no array. In the others one item in six has no subject, one
+    names no block, one has a value that is no number and one a predicate that is no text. Blocks count from 1 in a document.
+    """
+    doc = F.col("document_id").cast("long")
+    nth = F.row_number().over(Window.partitionBy("document_id").orderBy("page", "seq"))
+    kind, own = F.col("nth") % 6, (F.col("nth") % 6 == 1) & (doc % 10 == 0)
+    quote = F.when(own, F.substr("text", F.lit(1), F.lit(40))).otherwise("no such words")
+    item = lambda value, predicate: F.to_json(
+        F.struct(
+            F.when(kind == 4, "nowhere").otherwise(F.col("id")).alias("block_id"),
+            F.when(kind != 3, F.concat(F.lit("subject "), (doc % 7).cast("string"))).alias("subject"),
+            predicate.alias("predicate"),
+            value.alias("value"),
+            F.lit("usd").alias("unit"),
+            quote.alias("evidence_quote"),
+            F.when(kind == 1, 0.75).alias("confidence"),
+        )
+    )
+    named = F.lit("mentions")
+    text = (
+        F.when(kind == 2, item(F.lit("12.5"), named)).when(kind == 5, item(F.lit("many"), named)).when(kind == 0, item(F.col("nth"), F.lit(7))).otherwise(item((doc % 50).cast("double"), named))
+    )
+    each = F.array_sort(F.collect_list(F.struct("nth", text.alias("text"))))
+    array = F.concat(F.lit("["), F.array_join(F.transform("items", lambda x: x["text"]), ", "), F.lit("]"))
+    whole = batched.withColumn("nth", nth).groupBy("document_id", "batch_id").agg(each.alias("items")).withColumn("whole", array)
+    way = (doc + F.col("batch_id")) % 4
+    cut = F.expr("substr(whole, 1, length(whole) - 3)")
+    return whole.select("document_id", "batch_id", F.when(way == 2, cut).when(way == 3, '{"claims": []}').otherwise(F.col("whole")).alias("response"))
+
+
+def adjudicator_answers(batched: DataFrame) -> DataFrame:
+    """What an adjudicator might answer to each batch of pairs: every second batch is unusable, and in every fourth one pair is."""
+    nth = F.substr("pair_id", F.lit(6)).cast("int")
+    kind = F.when(nth % 3 == 0, "CONTRADICTS").otherwise("UNCERTAIN")
+    verdict = F.to_json(F.struct(kind.alias("relationship_type"), F.lit("CHECKED").alias("reason_code"), F.when(nth % 3 != 1, "as told").alias("explanation"), F.lit(0.5).alias("confidence")))
+    told = F.when((F.col("batch_id") % 4 == 3) & (nth % 10 == 0), '"unclear"').otherwise(verdict)
+    entry = F.concat(F.lit('"'), "pair_id", F.lit('": '), told)
+    left_out = (F.col("batch_id") % 4 == 2) & (nth % 10 == 0)
+    each = F.array_sort(F.collect_list(F.when(~left_out, F.struct(nth.alias("nth"), entry.alias("text")))))
+    whole = batched.groupBy("session_id", "batch_id").agg(F.concat(F.lit("{"), F.array_join(F.transform(each, lambda x: x["text"]), ", "), F.lit("}")).alias("whole"))
+    return whole.select("session_id", "batch_id", F.when(F.col("batch_id") % 4 == 1, F.expr("substr(whole, 1, length(whole) - 3)")).otherwise(F.col("whole")).alias("response"))
