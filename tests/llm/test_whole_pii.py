@@ -64,3 +64,36 @@ def test_distinct_and_coreferent_over_a_corpus(spark):
         for old, new in ((r.m, found[2]), (r.n, found[1])):
             assert images.setdefault(old, new) == new and new != old
     assert len(set(images.values())) == len(images) and not set(images.values()) & set(images)
+
+
+def test_names_in_any_case_and_their_mentions():
+    done, kinds = pii.rewrite("Mr. McDonald left. McDonald ran. Mr JOHN SMITH and LeBron; Dr LeBron met John Smith, SMITH and O'Neill.", {})
+    for part in ("McDonald", "Donald", "JOHN", "SMITH", "LeBron", "John", "Smith"):
+        assert part not in done
+    assert "O'Neill" in done  # without a title
+    first, second = done.split(" left. ")[0].removeprefix("Mr. "), done.split(" left. ")[1].split(" ran")[0]
+    assert first == second
+    assert kinds.count("family") >= 5
+
+
+def test_more_formats():
+    text = "from 2001:db8::1 or fe80::1 or ::1, call 030 1234567 or 0170/1234567, SSN 123 45 6789; std::vector and a::b stay, so does 12:30"
+    done, kinds = pii.rewrite(text, {})
+    assert kinds == ["ipv6", "ipv6", "ipv6", "phone", "phone", "social"]
+    for part in ("2001:db8::1", "fe80::1", "1234567", "123 45 6789"):
+        assert part not in done
+    assert "std::vector and a::b stay, so does 12:30" in done
+
+
+def test_a_domain_has_one_surrogate():
+    done, _ = pii.rewrite("ann@corp.example and bob.k@corp.example, not ann@firm.example", {})
+    hosts = re.findall(r"@([\w.]+)", done)
+    assert hosts[0] == hosts[1] != hosts[2] and "corp" not in done
+    assert re.findall(r"(\w+)@", done)[0] != "ann"
+
+
+def test_full_formats_settle(spark):
+    """Every string of a format occurs: the permutation alone keeps them apart."""
+    found = spark.createDataFrame([(1, " ".join(f"::{i}" for i in range(10)) + " " + " ".join(f"10.0.0.{i}" for i in range(256)))], "doc_id long, text string")
+    done = pii.replace_pii(found, b"k").first()
+    assert len(set(done.text.split())) == 266
