@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proofmill.llm import oracles
+from proofmill.llm import oracles, shared
 
 #: Query name to module and function.
 NAMES = {
@@ -27,8 +28,19 @@ NAMES = {
 }
 
 
+def _tidy(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, leaving behind only the working tables that its result reads."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        since = shared.made()
+        return shared.tidied(query(spark, sf_dir), since)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    out = {name: getattr(importlib.import_module(f"proofmill.llm.{module}"), f) for name, (module, f) in NAMES.items()}
+    out = {name: _tidy(getattr(importlib.import_module(f"proofmill.llm.{module}"), f)) for name, (module, f) in NAMES.items()}
     out["pipeline"] = importlib.import_module("corpus_pipeline").run
     return out
 

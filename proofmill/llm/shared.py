@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 _local: list[str] = []
+_made: list[str] = []  # working folders of this session, in order
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,7 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def written(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
@@ -41,6 +43,22 @@ def written(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def made() -> int:
+    """How many working folders there have been."""
+    return len(_made)
+
+
+def tidied(result: DataFrame, since: int) -> DataFrame:
+    """``result``, after the working folders made after ``since`` that it doesn't read are deleted."""
+    spark = result.sparkSession
+    read = {f.rsplit("/", 2)[-2] for f in result.inputFiles()}
+    for path in _made[since:]:
+        if path.rsplit("/", 1)[-1] not in read:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return result
+
+
 def drop_written(spark: SparkSession, df: DataFrame) -> None:
     """Delete the folder behind a table of ``written`` that no later plan reads."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
