@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofmill.llm import decontam, jaccard, packing, pii, toxicity
-from proofmill.llm.shared import maybe_broadcast, table, written
+from proofmill.llm.shared import made, maybe_broadcast, table, tidied, written
 
 CHUNKS = 100_000  # chunks in a generation of the packing encoder's table
 
@@ -88,7 +88,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage; the working tables of the others are deleted as soon as they have been read."""
+    docs, since = table(spark, sf_dir, "documents"), made()
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = tidied(written(stage(spark, docs, sf_dir), name), since)
     return docs
