@@ -1,7 +1,8 @@
 """Ordered folds: merging layout blocks, rendering tables, token-bounded batches.
 
 A fold's state depends on all rows before, so it isn't a window function. Rows are
-shuffled by key, sorted, and streamed through; a task holds one open batch.
+shuffled by key, sorted, and streamed through; a task holds one open batch. Batches of
+large keys are cut in ranges, whose effect on the open batch is composed.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +20,8 @@ from pyspark.sql import types as T
 from proofmill.functions.text import ustrip
 
 BLOCKS, PAIRS, MAX_TOKENS = 20, 10, 12_000
+CHUNK = 100_000  # rows of a key that one task folds
+SAMPLED = 32  # rows of the sample for each range of a larger key
 #: Estimated tokens of the two prompts, fixed characters of the two wrappers, layout limits.
 EXTRACTION_PROMPT, ADJUDICATION_PROMPT = 962, 1223
 BLOCK_WRAPPER, PAIR_WRAPPER = 88, 93
@@ -37,34 +41,147 @@ class _Batch:
         if self.n:
             self.batch, self.n, self.tokens = self.batch + 1, 0, self.system
 
+    def fits(self, tokens: int) -> bool:
+        """Whether an item can join the open batch."""
+        return self.n < self.most and self.tokens + tokens <= self.budget
+
     def place(self, tokens: int) -> int:
         if tokens + self.system > self.budget:
             self._close()
             self.batch += 1
             return self.batch - 1
-        if self.n >= self.most or self.tokens + tokens > self.budget:
+        if not self.fits(tokens):
             self._close()
         self.n += 1
         self.tokens += tokens
         return self.batch
 
 
+class _Chunk:
+    """What a chunk of a key's items does to the batch that is open when it begins, whatever that is.
+
+    ``head``: its first tokens. ``ways``: for a first own batch that begins at item 0, 1, ... of it: how many batches begin
+    in it, and the items and tokens of the last one. No batch begins later than ``most`` items in.
+    """
+
+    def __init__(self, tokens: np.ndarray, most: int, system: int, budget: int):
+        n, before = len(tokens), np.concatenate([[0], np.cumsum(tokens)])
+        alone = np.append(tokens + system > budget, False)
+        where = np.append(np.flatnonzero(alone), n)
+        at = np.arange(n)
+        following = np.minimum(np.minimum(at + most, n), np.searchsorted(before, before[:-1] + budget - system, "right") - 1)
+        following = np.where(alone[:-1], at + 1, np.minimum(following, where[np.searchsorted(where, at)]))
+        self.head = tokens[:most].tolist()
+        self.ways = []
+        step, left = following.tolist(), alone.tolist()
+        for first in range(min(most, n)):
+            begun, i = 0, first
+            while True:
+                begun += 1
+                if step[i] >= n:
+                    break
+                i = step[i]
+            self.ways.append([begun, 0 if left[i] else n - i, system if left[i] else system + int(before[n] - before[i])])
+
+
+def _composed(state: _Batch, head: list[int], ways: list[list[int]], count: int) -> None:
+    """Bring the state from before a chunk to after it."""
+    taken = 0
+    while taken < len(head) and state.n and state.fits(head[taken]):
+        state.place(head[taken])
+        taken += 1
+    if taken < count:
+        base = state.batch + (state.n > 0)
+        begun, n, tokens = ways[taken]
+        state.batch, state.n, state.tokens = base + begun - (n > 0), n, tokens
+
+
 def _batched(df: DataFrame, key: str, order: list[str], most: int, system: int, budget: int) -> DataFrame:
-    """Rows with ``tokens`` get ``batch_id`` (from 0 in each key, in order)."""
+    """Rows with ``tokens`` get ``batch_id`` (from 0 in each key, in order).
+
+    A key of more than ``CHUNK`` rows is cut into ranges of its order. Each range is summed up on its own as a function of
+    the batch that is open before it; the functions of a key are composed, and then each range is folded from its own
+    state. So no task holds a whole large key. A row's range depends on boundaries that are worked out once.
+    """
+    large = {r[key]: r["n"] for r in df.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > CHUNK).collect()}
+    if not large:
+        return _folded(df.repartition(key).sortWithinPartitions(key, *order), key, most, system, budget)
+    placed = df.withColumn("_at", F.struct(*order))
+    ranges = _ranges(placed, key, large)
+    chunk = F.coalesce(F.size(F.filter("_bounds", lambda x: x <= F.col("_at"))), F.lit(0))
+    cut = placed.join(F.broadcast(ranges), key, "left").withColumn("_chunk", F.when(F.col("_bounds").isNull(), 0).otherwise(chunk)).drop("_bounds", "_at")
+    dealt = lambda d: d.repartition(key, "_chunk").sortWithinPartitions(key, "_chunk", *order)
+    kind = dict(df.dtypes)[key]
+    of_large = dealt(cut.filter(F.col(key).isin(list(large))).select(key, "_chunk", "tokens", *(c for c in order if c not in (key, "tokens"))))
+    parts = of_large.select(key, "_chunk", "tokens").mapInPandas(_summed(key, most, system, budget), f"`{key}` {kind}, _chunk int, head array<long>, ways array<array<long>>, n long")
+    states = parts.groupBy(key).applyInPandas(_entered(key, most, system, budget), f"`{key}` {kind}, _chunk int, _batch long, _n long, _used long")
+    known = cut.join(F.broadcast(states), [key, "_chunk"], "left")
+    return _folded(dealt(known), key, most, system, budget).drop("_chunk", "_batch", "_n", "_used")
+
+
+def _ranges(placed: DataFrame, key: str, large: dict) -> DataFrame:
+    """key, _bounds: boundaries of large keys from a sample, about ``CHUNK`` rows apart; as many as the rows allow, and no more."""
+    some = placed.filter(F.col(key).isin(list(large))).select(key, "_at").sample(min(1.0, SAMPLED / CHUNK), seed=1)
+    nth = F.row_number().over(Window.partitionBy(key).orderBy("_at"))
+    bounds = some.withColumn("_nth", nth).filter(F.col("_nth") % SAMPLED == 0).groupBy(key).agg(F.array_sort(F.collect_set("_at")).alias("_bounds"))
+    # collected, so that both passes see the same boundaries
+    return placed.sparkSession.createDataFrame(bounds.collect(), bounds.schema)
+
+
+def _by_chunk(frames: Iterator[pd.DataFrame], key: str) -> Iterator[tuple]:
+    """(key, chunk, tokens) of sorted frames."""
+    now, held = None, []
+    for frame in frames:
+        for at, part in frame.groupby([key, "_chunk"], sort=False, dropna=False):
+            if now is not None and at != now:
+                yield (*now, np.concatenate(held))
+                held = []
+            now = at
+            held.append(part["tokens"].to_numpy())
+    if now is not None:
+        yield (*now, np.concatenate(held))
+
+
+def _summed(key: str, most: int, system: int, budget: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for k, chunk, tokens in _by_chunk(frames, key):
+            found = _Chunk(tokens, most, system, budget)
+            yield pd.DataFrame({key: [k], "_chunk": [chunk], "head": [found.head], "ways": [found.ways], "n": [len(tokens)]})
+
+    return run
+
+
+def _entered(key: str, most: int, system: int, budget: int):
+    def run(parts: pd.DataFrame) -> pd.DataFrame:
+        state, out = _Batch(most, system, budget), []
+        for row in parts.sort_values("_chunk").itertuples(index=False):
+            out.append((row[0], row[1], state.batch, state.n, state.tokens))
+            _composed(state, list(row[2]), [list(w) for w in row[3]], row[4])
+        return pd.DataFrame(out, columns=[key, "_chunk", "_batch", "_n", "_used"])
+
+    return run
+
+
+def _folded(dealt: DataFrame, key: str, most: int, system: int, budget: int) -> DataFrame:
+    """The fold over sorted rows; a key's range begins in the state that its rows carry, if they do."""
+    ranged = "_chunk" in dealt.columns
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state, current = None, None
         for frame in frames:
             ids = []
-            for k, t in zip(frame[key], frame["tokens"], strict=True):
-                if state is None or k != current:
-                    state, current = _Batch(most, system, budget), k
+            begins = zip(frame["_chunk"], frame["_batch"], frame["_n"], frame["_used"], strict=True) if ranged else [(0, None, 0, 0)] * len(frame)
+            for k, t, (chunk, batch, n, used) in zip(frame[key], frame["tokens"], begins, strict=True):
+                if state is None or (k, chunk) != current:
+                    state, current = _Batch(most, system, budget), (k, chunk)
+                    if batch is not None and batch == batch:
+                        state.batch, state.n, state.tokens = int(batch), int(n), int(used)
                 ids.append(state.place(t))
             frame["batch_id"] = ids
             yield frame
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(fold, f"{schema}, batch_id long")
+    schema = ", ".join(f"`{n}` {t}" for n, t in dealt.dtypes)
+    return dealt.mapInPandas(fold, f"{schema}, batch_id long")
 
 
 def _estimate(chars: Column) -> Column:
