@@ -86,6 +86,24 @@ class Ledger:
             rows = rows.join(dead, (rows[column] == dead["value"]) & (dead["_d"] > rows["_v"]), "left_anti")
         return rows.drop("_v")
 
+    def changes(self, name: str, since: int) -> list[tuple[int, str]]:
+        """Number and kind of the versions after ``since``."""
+        return [v for v in self._versions(name) if v[0] > since]
+
+    def added(self, name: str, n: int, kind: str) -> DataFrame:
+        """The rows of one version of kind ``a``."""
+        return self.spark.read.schema(TABLES[name]).option("recursiveFileLookup", True).parquet(f"{self.folder}/{name}/v{n}{kind}")
+
+    def removed(self, name: str, n: int, kind: str) -> DataFrame:
+        """The rows that a version of kind ``d.<column>`` deleted."""
+        dead = self.spark.read.schema("value string").parquet(f"{self.folder}/{name}/v{n}{kind}")
+        return self.read(name, n - 1).join(dead.withColumnRenamed("value", kind[2:]), kind[2:], "left_semi")
+
+    def history(self, name: str) -> DataFrame:
+        """All rows that any version still there holds, deleted ones too; a row may come more than once."""
+        held = [f"{self.folder}/{name}/v{n}{kind}" for n, kind in self._versions(name) if kind in ("", "a")]
+        return self.spark.read.schema(TABLES[name]).option("recursiveFileLookup", True).parquet(*held) if held else self.spark.createDataFrame([], TABLES[name])
+
     def _taken(self, name: str, n: int) -> bool:
         """Take the number of a version: create a file that mustn't exist."""
         path = self._path(f"{self.folder}/_commits/{name}.{n}")
@@ -123,11 +141,11 @@ class Ledger:
         """Replace the table; with ``expected`` only if no one has changed it since that version."""
         return self._save(name, self._shaped(name, rows), "", self.version(name) if expected is None else expected)
 
-    def append(self, name: str, rows: DataFrame, bucket: str | None = None) -> int:
+    def append(self, name: str, rows: DataFrame, bucket: str | None = None, expected: int | None = None) -> int:
         """Add rows, parted by the integer column ``bucket`` if it is given; what is stored isn't read or written again."""
         if bucket is None:
-            return self._save(name, self._shaped(name, rows), "a")
-        return self._save(name, self._shaped(name, rows.withColumn("_b", F.col(bucket)), "_b"), "a", bucket="_b")
+            return self._save(name, self._shaped(name, rows), "a", expected)
+        return self._save(name, self._shaped(name, rows.withColumn("_b", F.col(bucket)), "_b"), "a", expected, "_b")
 
     def delete(self, name: str, column: str, values: DataFrame) -> int:
         """Delete the rows whose ``column`` is one of ``values`` (one column); no stored row is written again."""

@@ -2,7 +2,7 @@
 
 from pyspark.sql import types as T
 
-KINDS = {"string": T.StringType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType()}
+KINDS = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType()}
 
 
 def schema(text: str) -> T.StructType:
@@ -22,6 +22,8 @@ RELATIONSHIPS = schema(
     "id string, source_claim_id string, target_claim_id string, relationship_type string, reason_code string, explanation string, confidence double, decided_by string, created_at timestamp"
 )
 PREDICATE_REGISTRY = schema("predicate string, first_seen_document_id string, example_definition string")
+#: Changes of counts: how a version of a table changed what is counted under a key of a session.
+STATISTICS = schema("session_id string, measure string, key string, n long, source string, version int")
 RAW_CLAIMS = schema(
     "block_id string, subject string, predicate string, value double, value_type string, unit string, period_start string, period_end string, period_type string, "
     "scope string, basis string, definition string, claim_type string, evidence_quote string, confidence double"
@@ -33,4 +35,5 @@ TABLES = {
     "claims": CLAIMS,
     "relationships": RELATIONSHIPS,
     "predicate_registry": PREDICATE_REGISTRY,
+    "statistics": STATISTICS,
 }
