@@ -110,8 +110,21 @@ def _normal(c: str) -> str:
     return f"regexp_replace(regexp_replace(regexp_replace(lower({c}), '^\\s+|\\s+$', '', 'g'), '[^a-z0-9%\\s]', ' ', 'g'), '\\s+', ' ', 'g')"
 
 
-_STOP = "[" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + "]"
-_CUE = "[" + ", ".join(f"'{w}'" for w in X.CUES) + "]"
+def _list(words: str) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words.split()) + "]"
+
+
+#: Stop words and cue words.
+_STOP = _list(
+    "the a an of and or to in on for from by with at as is was were are be been being this that these those it its "
+    "their there than then also both over under during between through per into which who whose reported"
+)
+_CUE = _list(
+    "because due caused cause causing led leads result resulted resulting therefore following after before while "
+    "whereas however despite increase increased increasing decrease decreased decline declined fall fell rose grew "
+    "growth reduced reduction higher lower change changed impact effect affected contributed contribution associated "
+    "correlated compared versus"
+)
 
 
 def _tokens(normal: str) -> str:
