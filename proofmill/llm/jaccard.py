@@ -18,8 +18,11 @@ side, list entries and the mean length of prefix tokens' lists on the other.
 Within a list, pairs must agree in length and in position (enough tokens left after
 the common one), then a parity bitmap as long as the set bounds the difference from
 below; no pair that links is lost. Lists of up to ``SMALL`` sets give their pairs,
-longer ones spanning forests of the pairs that pass. The candidates' components hold
-every link: their exact sets meet there, and each pair of different sets is counted
+longer ones spanning forests of the pairs that pass. A family of near copies recurs in
+many long lists: where these hold many pairs, each set goes to its longest list only,
+what has been connected counts as one, and lists whose members all are connected drop
+out; this repeats while it halves the pairs, and all pairs that are left, of unconnected
+sets, are compared at last. The candidates' components hold every link: their exact sets meet there, and each pair of different sets is counted
 once, as a link of both or not. Long lists and large components are dealt into
 blocks by a hash, and each pair of blocks is a task's group of bounded size, so
 neither is gathered in one place. Links are counted where they are found and never
@@ -48,6 +51,7 @@ from proofmill.llm.vec import SPACED, U64, mix, slices, window_hash, words
 
 WIDTH = 5
 SMALL = 16
+PAIRS = 1 << 21  # pairs in long lists that one pass compares; more are thinned out in rounds first
 HOT_TOKENS = 1 << 18
 LIST_BLOCK = 256  # sets of a long list in a block
 SET_BLOCK, TOKEN_BLOCK = 512, 1 << 20  # sets and tokens of a component in a block
@@ -347,29 +351,30 @@ def _arrays(column: pa.ListArray) -> list[np.ndarray]:
 
 @memo.task()
 def _long_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (sig, x, y, own, cls, n, pos, bits) sorted by sig, x, y: spanning forests of the pairs of a list that pass all bounds."""
-    for rows in _groups(batches, ("sig", "x", "y"), ("n", "cls", "pos", "own", "bits")):
+    """Rows (sig, x, y, own, cls, n, pos, root, bits) sorted by sig, x, y: spanning forests of the pairs of a list that have different roots and pass all bounds."""
+    for rows in _groups(batches, ("sig", "x", "y"), ("n", "cls", "pos", "own", "root", "bits")):
         rows.sort(key=lambda r: r[:2])
-        n, cls, pos, own = (np.array([r[k] for r in rows], np.int64) for k in range(4))
-        maps = [np.frombuffer(r[4], U64) for r in rows]
+        n, cls, pos, own, root = (np.array([r[k] for r in rows], np.int64) for k in range(5))
+        maps = [np.frombuffer(r[5], U64) for r in rows]
         width = np.array([len(x) for x in maps])
         across = own.min() != own.max()
+        names, often = np.unique(root, return_counts=True)
+        # sets of the commonest root meet the others from the others' side
+        common = root == names[np.argmax(often)]
         ok = np.zeros((len(rows), len(rows)), bool)
-        for i in range(len(rows)):
-            j = np.arange(i + 1, np.searchsorted(n, n[i] * 5 // 4, "right"))
+        for i in np.flatnonzero(~common).tolist():
+            j = np.arange(np.searchsorted(n, -(-4 * n[i] // 5)), np.searchsorted(n, n[i] * 5 // 4, "right"))
+            j = j[(root[j] != root[i]) & (common[j] | (j > i))]
             if across:
                 j = j[own[j] != own[i]]
             need = -(-4 * (n[i] + n[j]) // 9)
-            fits = need <= n[i]
+            fits = need <= np.minimum(n[i], n[j])
             if pos[i] >= 0:
                 fits &= np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need
             j = j[fits]
-            for w in np.unique(width[j]).tolist():
-                xs = j[width[j] == w]
-                mine, other = fold(maps[i], w), np.stack([maps[x] for x in xs.tolist()])
-                while other.shape[1] > len(mine):
-                    half = other.shape[1] // 2
-                    other = other[:, :half] ^ other[:, half:]
+            for w in np.unique(np.minimum(width[j], width[i])).tolist():
+                xs = j[np.minimum(width[j], width[i]) == w]
+                mine, other = fold(maps[i], w), np.stack([fold(maps[x], w) for x in xs.tolist()])
                 xs = xs[9 * (n[i] + n[xs] - popcount(other ^ mine)) >= 8 * (n[i] + n[xs])]
                 ok[i, xs] = ok[xs, i] = True
         a, b = _spanning(ok, cls)
@@ -395,10 +400,36 @@ def candidates(sets: DataFrame) -> DataFrame:
     with_bits = pairs.join(bits.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa")), "a").join(bits.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb")), "b")
     short = with_bits.mapInArrow(_bits_pass, "a long, b long")
     members = found.filter("sig is not null").select("sig", F.col("a").alias("cls"), "n", "pos")
-    blocks = members.groupBy("sig").agg(F.ceil(F.count("*") / LIST_BLOCK).alias("blocks")).filter("blocks > 1")
-    dealt = block_pairs(members.join(bits.select("cls", "bits"), "cls"), "sig", written(blocks, "long"), "cls")
-    long = dealt.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y").mapInArrow(_long_lists, "a long, b long")
-    return written(short.unionByName(long).filter("a <> b").distinct(), "candidates", found)
+    edges = written(short.filter("a <> b"), "candidates")
+    rooted, before = members.withColumn("root", F.col("cls")), float("inf")
+    while True:
+        lists = written(_open_lists(rooted), "open")
+        left = lists.agg(F.sum("pairs")).first()[0] or 0.0
+        if left <= PAIRS or 2 * left > before:
+            break
+        before = left
+        # sets that look alike have most lists in common, so most of them meet in one; it need not be that of
+        # their first common token, which the bound by position asks for
+        chosen = rooted.join(maybe_broadcast(lists, IDS), "sig").groupBy("cls").agg(F.max(F.struct("size", "sig")).alias("x")).select("cls", F.col("x.sig").alias("sig"))
+        met = rooted.join(chosen, ["cls", "sig"]).withColumn("pos", F.lit(-1).cast("long"))
+        edges = written(edges.unionByName(_compared(met, bits)), "candidates")
+        roots = components(edges).withColumnRenamed("node", "cls")
+        rooted = written(members.join(maybe_broadcast(roots, IDS), "cls", "left").withColumn("root", F.coalesce("root", "cls")), "rooted")
+    last = _compared(rooted.join(maybe_broadcast(lists.select("sig"), IDS), "sig"), bits)
+    return written(edges.unionByName(last).distinct(), "candidates", found)
+
+
+def _open_lists(rooted: DataFrame) -> DataFrame:
+    """sig, size, pairs: the lists with members that nothing connects yet, and how many pairs of these they hold."""
+    by_root = rooted.groupBy("sig", "root").agg(F.count("*").cast("double").alias("c"))
+    return by_root.groupBy("sig").agg(F.sum("c").alias("size"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs")).filter("pairs > 0")
+
+
+def _compared(rows: DataFrame, bits: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect the members of each list (sig, cls, n, pos, root) which pass all bounds and have different roots."""
+    blocks = rows.groupBy("sig").agg(F.ceil(F.count("*") / LIST_BLOCK).alias("blocks")).filter("blocks > 1")
+    dealt = block_pairs(rows.join(bits.select("cls", "bits"), "cls"), "sig", written(blocks, "long"), "cls")
+    return dealt.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y").mapInArrow(_long_lists, "a long, b long")
 
 
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
