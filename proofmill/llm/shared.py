@@ -25,9 +25,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _local[0]
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return _made[-1]
+def scratch(spark: SparkSession, name: str, kept: bool = False) -> str:
+    """A new working folder's path. ``kept``: tasks read its files by path, so ``tidied`` can't see it in a plan and leaves it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not kept:
+        _made.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:

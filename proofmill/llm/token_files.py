@@ -215,7 +215,7 @@ def documents(path: str, base: int = 0) -> Iterator[pa.RecordBatch]:
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    folder = scratch(spark, "token-files")
+    folder = scratch(spark, "token-files", kept=True)
     manifest = write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 0, folder)
     base, rows = 0, []
     for r in sorted(manifest.collect(), key=lambda r: r.first_id):  # a row per file

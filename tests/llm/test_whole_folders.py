@@ -28,3 +28,11 @@ def test_pipeline_leaves_its_result(spark):
     before = folders(spark)
     result = corpus_pipeline.run(spark, SF)
     assert len(folders(spark) - before) == 1 and result.count() > 0
+
+
+def test_token_files_outlive_the_query(spark):
+    """Their folder is in no plan, as tasks open the files by path."""
+    before = folders(spark)
+    result = queries.queries()["op1_token_files"](spark, SF)
+    assert len(folders(spark) - before) == 1
+    assert result.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
