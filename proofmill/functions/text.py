@@ -63,6 +63,16 @@ def verify_normalize(c: Column) -> Column:
     return ustrip(squeeze(plain))
 
 
+#: Letters whose upper case is longer than one letter, but which have one of a single letter as well.
+_SINGLE = {"ß": "ẞ"} | {x: x.title() for x in map(chr, range(0x1F80, 0x2000)) if len(x.upper()) > 1 and x.title() != x and len(x.title()) == 1}
+
+
+def upper_single(c: Column) -> Column:
+    """Upper case letter by letter, as many letters as before: ß becomes ẞ, and a letter without such an upper case stays."""
+    one = lambda x: F.when(F.length(F.upper(x)) == 1, F.upper(x)).otherwise(F.translate(x, "".join(_SINGLE), "".join(_SINGLE.values())))
+    return F.array_join(F.transform(F.split(c, ""), one), "")
+
+
 def rule_normalize(c: Column) -> Column:
     return F.lower(ustrip(F.coalesce(c, F.lit(""))))
 

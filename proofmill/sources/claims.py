@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from proofmill.functions.text import upper_single
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -94,7 +95,7 @@ def raw_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What an extractor would answer for the blocks: a claim each with a quote, one in eleven of a block that isn't there."""
     blocks = evidence_blocks(spark, sf_dir).select("id", "document_id", "doc_id", "text")
     k, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
-    quote = F.when(k % 3 == 0, F.replace(F.substr(text, F.lit(11), F.lit(70)), F.lit(" "), F.lit("\n "))).when(k % 3 == 1, F.upper(F.substr(text, F.lit(1), F.lit(12)))).otherwise(F.lit("no such words"))
+    quote = F.when(k % 3 == 0, F.replace(F.substr(text, F.lit(11), F.lit(70)), F.lit(" "), F.lit("\n "))).when(k % 3 == 1, upper_single(F.substr(text, F.lit(1), F.lit(12)))).otherwise(F.lit("no such words"))
     return blocks.select(
         F.concat(F.lit("r"), k.cast("string")).alias("id"),
         F.when(k % 11 == 10, F.concat(F.lit("gone"), k.cast("string"))).otherwise(F.col("id")).alias("block_id"),
