@@ -95,18 +95,22 @@ def factor(key: Column) -> Column:
     return _choice(key, {k: f for k, (_, f) in FACTORS.items()})
 
 
-def value_reason(value_a: Column, key_a: Column, value_b: Column, key_b: Column, tolerance: float = 0.02) -> Column:
-    """Why two values agree (EXACT_MATCH, UNIT_NORMALIZATION, ROUNDING) or don't (UNIT_UNRECOGNIZED, UNIT_INCOMPATIBLE, NUMERIC_DISCREPANCY)."""
-    a, b = value_a * factor(key_a), value_b * factor(key_b)
-    difference = F.abs(a - b) / F.greatest(F.abs(a), F.abs(b), F.lit(1e-9))
+def base_reason(base_a: Column, currency_a: Column, key_a: Column, base_b: Column, currency_b: Column, key_b: Column, tolerance: float = 0.02) -> Column:
+    """``value_reason`` of values in their base units, with the currencies of their keys."""
+    difference = F.abs(base_a - base_b) / F.greatest(F.abs(base_a), F.abs(base_b), F.lit(1e-9))
     return (
-        F.when(factor(key_a).isNull() | factor(key_b).isNull(), "UNIT_UNRECOGNIZED")
-        .when(currency(key_a) != currency(key_b), "UNIT_INCOMPATIBLE")
-        .when(a == b, F.when(key_a == key_b, "EXACT_MATCH").otherwise("UNIT_NORMALIZATION"))
+        F.when(currency_a.isNull() | currency_b.isNull(), "UNIT_UNRECOGNIZED")
+        .when(currency_a != currency_b, "UNIT_INCOMPATIBLE")
+        .when(base_a == base_b, F.when(key_a == key_b, "EXACT_MATCH").otherwise("UNIT_NORMALIZATION"))
         .when(difference <= tolerance, "ROUNDING")
         .otherwise("NUMERIC_DISCREPANCY")
     )
 
 
+def value_reason(value_a: Column, key_a: Column, value_b: Column, key_b: Column, tolerance: float = 0.02) -> Column:
+    """Why two values agree (EXACT_MATCH, UNIT_NORMALIZATION, ROUNDING) or don't (UNIT_UNRECOGNIZED, UNIT_INCOMPATIBLE, NUMERIC_DISCREPANCY)."""
+    return base_reason(value_a * factor(key_a), currency(key_a), key_a, value_b * factor(key_b), currency(key_b), key_b, tolerance)
+
+
 def agrees(reason: Column) -> Column:
     return reason.isin("EXACT_MATCH", "UNIT_NORMALIZATION", "ROUNDING")

@@ -18,12 +18,13 @@ def _verdict(kind: str, reason: Column, explanation: Column, confidence: float)
 
 
 def prepared(claims: DataFrame, strict_units: bool = False) -> DataFrame:
-    """Claims with what the rules compare, worked out once a claim: rule_<field>, rule_period, rule_unit, rule_key."""
+    """Claims with what the rules compare, worked out once a claim: rule_<field>, rule_period, rule_unit, rule_key, rule_currency, rule_base."""
     period = F.concat_ws(" ", *(F.coalesce(F.col(f), F.lit("")) for f in ("period_start", "period_end", "period_type")))
-    return claims.withColumns(
+    known = claims.withColumns(
         {f"rule_{f}": X.rule_normalize(F.col(f)) for f in ("subject", "predicate", "scope", "basis", "definition")}
         | {"rule_period": P.normalize_period(period), "rule_key": U.unit_key(F.col("unit"), strict_units), "rule_unit": X.filled(F.col("unit")), "rule_start": X.filled(F.col("period_start")), "rule_end": X.filled(F.col("period_end"))}
     )
+    return known.withColumns({"rule_currency": U.currency(F.col("rule_key")), "rule_base": F.col("value") * U.factor(F.col("rule_key"))})
 
 
 def verdict() -> Column:
@@ -33,7 +34,7 @@ def verdict() -> Column:
     unlike = lambda f: (a(f"rule_{f}") == "") | (a(f"rule_{f}") != b(f"rule_{f}"))
     dated = a("rule_start").isNotNull() & b("rule_start").isNotNull() & a("rule_end").isNotNull() & b("rule_end").isNotNull()
     pa, pb = a("rule_period"), b("rule_period")
-    reason = U.value_reason(a("value"), a("rule_key"), b("value"), b("rule_key"))
+    reason = U.base_reason(*(side(f"rule_{f}") for side in (a, b) for f in ("base", "currency", "key")))
     valued = a("value").isNotNull() & b("value").isNotNull() & a("rule_unit").isNotNull() & b("rule_unit").isNotNull()
     note = lambda template, *parts: F.format_string(template, *parts)
     apart = "Periods differ ({} vs {}); the claims refer to different reporting periods."
@@ -52,18 +53,40 @@ def decide(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("verdict", verdict())
 
 
-def ruled(claims: DataFrame) -> DataFrame:
-    """session_id, a, b, verdict: the pairs of claims (with ``ord``) of one session that the rules decide.
+def _apart() -> Column:
+    return (F.col("a.ord") < F.col("b.ord")) & ~(X.filled(F.col("a.document_id")) == X.filled(F.col("b.document_id"))).eqNullSafe(True)
 
-    The rules decide only pairs of equal, filled subject and predicate, so those are join keys; a and b hold what the rules compare.
-    """
+
+def _alike(claims: DataFrame) -> DataFrame:
+    """session_id, a, b, verdict: the pairs of claims of one session with equal, filled subject and predicate; the rules decide no others."""
     p = prepared(claims)
     kept = [c for c in p.columns if c.startswith("rule_")]
     known = p.select("session_id", "ord", "id", "document_id", "subject", "value", "period_start", "period_end", *kept).filter("rule_subject <> '' and rule_predicate <> ''")
     keys = ["session_id", "rule_subject", "rule_predicate"]
     side = lambda s: known.select(*keys, F.struct(*known.columns).alias(s))
-    apart = (F.col("a.ord") < F.col("b.ord")) & ~(X.filled(F.col("a.document_id")) == X.filled(F.col("b.document_id"))).eqNullSafe(True)
-    return decide(side("a").join(side("b"), keys).filter(apart)).filter("verdict is not null").select("session_id", "a", "b", "verdict")
+    return decide(side("a").join(side("b"), keys).filter(_apart()))
+
+
+def ruled(claims: DataFrame) -> DataFrame:
+    """session_id, a, b, verdict: the pairs of claims (with ``ord``) of one session that the rules decide.
+
+    The rules decide only pairs of equal, filled subject and predicate, so those are join keys; a and b hold what the rules compare.
+    """
+    return _alike(claims).filter("verdict is not null").select("session_id", "a", "b", "verdict")
+
+
+def left_open(claims: DataFrame) -> DataFrame:
+    """session_id, ord_a, ord_b, id_a, id_b: all other pairs of claims (with ``ord``) of one session and different documents.
+
+    Pairs of unlike subject or predicate are open whatever else they hold, so nothing else of them is looked at.
+    """
+    told = ["session_id", *(F.col(f"{s}.{c}").alias(f"{c}_{s}") for c in ("ord", "id") for s in "ab")]
+    undecided = _alike(claims).filter("verdict is null").select(told)
+    narrow = claims.select("session_id", "ord", "id", "document_id", *(X.rule_normalize(F.col(f)).alias(f"rule_{f}") for f in ("subject", "predicate")))
+    side = lambda s: narrow.select("session_id", F.struct(*narrow.columns).alias(s))
+    same = lambda f: (F.col(f"a.rule_{f}") != "") & (F.col(f"a.rule_{f}") == F.col(f"b.rule_{f}"))
+    unlike = side("a").join(side("b"), "session_id").filter(_apart() & ~(same("subject") & same("predicate")))
+    return unlike.select(told).unionByName(undecided)
 
 
 def partition(decided: DataFrame) -> tuple[DataFrame, DataFrame]:
