@@ -17,12 +17,18 @@ from proofmill.operators.adjudicate import parse_verdicts
 Adjudicator = Callable[[DataFrame, DataFrame], DataFrame]
 
 
-def new_candidates(claims: DataFrame, relationships: DataFrame) -> DataFrame:
-    """session_id, ord_a, ord_b, id_a, id_b: the candidates of claims with ``ord`` that have no stored relationship in either direction."""
+def stored_pairs(claims: DataFrame, relationships: DataFrame) -> DataFrame:
+    """session_id, ord_a, ord_b: the pairs of claims with ``ord`` that have a stored relationship in either direction."""
     lo, hi = P.undirected(F.col("source_claim_id"), F.col("target_claim_id"))
     stored = relationships.select(lo.alias("lo"), hi.alias("hi")).distinct()
-    lo, hi = P.undirected(F.col("id_a"), F.col("id_b"))
-    return C.find(claims).withColumns({"lo": lo, "hi": hi}).join(stored, ["lo", "hi"], "left_anti").drop("lo", "hi")
+    side = lambda s: claims.select("session_id", F.col("ord").alias(f"ord_{s}"), F.col("id").alias(s))
+    both = stored.join(side("lo"), "lo").join(side("hi"), ["session_id", "hi"])
+    return both.select("session_id", F.least("ord_lo", "ord_hi").alias("ord_a"), F.greatest("ord_lo", "ord_hi").alias("ord_b")).distinct()
+
+
+def new_candidates(claims: DataFrame, relationships: DataFrame) -> DataFrame:
+    """session_id, ord_a, ord_b, id_a, id_b: the candidates of claims with ``ord`` that have no stored relationship in either direction."""
+    return C.find(claims).join(stored_pairs(claims, relationships), ["session_id", "ord_a", "ord_b"], "left_anti")
 
 
 def with_claims(found: DataFrame, claims: DataFrame) -> DataFrame:
@@ -39,38 +45,36 @@ def recorded(responses: DataFrame) -> Adjudicator:
     """
 
     def adjudicate(open_: DataFrame, claims: DataFrame) -> DataFrame:
+        keys = ["session_id", "batch_id"]
         batched = batching.pair_batches(open_, claims)
-        asked = batched.groupBy("session_id", "batch_id").agg(F.collect_list("pair_id").alias("pair_ids"))
-        told = asked.join(responses.select("session_id", "batch_id", "response"), ["session_id", "batch_id"], "left")
-        verdicts = parse_verdicts(told, ("session_id", "batch_id"))
-        return batched.join(verdicts.drop("batch_id"), ["session_id", "pair_id"])
+        # a batch holds a few pairs, so they travel with it and need no join afterwards
+        asked = batched.groupBy(*keys).agg(F.collect_list(F.struct("pair_id", "ord_a", "ord_b", "id_a", "id_b")).alias("pairs")).withColumn("pair_ids", F.col("pairs.pair_id"))
+        told = asked.join(responses.select(*keys, "response"), keys, "left")
+        verdicts = parse_verdicts(told, (*keys, "pairs"))
+        own = F.filter("pairs", lambda p: p["pair_id"] == F.col("pair_id"))[0]
+        return verdicts.withColumn("own", own).select("session_id", "pair_id", "batch_id", "own.ord_a", "own.ord_b", "own.id_a", "own.id_b", "verdict")
 
     return adjudicate
 
 
-def link_sessions(claims: DataFrame, relationships: DataFrame, adjudicate: Adjudicator = V.offline, now=None) -> DataFrame:
+def link_sessions(claims: DataFrame, relationships: DataFrame, adjudicate: Adjudicator = V.offline, now=None, distinct_ids: bool = False) -> DataFrame:
     """New relationships of the verified claims of every session.
 
-    Pairs already stored, in either direction, are dropped. Candidates and ruled pairs are found on
-    their own and joined as pairs of numbers; what the rules leave open goes to the adjudicator.
+    Pairs already stored, in either direction, are dropped. Candidates, stored and ruled pairs are found on
+    their own and joined as pairs of numbers; what the rules leave open goes to the adjudicator. Where no id
+    occurs in two claims (``distinct_ids``), no pair can occur twice; otherwise one row of each is kept.
     """
     verified = P.ordered(claims.filter("verified"))
     keys = ["session_id", "ord_a", "ord_b"]
     ruled = V.ruled(verified).select("session_id", F.col("a.ord").alias("ord_a"), F.col("b.ord").alias("ord_b"), "verdict")
-    decided = new_candidates(verified, relationships).join(ruled, keys, "left")
-    if adjudicate is V.offline:  # a constant answer needs no claims
-        answered = decided.withColumn("verdict", F.coalesce("verdict", V.uncertain()))
-    else:
-        closed, open_ = V.partition(decided)
+    answered = new_candidates(verified, relationships).join(ruled, keys, "left")
+    if adjudicate is not V.offline:
+        closed, open_ = V.partition(answered)
         answered = closed.unionByName(adjudicate(open_.drop("verdict"), verified).select(closed.columns))
-    results = answered.select(
-        "session_id",
-        F.col("id_a").alias("source_claim_id"),
-        F.col("id_b").alias("target_claim_id"),
-        "verdict.*",
-        "ord_a",
-        "ord_b",
-    )
-    kept = P.dedup_undirected(results, [F.when(F.col("decided_by") == "rules", 0).otherwise(1), "ord_a", "ord_b"]).drop("ord_a", "ord_b")
+    # a constant answer needs no claims, and comes last
+    results = answered.withColumnsRenamed({"id_a": "source_claim_id", "id_b": "target_claim_id"}).filter("source_claim_id is not null and target_claim_id is not null")
+    if not distinct_ids:
+        results = P.dedup_undirected(results, [F.when(F.col("verdict.decided_by") == "rules", 0).otherwise(1), "ord_a", "ord_b"])
+    kept = results.withColumn("verdict", F.coalesce("verdict", V.uncertain())).select("session_id", "source_claim_id", "target_claim_id", "verdict.*")
     rid = F.sha2(F.concat_ws("|", "source_claim_id", "target_claim_id"), 256)
     return kept.withColumn("id", rid).withColumn("created_at", F.current_timestamp() if now is None else now)
