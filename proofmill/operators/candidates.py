@@ -227,7 +227,9 @@ class Strip:
         self.x, self.y, self.first = x, y, rows.start
         ahead = x.ord[rows][:, None] < y.ord
         same_doc = _equal(x.doc[rows], y.doc) & _there(x.doc[rows])[:, None]
-        self.valid = ~same_doc & ~_equal(x.id[rows].tolist(), y.id.tolist()) & (ahead if one_block else x.ord[rows][:, None] != y.ord)
+        self.same_claim = _equal(x.id[rows].tolist(), y.id.tolist())
+        self.apart = ~same_doc & (ahead if one_block else x.ord[rows][:, None] != y.ord)
+        self.valid = self.apart & ~self.same_claim
         self.ahead = ahead
         self.fields, self.at = {}, {}
         for f in FIELDS:
@@ -292,6 +294,17 @@ def _scores(strip: Strip, _seen: list) -> dict[str, np.ndarray]:
     return strip.rows(i[kept], j[kept], score[kept], reason[kept])
 
 
+def _every(strip: Strip, _seen: list) -> dict[str, np.ndarray]:
+    """Every pair of different documents, with its score; 0 for a pair of one claim or under the threshold."""
+    i, j = np.nonzero(strip.apart)
+    score, reason = np.zeros(len(i)), np.where(strip.same_claim[i, j], len(REASONS), len(REASONS) + 1)
+    open_ = np.flatnonzero(strip.valid[i, j] & (strip.high()[i, j] >= THRESHOLD))
+    found, why = strip.exact(i[open_], j[open_])
+    kept = found >= THRESHOLD
+    score[open_[kept]], reason[open_[kept]] = found[kept], why[kept]
+    return strip.rows(i, j, score, reason)
+
+
 def _best(top: int) -> Callable[[Strip, list], dict[str, np.ndarray]]:
     """The ``top`` best pairs of a strip; ``seen`` holds the best scores of the strips before."""
 
@@ -317,7 +330,7 @@ OUT = "session_id string, ord_a int, ord_b int, id_a string, id_b string, score
 
 
 def _met(pick: Callable) -> Callable[[tuple, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    names = pa.array([*REASONS, None])
+    names = pa.array([*REASONS, "same_claim", "below_threshold", None])
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         session, one_block = key[0].as_py(), key[1].as_py() == key[2].as_py()
@@ -330,7 +343,7 @@ def _met(pick: Callable) -> Callable[[tuple, Iterator[pa.RecordBatch]], Iterator
         n = sum(len(f["ord_a"]) for f in found)
         put = lambda name, kind: pa.array(np.concatenate([f[name] for f in found]).tolist(), kind)
         score, reason = np.concatenate([f["score"] for f in found]), np.concatenate([f["reason"] for f in found])
-        return pa.table([pa.array([session] * n, pa.string()), put("ord_a", pa.int32()), put("ord_b", pa.int32()), put("id_a", pa.string()), put("id_b", pa.string()), pa.array(score, pa.float64(), mask=np.isnan(score)), names.take(pa.array(reason % 4))], OUT_NAMES)
+        return pa.table([pa.array([session] * n, pa.string()), put("ord_a", pa.int32()), put("ord_b", pa.int32()), put("id_a", pa.string()), put("id_b", pa.string()), pa.array(score, pa.float64(), mask=np.isnan(score)), names.take(pa.array(reason % len(names)))], OUT_NAMES)
 
     return run
 
@@ -363,6 +376,11 @@ def scored(claims: DataFrame) -> DataFrame:
     return _meet(claims, _scores)
 
 
+def every(claims: DataFrame) -> DataFrame:
+    """All pairs of different documents of each session, with ``score`` and ``reason`` as ``pairs.pair_scores`` gives them."""
+    return _meet(claims, _every)
+
+
 def best(claims: DataFrame, top: int = TOP) -> DataFrame:
     """The best-scored pairs of each session with ``rank``, ties in pair order: at most ``top`` leave two blocks' task."""
     order = Window.partitionBy("session_id").orderBy(F.desc("score"), "ord_a", "ord_b")

@@ -99,3 +99,11 @@ def test_empty(spark):
     none = some(spark, 5, 1).limit(0)
     assert candidates.find(none).count() == candidates.best(none).count() == 0
     assert candidates.find(some(spark, 1, 1)).count() == 0
+
+
+def test_every_pair_has_its_score(spark):
+    table = some(spark, 60, 9).cache()
+    plain = pairs.pair_scores(pairs.enumerate_pairs(pairs.prepared(table))).select("session_id", F.col("a.ord"), F.col("b.ord"), "score", "reason").collect()
+    got = candidates.every(table).select("session_id", "ord_a", "ord_b", "score", "reason").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, plain))
+    assert {r.reason for r in got} >= {"same_claim", "below_threshold", "same_subject_and_predicate"}
