@@ -13,7 +13,13 @@ from pyspark.sql import functions as F
 
 from proofmill.functions.text import upper_single
 
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the given folder. Rows go to Python in batches of a few MB, unless the session says otherwise."""
+    if spark.conf.get(BATCH[0], None) is None:
+        spark.conf.set(*BATCH)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
