@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofmill.functions import periods as P
@@ -57,22 +57,34 @@ def _apart() -> Column:
     return (F.col("a.ord") < F.col("b.ord")) & ~(X.filled(F.col("a.document_id")) == X.filled(F.col("b.document_id"))).eqNullSafe(True)
 
 
-def _alike(claims: DataFrame) -> DataFrame:
-    """session_id, a, b, verdict: the pairs of claims of one session with equal, filled subject and predicate; the rules decide no others."""
+#: Claims of one session, subject and predicate that one task pairs with all of the others.
+PART = 512
+
+
+def _alike(claims: DataFrame, *also: str) -> DataFrame:
+    """session_id, a, b, verdict: the pairs of claims of one session with equal, filled subject and predicate; the rules decide no others.
+
+    Many claims of one subject and predicate are cut in parts, each of which meets all of them in a task of its own; a part's
+    pairs are many more than its bytes tell, so the number of tasks is given. ``also``: columns that a and b hold besides.
+    """
     p = prepared(claims)
     kept = [c for c in p.columns if c.startswith("rule_")]
-    known = p.select("session_id", "ord", "id", "document_id", "subject", "value", "period_start", "period_end", *kept).filter("rule_subject <> '' and rule_predicate <> ''")
+    known = p.select("session_id", "ord", "id", "document_id", "subject", "value", "period_start", "period_end", *kept, *also).filter("rule_subject <> '' and rule_predicate <> ''")
     keys = ["session_id", "rule_subject", "rule_predicate"]
-    side = lambda s: known.select(*keys, F.struct(*known.columns).alias(s))
-    return decide(side("a").join(side("b"), keys).filter(_apart()))
+    group = Window.partitionBy(*keys)
+    counted = known.select("*", F.row_number().over(group.orderBy("ord")).alias("nth"), F.count("*").over(group).alias("many"))
+    tasks = max(int(claims.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * claims.sparkSession.sparkContext.defaultParallelism)
+    part, parts = F.floor((F.col("nth") - 1) / PART), F.sequence(F.lit(0), F.floor((F.col("many") - 1) / PART))
+    side = lambda s, p: counted.withColumn("part", p).repartition(tasks, *keys, "part").select(*keys, "part", F.struct(*known.columns).alias(s))
+    return decide(side("a", part).join(side("b", F.explode(parts)), [*keys, "part"]).filter(_apart()))
 
 
-def ruled(claims: DataFrame) -> DataFrame:
+def ruled(claims: DataFrame, *also: str) -> DataFrame:
     """session_id, a, b, verdict: the pairs of claims (with ``ord``) of one session that the rules decide.
 
-    The rules decide only pairs of equal, filled subject and predicate, so those are join keys; a and b hold what the rules compare.
+    The rules decide only pairs of equal, filled subject and predicate, so those are join keys; a and b hold what the rules compare, and columns ``also``.
     """
-    return _alike(claims).filter("verdict is not null").select("session_id", "a", "b", "verdict")
+    return _alike(claims, *also).filter("verdict is not null").select("session_id", "a", "b", "verdict")
 
 
 def left_open(claims: DataFrame) -> DataFrame:

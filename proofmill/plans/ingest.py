@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proofmill.functions.text import ustrip
+from proofmill.llm.shared import at_most, written
 from proofmill.operators import batching, verify
 from proofmill.operators import verdict as V
 from proofmill.operators.adjudicate import parse_claims
 from proofmill.operators.store import first_seen
 from proofmill.plans.link import Adjudicator, link_sessions
 
+#: Takes blocks with their ``batch_id``; returns the answers: document_id, batch_id, response.
+Extractor = Callable[[DataFrame], DataFrame]
 #: Statuses of a document as it is processed.
 PARSED, EXTRACTED, FAILED = "parsed", "extracted", "failed"
 #: Fixed value: the confidence of a claim that states none.
@@ -60,25 +65,27 @@ def one_session(jobs: DataFrame) -> str | None:
     return found[0] if found else None
 
 
-def extracted_claims(blocks: DataFrame, responses: DataFrame) -> DataFrame:
-    """Claims of an extractor's written-down answers: batch by batch in ``responses`` (document_id, batch_id, response).
+def extracted_claims(blocks: DataFrame, responses: DataFrame | Extractor) -> DataFrame:
+    """Claims of an extractor's answers: batch by batch, written down in ``responses`` (document_id, batch_id, response) or given by it.
 
     A batch without a usable answer gives no claims, an unusable item costs only itself, and a claim that names no block
     of its document is dropped. A claim's id is its document, batch and place in the answer.
     """
     batched = batching.block_batches(blocks.withColumn("_table", (F.col("block_type") != "TEXT").cast("int")), ["_table", "page", "seq"])
+    responses = responses(batched) if callable(responses) else responses
     asked = batched.select("document_id", "batch_id").distinct()
     raw = parse_claims(asked.join(responses.select("document_id", "batch_id", "response"), ["document_id", "batch_id"])).drop("response")
     named = raw.withColumn("id", F.concat_ws("-", "document_id", "batch_id", "item")).drop("batch_id", "item")
     return process_claims(named, blocks)
 
 
-def ingest_batch(jobs: DataFrame, layout: DataFrame, tables: DataFrame, responses: DataFrame, stored: dict[str, DataFrame], adjudicate: Adjudicator = V.offline, now=None) -> dict[str, DataFrame]:
+def ingest_batch(jobs: DataFrame, layout: DataFrame, tables: DataFrame, responses: DataFrame | Extractor, stored: dict[str, DataFrame], adjudicate: Adjudicator = V.offline, now=None) -> dict[str, DataFrame]:
     """New rows of every ledger table from one upload: documents read, claims extracted and verified, then one linking pass.
 
     ``jobs`` has document_id, session_id, filename and ``error``, null for a document that could be read. Errors are rows: a
     document with one is ``failed``, gives no blocks and no claims, and neither stops nor hides the others. All documents
     must be of one session, whose ``stored`` claims and relationships take part in linking. ``now`` is the claims' time.
+    Blocks and claims are read by several later steps, so each is made once, as a working table in the shared folder.
     """
     session = one_session(jobs)
     at = F.current_timestamp() if now is None else now
@@ -86,14 +93,16 @@ def ingest_batch(jobs: DataFrame, layout: DataFrame, tables: DataFrame, response
     status = F.when(F.col("error").isNotNull(), FAILED).otherwise(EXTRACTED)
     documents = jobs.select(F.col("document_id").alias("id"), "session_id", "filename", status.alias("status"), "error")
     kept = lambda df: df.join(readable, "document_id", "left_semi")
-    blocks = evidence_blocks(kept(layout), kept(tables))
-    claims = extracted_claims(blocks, responses).withColumn("created_at", at)
+    blocks = written(evidence_blocks(kept(layout), kept(tables)), "blocks")
+    claims = written(extracted_claims(blocks, responses).withColumn("created_at", at), "claims")
     known = stored["documents"].filter(F.col("session_id") == session).select(F.col("id").alias("document_id"))
     before = stored["claims"].join(known, "document_id", "left_semi")
     every = before.unionByName(claims, allowMissingColumns=True).withColumn("session_id", F.lit(session))
     related = stored["relationships"].join(before.select(F.col("id").alias("source_claim_id")), "source_claim_id", "left_semi")
     registry = first_seen(claims).join(stored["predicate_registry"].select("predicate"), "predicate", "left_anti")
-    return {"documents": documents, "evidence_blocks": blocks, "claims": claims, "relationships": link_sessions(every, related, adjudicate, at), "predicate_registry": registry}
+    repeated = every.filter("verified").groupBy("id").count().filter("count > 1")
+    links = link_sessions(every, related, adjudicate, at, distinct_ids=at_most(repeated, 0))
+    return {"documents": documents, "evidence_blocks": blocks, "claims": claims, "relationships": links, "predicate_registry": registry}
 
 
 def processed(documents: DataFrame, blocks: DataFrame, failed: DataFrame) -> DataFrame:

@@ -18,17 +18,21 @@ Adjudicator = Callable[[DataFrame, DataFrame], DataFrame]
 
 
 def stored_pairs(claims: DataFrame, relationships: DataFrame) -> DataFrame:
-    """session_id, ord_a, ord_b: the pairs of claims with ``ord`` that have a stored relationship in either direction."""
+    """session_id, ord_a, ord_b, block_a, block_b: the pairs of placed claims that have a stored relationship in either direction."""
     lo, hi = P.undirected(F.col("source_claim_id"), F.col("target_claim_id"))
     stored = relationships.select(lo.alias("lo"), hi.alias("hi")).distinct()
-    side = lambda s: claims.select("session_id", F.col("ord").alias(f"ord_{s}"), F.col("id").alias(s))
-    both = stored.join(side("lo"), "lo").join(side("hi"), ["session_id", "hi"])
-    return both.select("session_id", F.least("ord_lo", "ord_hi").alias("ord_a"), F.greatest("ord_lo", "ord_hi").alias("ord_b")).distinct()
+    side = lambda s: claims.select("session_id", F.struct("ord", "block").alias(f"at_{s}"), F.col("id").alias(s))
+    both = stored.join(side("lo"), "lo").join(side("hi"), ["session_id", "hi"]).withColumns({"a": F.least("at_lo", "at_hi"), "b": F.greatest("at_lo", "at_hi")})
+    return both.select("session_id", *(F.col(f"{s}.{c}").alias(f"{c}_{s}") for c in ("ord", "block") for s in "ab")).distinct()
 
 
-def new_candidates(claims: DataFrame, relationships: DataFrame) -> DataFrame:
-    """session_id, ord_a, ord_b, id_a, id_b: the candidates of claims with ``ord`` that have no stored relationship in either direction."""
-    return C.find(claims).join(stored_pairs(claims, relationships), ["session_id", "ord_a", "ord_b"], "left_anti")
+def answered_candidates(claims: DataFrame, relationships: DataFrame) -> DataFrame:
+    """session_id, ord_a, ord_b, id_a, id_b, verdict: the candidates of claims with ``ord`` that aren't stored in either direction; null where the rules leave them open."""
+    claims = C.placed(claims)
+    told = ["session_id", *(F.col(f"{s}.{c}").alias(f"{c}_{s}") for c in ("ord", "block") for s in "ab")]
+    ruled = V.ruled(claims, "block").select(*told, "verdict", F.lit(False).alias("stored"))
+    stored = stored_pairs(claims, relationships).withColumn("stored", F.lit(True))
+    return C.linked(claims, ruled.unionByName(stored, allowMissingColumns=True))
 
 
 def with_claims(found: DataFrame, claims: DataFrame) -> DataFrame:
@@ -60,14 +64,12 @@ def recorded(responses: DataFrame) -> Adjudicator:
 def link_sessions(claims: DataFrame, relationships: DataFrame, adjudicate: Adjudicator = V.offline, now=None, distinct_ids: bool = False) -> DataFrame:
     """New relationships of the verified claims of every session.
 
-    Pairs already stored, in either direction, are dropped. Candidates, stored and ruled pairs are found on
-    their own and joined as pairs of numbers; what the rules leave open goes to the adjudicator. Where no id
-    occurs in two claims (``distinct_ids``), no pair can occur twice; otherwise one row of each is kept.
+    Pairs already stored, in either direction, are dropped. Stored and ruled pairs are found on their own and go, as
+    pairs of numbers, to the task that finds the candidates of their blocks; what the rules leave open goes to the
+    adjudicator. Where no id occurs in two claims (``distinct_ids``), no pair can occur twice; otherwise one row of each is kept.
     """
     verified = P.ordered(claims.filter("verified"))
-    keys = ["session_id", "ord_a", "ord_b"]
-    ruled = V.ruled(verified).select("session_id", F.col("a.ord").alias("ord_a"), F.col("b.ord").alias("ord_b"), "verdict")
-    answered = new_candidates(verified, relationships).join(ruled, keys, "left")
+    answered = answered_candidates(verified, relationships)
     if adjudicate is not V.offline:
         closed, open_ = V.partition(answered)
         answered = closed.unionByName(adjudicate(open_.drop("verdict"), verified).select(closed.columns))

@@ -1,6 +1,9 @@
 """Linking where ids are keys, and pairs that the rules leave open."""
 
-from proofmill.operators import pairs, verdict
+from pyspark.sql import functions as F
+
+from proofmill import catalogue
+from proofmill.operators import candidates, pairs, verdict
 from proofmill.plans.link import link_sessions
 from proofmill.sources import claims as src
 
@@ -22,3 +25,31 @@ def test_open_pairs_are_those_that_no_rule_decides(spark):
     some = pairs.ordered(src.claims(spark, SF).filter("verified"))
     want = verdict.partition(verdict.decide(pairs.enumerate_pairs(verdict.prepared(some))))[1].selectExpr("session_id", "a.ord", "b.ord").collect()
     assert sorted(map(tuple, verdict.left_open(some).select("session_id", "ord_a", "ord_b").collect())) == sorted(map(tuple, want))
+
+
+def test_known_pairs_reach_their_blocks(spark, monkeypatch):
+    """Small blocks and parts give the links of whole sessions, stored pairs of either direction left out."""
+    claims = src.claims(spark, SF)
+    some = pairs.ordered(claims.filter("verified"))
+    stored = verdict.ruled(some).selectExpr("b.id source_claim_id", "a.id target_claim_id").filter("crc32(source_claim_id) % 3 = 0")
+    links = lambda: sorted(map(str, link_sessions(claims, stored, distinct_ids=True).drop("created_at").collect()))
+    found = links()
+    monkeypatch.setattr(candidates, "BLOCK", 7)
+    monkeypatch.setattr(verdict, "PART", 3)
+    assert found and found == links()
+
+
+def test_blocks_of_a_session_meet_in_several_tasks(spark, monkeypatch):
+    """Few bytes of claims are many pairs, so their groups aren't put together by bytes."""
+    monkeypatch.setattr(candidates, "BLOCK", 20)
+    claims = pairs.ordered(src.claims(spark, SF).filter("verified").withColumn("session_id", F.lit("S")))
+    assert candidates.find(claims).select(F.spark_partition_id()).distinct().count() > 1
+    assert verdict.ruled(claims).select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_upload_makes_blocks_and_claims_once(spark):
+    """Links read the upload's claims from a working table, and no pair is shuffled to be told from others."""
+    links = catalogue.ingest_links(spark, SF)
+    assert {f.rsplit("/", 2)[-2].split("-")[0] for f in links.inputFiles()} == {"claims"}
+    assert " AS rn#" not in links._jdf.queryExecution().optimizedPlan().toString()
+    assert links.count() == links.distinct().count()
