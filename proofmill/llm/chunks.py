@@ -5,16 +5,23 @@ non-space characters gives the same ids for a text and for its chunks. Both
 tokenizers used here do; they also part a run of letters from what follows. Chunks
 and runs recur, so a worker keeps bounded tables of their ids (``memo.Recent``), in
 which common ones stay. Every id comes from the tokenizers library.
+
+Where runs can be told apart by line ends, texts are cut at once, as bytes, into the
+runs of plain chunks and into whole other chunks; each different one of a call is looked
+up once, and ids are gathered by Arrow.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from proofmill.llm import memo
+from proofmill.llm.vec import text_buffers
 
 #: A space at an end of the text or beside other white space: such texts are cut more carefully.
 _ODD = re.compile(r"(?:^|\s) | (?:\s|$)")
@@ -24,6 +31,10 @@ _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Chunks that are cut at their runs of letters: no apostrophe (contractions), no white space but single line ends.
 _PLAIN = re.compile(rf"[{_LETTER}!-&(-@\[-`{{-~\n]+")
 _RUNS = re.compile(rf"[{_LETTER}]+|[^{_LETTER}]+")
+_RUN = re.compile(rf" ?[{_LETTER}]+")
+#: The same by UTF-8 bytes: letters (or the first byte of one), and bytes that no plain chunk has.
+_LETTERS = np.array([chr(b).isalpha() if b < 128 else b == 0xC3 for b in range(256)])
+_UNPLAIN = np.array([b > 126 and b != 0xC3 or b < 32 and b != 10 or b == 39 for b in range(256)])
 _LONGEST = 64
 _BATCH = 512
 KEEP = 250_000
@@ -112,8 +123,47 @@ class ChunkEncoder:
         inner.update(zip(rest, self._ids([" " + c for c in rest]), strict=True))
         self.runs.turn()
 
+    def _known(self, pieces: list[str]) -> list[bytes]:
+        """Ids of different pieces."""
+        runs = self.runs.new
+        ids = list(map(runs.get, pieces))
+        letters, others = [], []
+        for i in [i for i, x in enumerate(ids) if x is None]:
+            ids[i] = self.runs.get(pieces[i])
+            if ids[i] is None:
+                (letters if _RUN.fullmatch(pieces[i]) else others).append(i)
+        for some, encode in ((letters, self._letters), (others, self._ids)):
+            names = [pieces[i] for i in some]
+            for i, name, got in zip(some, names, encode(names), strict=True):
+                ids[i] = got
+                if len(name) <= _LONGEST:
+                    runs[name] = got
+        self.runs.turn()
+        return ids
+
+    def _encode_runs(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that aren't odd: each different piece is looked up once."""
+        data, offs = text_buffers(pa.array(texts, pa.large_string()))
+        starts = _pieces(data, offs)
+        bounds = pa.py_buffer(np.append(starts, len(data)).astype(np.int64))
+        coded = pa.LargeStringArray.from_buffers(len(starts), bounds, pa.py_buffer(data)).dictionary_encode()
+        ids = self._known(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)])), pa.array(np.frombuffer(b"".join(ids), self.dtype)))
+        raw = lists.take(coded.indices).flatten().to_numpy().tobytes()
+        before = np.concatenate([[0], np.cumsum(sizes[coded.indices.to_numpy()])])
+        ends = (before[np.searchsorted(starts, offs)] * self.dtype.itemsize).tolist()
+        return [raw[a:b] for a, b in itertools.pairwise(ends)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as bytes of ``dtype``."""
+        if self.line_end is None or len(self.ends) or self.folds:
+            return self._encode_chunks(texts)
+        odd = [_is_odd(t) for t in texts]
+        ways = {x: iter(way([t for t, o in zip(texts, odd, strict=True) if o == x])) for x, way in ((False, self._encode_runs), (True, self._encode_chunks))}
+        return [next(ways[x]) for x in odd]
+
+    def _encode_chunks(self, texts: list[str]) -> list[bytes]:
         inner, aged, heads, plans, unknown = self.inner.new, self.inner.get, {}, [], {}
         for text in texts:
             if _is_odd(text):
@@ -148,6 +198,27 @@ class ChunkEncoder:
         return out
 
 
+def _pieces(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Where pieces of the texts begin: each chunk with the space before it, and in plain chunks, but a text's first, each run of letters or of others."""
+    letter, unplain = _LETTERS[data], _UNPLAIN[data]
+    accented = np.flatnonzero(data == 0xC3) + 1
+    letter[accented] = True
+    unplain[accented] = (data[accented] == 0x97) | (data[accented] == 0xB7)  # the signs among them
+    last, now = data[:-1], data[1:]
+    unplain[1:] |= ((last == 10) & (now == 10)) | ((last == ord("<")) & (now == ord("|")))
+    first = offs[:-1][offs[1:] > offs[:-1]]
+    cut = data == 32
+    cut[first] = True
+    chunks = np.flatnonzero(cut)
+    if not len(chunks):
+        return chunks
+    whole = np.logical_or.reduceat(unplain, chunks)
+    whole[np.searchsorted(chunks, first)] = True
+    inside = ~np.repeat(whole, np.diff(np.append(chunks, len(data))))
+    cut[1:] |= (letter[1:] != letter[:-1]) & (last != 32) & inside[1:]
+    return np.flatnonzero(cut)
+
+
 def _is_odd(text: str) -> bool:
     if _RARE_SPACE.search(text):
         return _ODD.search(text) is not None

@@ -36,7 +36,8 @@ from proofmill.llm.vec import slices
 LENGTH = 2048
 ROWS_PER_BATCH = 256
 FILE_BYTES = 64 << 20
-KEEP = 450_000  # chunks in a generation of the encoder's table
+ENCODED_BYTES = 4 << 20  # text that is encoded at once
+KEEP = 450_000  # pieces in a generation of the encoder's table
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -122,7 +123,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str,
         out, first, n_docs = None, None, 0
         enc = encoder(tokenizer, dtype, KEEP)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=ENCODED_BYTES):
                 ids = part.column("doc_id").to_pylist()
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 for doc_id, got in zip(ids, enc.encode(texts), strict=True):

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from proofmill.llm import components, decontam, jaccard, packing, perplexity, pii, repeats, shards, token_counts, token_files, toxicity, vec
+from proofmill.llm import chunks, components, decontam, jaccard, packing, perplexity, pii, repeats, shards, token_counts, token_files, toxicity, vec
 from proofmill.llm.chunks import ChunkEncoder
 from proofmill.llm.shared import scratch
 
@@ -92,6 +92,23 @@ def test_batches_are_even(tmp_path, monkeypatch):
     assert sum(b.num_rows for b in token_files.documents(f"file://{tmp_path}/x.arrow")) == 50
 
 
+def test_pieces_give_the_ids_of_whole_texts():
+    """A text's runs are told apart as bytes, each different one is kept once, and no chunk besides."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole = Tokenizer.from_file(path)
+    texts = ["", "a", " x", "a  b", "x\n\ny z", "é× ÷ a×b naïve, l'été it's", "<|endoftext|> a<|endoftext|>b", "tab\tb c\u00a0d", "日本 語x, ñ1a (b)c\n d", "A\n\n", "x\x00y z\x7fw", "ß\nß a\nb\n", "\n", "q q q ", "x" * 200 + " " + "y" * 200 + ",z", "€5 a€b ÿÀ"]
+    want = [np.array(whole.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+    for keep in (2, 1000):
+        enc = chunks.ChunkEncoder(path, "<u2", keep)
+        assert enc.encode(texts) == want and enc.encode(texts[::-1]) == want[::-1]
+    enc = chunks.ChunkEncoder(path, "<u2", 1000)
+    enc.encode(["so, (much) for much, so", "so (for) much"])
+    assert set(enc.runs.new) == {"so,", "so", " (", "much", ")", " for", " much", ",", " so", "for"} and not enc.inner.new
+
+
 def test_token_files(spark, docs, none):
     from tokenizers import Tokenizer
 
