@@ -57,34 +57,51 @@ def _apart() -> Column:
     return (F.col("a.ord") < F.col("b.ord")) & ~(X.filled(F.col("a.document_id")) == X.filled(F.col("b.document_id"))).eqNullSafe(True)
 
 
-#: Claims of one session, subject and predicate that one task pairs with all of the others.
+#: Rows of one session, subject and predicate that one task pairs with all of the others.
 PART = 512
 
 
-def _alike(claims: DataFrame, *also: str) -> DataFrame:
-    """session_id, a, b, verdict: the pairs of claims of one session with equal, filled subject and predicate; the rules decide no others.
-
-    Many claims of one subject and predicate are cut in parts, each of which meets all of them in a task of its own; a part's
-    pairs are many more than its bytes tell, so the number of tasks is given. ``also``: columns that a and b hold besides.
-    """
+def compared(claims: DataFrame) -> DataFrame:
+    """Claims with ``rule``, all that a verdict looks at."""
     p = prepared(claims)
     kept = [c for c in p.columns if c.startswith("rule_")]
-    known = p.select("session_id", "ord", "id", "document_id", "subject", "value", "period_start", "period_end", *kept, *also).filter("rule_subject <> '' and rule_predicate <> ''")
+    return p.withColumn("rule", F.struct("subject", "value", "period_start", "period_end", *kept)).drop(*kept)
+
+
+def _alike(rows: DataFrame, apart: Column) -> DataFrame:
+    """session_id, a, b, verdict: the pairs ``apart`` of rows (with ``ord`` and ``rule``) of one session with equal, filled subject and predicate; the rules decide no others.
+
+    Many rows of one subject and predicate are cut in parts, each of which meets all of them in a task of its own; a part's
+    pairs are many more than its bytes tell, so the number of tasks is given.
+    """
+    spread = [c for c in rows.columns if c != "rule"]
+    known = rows.select(*spread, "rule.*").filter("rule_subject <> '' and rule_predicate <> ''")
     keys = ["session_id", "rule_subject", "rule_predicate"]
     group = Window.partitionBy(*keys)
     counted = known.select("*", F.row_number().over(group.orderBy("ord")).alias("nth"), F.count("*").over(group).alias("many"))
-    tasks = max(int(claims.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * claims.sparkSession.sparkContext.defaultParallelism)
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     part, parts = F.floor((F.col("nth") - 1) / PART), F.sequence(F.lit(0), F.floor((F.col("many") - 1) / PART))
     side = lambda s, p: counted.withColumn("part", p).repartition(tasks, *keys, "part").select(*keys, "part", F.struct(*known.columns).alias(s))
-    return decide(side("a", part).join(side("b", F.explode(parts)), [*keys, "part"]).filter(_apart()))
+    return decide(side("a", part).join(side("b", F.explode(parts)), [*keys, "part"]).filter(apart))
+
+
+def _claims(claims: DataFrame) -> DataFrame:
+    return compared(claims).select("session_id", "ord", "id", "document_id", "rule")
 
 
-def ruled(claims: DataFrame, *also: str) -> DataFrame:
+def ruled(claims: DataFrame) -> DataFrame:
     """session_id, a, b, verdict: the pairs of claims (with ``ord``) of one session that the rules decide.
 
-    The rules decide only pairs of equal, filled subject and predicate, so those are join keys; a and b hold what the rules compare, and columns ``also``.
+    The rules decide only pairs of equal, filled subject and predicate, so those are join keys; a and b hold what the rules compare.
     """
-    return _alike(claims, *also).filter("verdict is not null").select("session_id", "a", "b", "verdict")
+    return _alike(_claims(claims), _apart()).filter("verdict is not null").select("session_id", "a", "b", "verdict")
+
+
+def ruled_kinds(kinds: DataFrame) -> DataFrame:
+    """The same of kinds (with ``rule``), by their ``first`` claim: what the rules decide of pairs whose claim of a is earlier than that of b."""
+    rows = kinds.select("session_id", F.col("first").alias("ord"), "last", "block", "rule")
+    return _alike(rows, F.col("a.ord") < F.col("b.last")).filter("verdict is not null").select("session_id", "a", "b", "verdict")
 
 
 def left_open(claims: DataFrame) -> DataFrame:
@@ -93,7 +110,7 @@ def left_open(claims: DataFrame) -> DataFrame:
     Pairs of unlike subject or predicate are open whatever else they hold, so nothing else of them is looked at.
     """
     told = ["session_id", *(F.col(f"{s}.{c}").alias(f"{c}_{s}") for c in ("ord", "id") for s in "ab")]
-    undecided = _alike(claims).filter("verdict is null").select(told)
+    undecided = _alike(_claims(claims), _apart()).filter("verdict is null").select(told)
     narrow = claims.select("session_id", "ord", "id", "document_id", *(X.rule_normalize(F.col(f)).alias(f"rule_{f}") for f in ("subject", "predicate")))
     side = lambda s: narrow.select("session_id", F.struct(*narrow.columns).alias(s))
     same = lambda f: (F.col(f"a.rule_{f}") != "") & (F.col(f"a.rule_{f}") == F.col(f"b.rule_{f}"))

@@ -17,22 +17,23 @@ from proofmill.operators.adjudicate import parse_verdicts
 Adjudicator = Callable[[DataFrame, DataFrame], DataFrame]
 
 
-def stored_pairs(claims: DataFrame, relationships: DataFrame) -> DataFrame:
-    """session_id, ord_a, ord_b, block_a, block_b: the pairs of placed claims that have a stored relationship in either direction."""
+def stored_pairs(kinds: DataFrame, relationships: DataFrame) -> DataFrame:
+    """session_id, ord_a, ord_b, block_a, block_b: the pairs of kinds' members that have a stored relationship in either direction."""
     lo, hi = P.undirected(F.col("source_claim_id"), F.col("target_claim_id"))
     stored = relationships.select(lo.alias("lo"), hi.alias("hi")).distinct()
+    claims = kinds.select("session_id", "block", F.inline("members").alias("ord", "id", "doc"))
     side = lambda s: claims.select("session_id", F.struct("ord", "block").alias(f"at_{s}"), F.col("id").alias(s))
     both = stored.join(side("lo"), "lo").join(side("hi"), ["session_id", "hi"]).withColumns({"a": F.least("at_lo", "at_hi"), "b": F.greatest("at_lo", "at_hi")})
     return both.select("session_id", *(F.col(f"{s}.{c}").alias(f"{c}_{s}") for c in ("ord", "block") for s in "ab")).distinct()
 
 
 def answered_candidates(claims: DataFrame, relationships: DataFrame) -> DataFrame:
-    """session_id, ord_a, ord_b, id_a, id_b, verdict: the candidates of claims with ``ord`` that aren't stored in either direction; null where the rules leave them open."""
-    claims = C.placed(claims)
+    """The candidates of claims with ``ord`` that aren't stored in either direction, for ``expanded``; verdict is null where the rules leave them open."""
+    kinds = C.kinds(claims, V.compared, "rule")
     told = ["session_id", *(F.col(f"{s}.{c}").alias(f"{c}_{s}") for c in ("ord", "block") for s in "ab")]
-    ruled = V.ruled(claims, "block").select(*told, "verdict", F.lit(False).alias("stored"))
-    stored = stored_pairs(claims, relationships).withColumn("stored", F.lit(True))
-    return C.linked(claims, ruled.unionByName(stored, allowMissingColumns=True))
+    ruled = V.ruled_kinds(kinds).select(*told, "verdict", F.lit(False).alias("stored"))
+    stored = stored_pairs(kinds, relationships).withColumn("stored", F.lit(True))
+    return C.linked(kinds, ruled.unionByName(stored, allowMissingColumns=True))
 
 
 def with_claims(found: DataFrame, claims: DataFrame) -> DataFrame:
@@ -64,16 +65,18 @@ def recorded(responses: DataFrame) -> Adjudicator:
 def link_sessions(claims: DataFrame, relationships: DataFrame, adjudicate: Adjudicator = V.offline, now=None, distinct_ids: bool = False) -> DataFrame:
     """New relationships of the verified claims of every session.
 
-    Pairs already stored, in either direction, are dropped. Stored and ruled pairs are found on their own and go, as
-    pairs of numbers, to the task that finds the candidates of their blocks; what the rules leave open goes to the
-    adjudicator. Where no id occurs in two claims (``distinct_ids``), no pair can occur twice; otherwise one row of each is kept.
+    Pairs already stored, in either direction, are dropped. Stored pairs and what the rules say of kinds of claims are
+    found on their own and go, as pairs of numbers, to the task that finds the candidates of their blocks; what the rules
+    leave open goes to the adjudicator. Where no id occurs in two claims (``distinct_ids``), no pair can occur twice; otherwise one row of each is kept.
     """
     verified = P.ordered(claims.filter("verified"))
-    answered = answered_candidates(verified, relationships)
-    if adjudicate is not V.offline:
-        closed, open_ = V.partition(answered)
+    found = answered_candidates(verified, relationships)
+    if adjudicate is V.offline:
+        # a constant answer needs no claims, so it is given before kinds are made pairs
+        answered = C.expanded(found.withColumn("verdict", F.coalesce("verdict", V.uncertain())))
+    else:
+        closed, open_ = map(C.expanded, V.partition(found))
         answered = closed.unionByName(adjudicate(open_.drop("verdict"), verified).select(closed.columns))
-    # a constant answer needs no claims, and comes last
     results = answered.withColumnsRenamed({"id_a": "source_claim_id", "id_b": "target_claim_id"}).filter("source_claim_id is not null and target_claim_id is not null")
     if not distinct_ids:
         results = P.dedup_undirected(results, [F.when(F.col("verdict.decided_by") == "rules", 0).otherwise(1), "ord_a", "ord_b"])

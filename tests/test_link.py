@@ -1,9 +1,13 @@
 """Linking where ids are keys, and pairs that the rules leave open."""
 
+import random
+
 from pyspark.sql import functions as F
+from test_operators import claims
 
 from proofmill import catalogue
 from proofmill.operators import candidates, pairs, verdict
+from proofmill.plans import link
 from proofmill.plans.link import link_sessions
 from proofmill.sources import claims as src
 
@@ -53,3 +57,39 @@ def test_upload_makes_blocks_and_claims_once(spark):
     assert {f.rsplit("/", 2)[-2].split("-")[0] for f in links.inputFiles()} == {"claims"}
     assert " AS rn#" not in links._jdf.queryExecution().optimizedPlan().toString()
     assert links.count() == links.distinct().count()
+
+
+def test_links_of_kinds_equal_all_pairs(spark, monkeypatch):
+    """Repeated claims, null and repeated ids and documents, stored pairs of either direction: the links of all pairs, one by one."""
+    rng = random.Random(4)
+    rows = []
+    for k in range(150):
+        year, d = rng.choice([2021, 2022, None]), rng.choice("ABC")
+        rows.append({"id": rng.choice([f"c{k}"] * 20 + [None, "c0"]), "document_id": rng.choice([d, d, d, "", None]), "session_id": rng.choice("ST"), "subject": rng.choice(["Apple", "apple ", "Tesla Motors", "Alpine", None]),
+            "predicate": rng.choice(["revenue", "net sales", "headcount"]), "value": rng.choice([1.0, 2.0, 2.01, -0.0, 0.0, None]), "unit": rng.choice(["million USD", "$ mn", "percent"]),
+            "period_start": year and f"{year}-01-01", "period_end": year and f"{year}-12-31", "scope": rng.choice([None, None, "Domestic"])})
+    table = claims(spark, *rows).cache()
+    some = pairs.ordered(table).cache()
+    decided = verdict.decide(pairs.enumerate_pairs(verdict.prepared(some))).select("session_id", "a.ord", "b.ord", "a.id", "b.id", "verdict").toDF("session_id", "o", "p", "x", "y", "verdict")
+    scores = pairs.pair_scores(pairs.enumerate_pairs(pairs.prepared(some))).filter("score > 0").selectExpr("session_id", "a.ord o", "b.ord p")
+    want = decided.join(scores, ["session_id", "o", "p"]).cache()
+    # stored pairs in both directions, some of two claims of one kind
+    stored = want.filter("x is not null and y is not null and crc32(concat(x, y)) % 5 < 2").selectExpr("if(o % 2 = 0, x, y) source_claim_id", "if(o % 2 = 0, y, x) target_claim_id").cache()
+    seen = {(min(r), max(r)) for r in stored.collect()}
+    known = {(r.session_id, r.o, r.p, r.x, r.y, r.verdict) for r in want.collect() if r.x is None or r.y is None or (min(r.x, r.y), max(r.x, r.y)) not in seen}
+    assert len(seen) > 500 and len(known) > 1000 and len({r[5] and r[5].reason_code for r in known}) > 3
+    for many, least, block, part in ((512, 4, 1024, 512), (3, 4, 7, 2), (1, 1, 16, 512)):
+        monkeypatch.setattr(candidates, "MANY", many)
+        monkeypatch.setattr(candidates, "LEAST", least)
+        monkeypatch.setattr(candidates, "BLOCK", block)
+        monkeypatch.setattr(verdict, "PART", part)
+        got = candidates.expanded(link.answered_candidates(some, stored)).collect()
+        assert len(got) == len(known) and set(map(tuple, got)) == known
+
+
+def test_equal_claims_leave_python_as_one_row(spark):
+    """All pairs of three kinds of claims are candidates; only their members leave the task that finds them."""
+    rows = [{"id": f"c{k}", "document_id": f"d{k}", "session_id": "S", "subject": f"subject {k % 3}", "predicate": "mentions", "value": float(k % 2)} for k in range(600)]
+    some = pairs.ordered(claims(spark, *rows))
+    found = link.answered_candidates(some, spark.createDataFrame([], "source_claim_id string, target_claim_id string"))
+    assert found.count() == 36 and candidates.expanded(found).count() == 600 * 599 // 2
